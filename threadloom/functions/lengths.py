@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import IntegerType
 
 TokenLength = Callable[[Column], Column]
 
@@ -16,7 +16,6 @@ def estimate_tokens(line: Column) -> Column:
     return F.ceil(F.length(line) / F.lit(4.0)).cast("int")
 
 
-@lru_cache(maxsize=4)
 def _encoding(rank_file: str, pattern: str):
     import base64
 
@@ -29,9 +28,10 @@ def _encoding(rank_file: str, pattern: str):
 
 def bpe_tokens(rank_file: str, pattern: str) -> TokenLength:
     """Exact byte-pair lengths from a rank file that every worker can open."""
-    @F.pandas_udf("int")
-    def count(lines: pd.Series) -> pd.Series:
+    @F.pandas_udf(IntegerType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = _encoding(rank_file, pattern)
-        return lines.map(lambda t: len(encoding.encode_ordinary(t or "")))
+        for lines in batches:
+            yield lines.map(lambda t: len(encoding.encode_ordinary(t or "")))
 
     return count

@@ -7,7 +7,6 @@ each Arrow batch reach the Python rules below.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +123,6 @@ def _final_letter(w: str, r1: int, r2: int) -> str:
     return w
 
 
-@lru_cache(maxsize=1 << 17)
 def stem(word: str) -> str:
     """Stem of one lower-case word."""
     if len(word) <= 2:
@@ -147,18 +145,32 @@ def stem(word: str) -> str:
     return _final_letter(w, r1, r2).replace("Y", "y")
 
 
-def _map_words(words: pa.Array, convert) -> pa.Array:
-    """Apply ``convert`` to an array<string> column, once per distinct word of the batch."""
+# Stems already worked out by this worker; emptied when it grows large.
+_KNOWN: dict[str, str] = {}
+
+
+def _known_stem(word: str) -> str:
+    found = _KNOWN.get(word)
+    if found is None:
+        if len(_KNOWN) >= 1 << 17:
+            _KNOWN.clear()
+        found = _KNOWN[word] = stem(word)
+    return found
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _stem_arrays(words: pa.Array) -> pa.Array:
+    """Stem an array<string> column, once per distinct word of the batch."""
     sizes = np.asarray(words.value_lengths().fill_null(0))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     coded = words.flatten().dictionary_encode()
-    values = pa.array([convert(w) for w in coded.dictionary.to_pylist()], pa.string())
+    values = pa.array([_known_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(coded.indices))
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _stem_arrays(words: pa.Array) -> pa.Array:
-    return _map_words(words, stem)
+def stem_words(words: Column) -> Column:
+    """Stems of an array of lower-cased words."""
+    return _stem_arrays(words)
 
 
 def lexemes(col: Column) -> Column:

@@ -16,6 +16,14 @@ CONVERSATIONS = T.StructType([
     T.StructField("meta", T.StringType()),
 ])
 
+# What the conversations table stores: one row per import of a conversation.
+CONVERSATION_CHANGES = T.StructType([
+    *CONVERSATIONS.fields,
+    T.StructField("loaded_at", T.TimestampType()),
+    T.StructField("archive", T.StringType()),
+    T.StructField("ordinal", T.LongType()),
+])
+
 MESSAGES = T.StructType([
     T.StructField("conv_id", T.StringType(), False),
     T.StructField("msg_id", T.StringType(), False),
@@ -50,7 +58,7 @@ MESSAGE_ANALYTICS = T.StructType([
 ])
 
 TABLES = {
-    "conversations": CONVERSATIONS,
+    "conversations": CONVERSATION_CHANGES,
     "messages": MESSAGES,
     "message_tags": MESSAGE_TAGS,
     "message_embeddings": MESSAGE_EMBEDDINGS,
