@@ -7,8 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.functions.lengths import TokenLength, estimate_tokens
 from threadloom.functions.text import split_message_id
 from threadloom.functions.times import minute_text
-from threadloom.operators.ordered import running_sum
-from threadloom.session import broadcast_if_small, write_scratch
+from threadloom.operators.ordered import running_sum, write_slabs
+from threadloom.session import broadcast_if_small
+
+
+# Fixed value: the largest budget of a pack.
+MAX_TOKENS = 16384
 
 
 def pack_line() -> Column:
@@ -27,21 +31,22 @@ def context_pack(messages: DataFrame, requests: DataFrame, max_tokens: int = 600
     ordered; text moves for the messages that made it, at most a budget's worth
     per pack.
     """
-    if not 1 <= max_tokens <= 16384:
-        raise ValueError("max_tokens must be between 1 and 16384")
+    if not 1 <= max_tokens <= MAX_TOKENS:
+        raise ValueError(f"max_tokens must be between 1 and {MAX_TOKENS}")
     conv_id, msg_id = split_message_id(F.col("message_id"))
     budget = F.col("max_tokens") if "max_tokens" in requests.columns else F.lit(max_tokens)
     asked = requests.select("pack_id", conv_id.alias("conv_id"), msg_id.alias("msg_id"), budget.alias("budget"))
-    budgets = asked.groupBy("pack_id").agg(F.least(F.max("budget"), F.lit(16384)).alias("budget"))
+    budgets = asked.groupBy("pack_id").agg(F.least(F.max("budget"), F.lit(MAX_TOKENS)).alias("budget"))
     wanted = asked.select("pack_id", "conv_id", "msg_id").distinct()
 
     lengths = messages.select("conv_id", "msg_id", "ts",
                               F.greatest(token_length(pack_line()), F.lit(1)).alias("tokens"))
-    found = write_scratch(lengths.join(broadcast_if_small(wanted), ["conv_id", "msg_id"]), "pack_messages")
-    totals = found.groupBy("pack_id").agg(F.count("*").alias("available"))
-    kept = running_sum(found, ["pack_id"], ["ts", "conv_id", "msg_id"], F.col("tokens"), "used", below=16384)
-    kept = write_scratch(kept.join(budgets, "pack_id").where(F.col("used") <= F.col("budget"))
-                         .select("pack_id", "conv_id", "msg_id", "used", "tokens"), "pack_kept")
+    found = lengths.join(broadcast_if_small(wanted), ["conv_id", "msg_id"])
+    order = ["ts", "conv_id", "msg_id"]
+    slabs = write_slabs(found, ["pack_id"], order, F.col("tokens"))
+    totals = slabs.groupBy("pack_id").agg(F.count("*").alias("available"))
+    kept = running_sum(slabs, ["pack_id"], order, "used", below=MAX_TOKENS).join(budgets, "pack_id") \
+        .where(F.col("used") <= F.col("budget")).select("pack_id", "conv_id", "msg_id", "used", "tokens")
 
     lines = messages.select("conv_id", "msg_id", pack_line().alias("line")) \
         .join(broadcast_if_small(kept), ["conv_id", "msg_id"])

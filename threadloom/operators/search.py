@@ -121,7 +121,7 @@ def search_many(messages: DataFrame, queries: DataFrame, k: int = 10, stemmer: s
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("ts")
     bodies = messages.select("conv_id", "msg_id", "role", "ts", F.left("text", F.lit(SNIPPET)).alias("text"))
-    return top.join(bodies, ["conv_id", "msg_id"]) \
+    return bodies.join(broadcast_if_small(top), ["conv_id", "msg_id"]) \
         .select("query_id", "rank", "conv_id", "msg_id", "role", "ts", "text", "score")
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from threadloom.operators.ordered import running_sum
+from threadloom.operators.ordered import running_sum, write_slabs
 from threadloom.session import broadcast_if_small, write_scratch
 
 BODY = ["parent_id", "role", "ts", "text"]
@@ -27,23 +27,23 @@ def _conversations_of(messages: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _present(messages: DataFrame, anchors: DataFrame) -> DataFrame:
-    keys = _anchor_keys(anchors)
+    """Anchors that exist; keys of messages are unique, so each is found at most once."""
     found = messages.select("conv_id", F.col("msg_id").alias("anchor_id"))
-    return keys.join(found, ["conv_id", "anchor_id"], "left_semi")
+    return found.join(broadcast_if_small(_anchor_keys(anchors)), ["conv_id", "anchor_id"])
 
 
 def missing_anchors(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchors whose conversation or message does not exist, with the reason."""
-    keys = _anchor_keys(anchors)
-    absent = keys.join(messages.select("conv_id", F.col("msg_id").alias("anchor_id")),
-                       ["conv_id", "anchor_id"], "left_anti")
-    known = messages.select("conv_id").distinct().withColumn("known", F.lit(True))
+    absent = _anchor_keys(anchors).join(_present(messages, anchors), ["conv_id", "anchor_id"], "left_anti")
+    known = _conversations_of(messages, anchors).select("conv_id").distinct().withColumn("known", F.lit(True))
     reason = F.when(F.col("known"), "message not found in conversation").otherwise("conversation not found")
     return absent.join(known, "conv_id", "left").select("conv_id", "anchor_id", reason.alias("reason"))
 
 
 def _with_body(result: DataFrame, messages: DataFrame) -> DataFrame:
-    return result.join(messages.select("conv_id", "msg_id", *BODY), ["conv_id", "msg_id"])
+    """Add the message columns; a small result is broadcast so that no text is shuffled for it."""
+    bodies = messages.select("conv_id", "msg_id", *BODY)
+    return bodies.join(broadcast_if_small(result), ["conv_id", "msg_id"])
 
 
 def anchor_messages(messages: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def descendant_links(messages: DataFrame, anchors: DataFrame, depth: int = 3) ->
 def thread_descendants(messages: DataFrame, anchors: DataFrame, depth: int = 3) -> DataFrame:
     """Descendants in depth-first order, siblings by time, numbered from 1."""
     links = descendant_links(messages, anchors, depth)
-    ordered = running_sum(links, ["conv_id", "anchor_id"], ["path"], F.lit(1), "order_idx").drop("path")
+    group, order = ["conv_id", "anchor_id"], ["path"]
+    ordered = running_sum(write_slabs(links, group, order, F.lit(1)), group, order, "order_idx").drop("path")
     return _with_body(ordered, messages)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
 from threadloom.operators.search import search_many
 from threadloom.schemas import MESSAGE_KEY
+from threadloom.session import write_scratch
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 QUERY_BYTES = 32 << 20
@@ -107,7 +108,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, ids: list
     is a candidate. More queries mean more blocks, never a larger one.
     """
     ids = ids or MESSAGE_KEY
-    narrow = queries.select("query_id", "embedding")
+    narrow = write_scratch(queries.select("query_id", "embedding"), "query_vectors")
     total = narrow.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
     blocks = max(1, math.ceil(total / QUERY_BYTES))
     source = vectors.select(*ids, "embedding").where(F.col("embedding").isNotNull())

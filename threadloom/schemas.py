@@ -57,12 +57,21 @@ MESSAGE_ANALYTICS = T.StructType([
     T.StructField("topics", T.ArrayType(T.StringType())),
 ])
 
+LOAD_REJECTS = T.StructType([
+    T.StructField("archive", T.StringType()),
+    T.StructField("ordinal", T.LongType()),
+    T.StructField("conv_id", T.StringType()),
+    T.StructField("msg_id", T.StringType()),
+    T.StructField("reason", T.StringType()),
+])
+
 TABLES = {
     "conversations": CONVERSATION_CHANGES,
     "messages": MESSAGES,
     "message_tags": MESSAGE_TAGS,
     "message_embeddings": MESSAGE_EMBEDDINGS,
     "message_analytics": MESSAGE_ANALYTICS,
+    "load_rejects": LOAD_REJECTS,
 }
 
 MESSAGE_KEY = ["conv_id", "msg_id"]

@@ -56,12 +56,25 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after measuring the rows; larger sides stay unhinted.
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; results still reading them become invalid."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    Only key columns should be passed in: the check evaluates ``df`` once.
-    """
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns),
+
+def hint_if_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a written table once its rows are measured; larger tables stay unhinted."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns),
                 F.lit(32))
-    size = df.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    size = table.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(table) if size <= max_bytes else table
+
+
+def broadcast_if_small(rows: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Write narrow key rows once, then broadcast them if they measure small enough.
+
+    Beyond the bound the join is left to the optimiser, which knows the size of
+    the written table and splits skewed partitions at run time.
+    """
+    return hint_if_small(write_scratch(rows, "keys"), max_bytes)

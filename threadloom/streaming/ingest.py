@@ -17,16 +17,19 @@ from threadloom.sources.tables import append_conversations, append_table, ensure
 def load_exports(raw: DataFrame, root: str, owner_id: str = "default", enable_pii: bool = True) -> None:
     """Write raw conversations into the tables under ``root``; repeating it adds no message.
 
-    Archives are read once: the parsed rows are written to shared storage and
-    feed both tables.
+    Archives are read once and messages normalised once: both results are written
+    to shared storage before they are split. What cannot be stored is kept, with
+    its reason, in ``load_rejects``.
     """
     spark = raw.sparkSession
-    parsed, _ = parse_exports(write_scratch(raw, "raw_exports"))
-    messages = normalise_messages(explode_messages(parsed), enable_pii=enable_pii)
-    valid, _ = split_valid(messages)
+    parsed, rejects = parse_exports(write_scratch(raw, "raw_exports"))
+    messages = write_scratch(normalise_messages(explode_messages(parsed), enable_pii=enable_pii), "normalised")
+    valid, quarantine = split_valid(messages)
     new = insert_ignore(read_table(spark, root, "messages"), valid, order=["archive", "ordinal", "position"])
     append_conversations(project_conversations(parsed, owner_id), root)
     append_table(new, root, "messages")
+    append_table(rejects, root, "load_rejects")
+    append_table(quarantine.withColumn("reason", F.array_join("reason", ", ")), root, "load_rejects")
 
 
 def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, owner_id: str = "default",
