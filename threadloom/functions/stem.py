@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from threadloom.functions.text import LETTER_OR_DIGIT, safe_text
+from threadloom.functions.text import LETTER_OR_DIGIT, safe_text, word_list
 from threadloom.schemas import SEARCH_STOP_WORDS
 
 # Irregular forms and words left alone.
@@ -176,7 +176,7 @@ def stem_words(words: Column) -> Column:
 def lexemes(col: Column) -> Column:
     """English lexemes of a text, one per remaining word position."""
     words = F.regexp_extract_all(F.lower(safe_text(col)), F.lit(f"{LETTER_OR_DIGIT}+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in SEARCH_STOP_WORDS])
+    stop = word_list(SEARCH_STOP_WORDS)
     return _stem_arrays(F.filter(words, lambda w: ~F.array_contains(stop, w)))
 
 
@@ -197,7 +197,7 @@ def count_matches(col: Column, wanted: list[str]) -> Column:
     heads = "|".join(sorted({s[:max(1, len(s) - 2)] for s in wanted}))
     pattern = f"(?<!{LETTER_OR_DIGIT})(?:{heads}){LETTER_OR_DIGIT}*+"
     candidates = F.regexp_extract_all(F.lower(safe_text(col)), F.lit(pattern), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in SEARCH_STOP_WORDS])
+    stop = word_list(SEARCH_STOP_WORDS)
     candidates = F.filter(candidates, lambda w: ~F.array_contains(stop, w))
-    targets = F.array(*[F.lit(s) for s in wanted])
+    targets = word_list(wanted)
     return F.size(F.filter(_stem_arrays(candidates), lambda s: F.array_contains(targets, s)))

@@ -58,11 +58,17 @@ def topic_words(col: Column) -> Column:
 
 def topic_tokens(col: Column) -> Column:
     """Distinct topic words of one message, stop words removed."""
-    return F.array_except(topic_words(col), F.array(*[F.lit(w) for w in TOPIC_STOP_WORDS]))
+    return F.array_except(topic_words(col), word_list(TOPIC_STOP_WORDS))
 
 
-def is_topic(word: Column) -> Column:
-    return ~word.isin(TOPIC_STOP_WORDS)
+def word_list(words: list[str]) -> Column:
+    """Constant array of blank-free words, folded once by the optimiser."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def is_topic(column: str) -> Column:
+    stop = ", ".join(f"'{w}'" for w in TOPIC_STOP_WORDS)
+    return F.expr(f"{column} NOT IN ({stop})")
 
 
 def trim_text(col: Column, limit: int = 280) -> Column:

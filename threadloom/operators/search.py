@@ -6,11 +6,15 @@ the default weight: score = 0.1 x matching positions, whatever the text length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from threadloom.functions.highlights import highlights
+from threadloom.functions.highlights import excerpts, highlights
 from threadloom.functions.stem import count_matches, lexemes, query_lexemes, stem_words
-from threadloom.functions.text import WORD, query_terms, safe_text, search_terms
+from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, word_list
 from threadloom.operators.filters import all_of, search_filters
 from threadloom.schemas import SEARCH_STOP_WORDS
 from threadloom.session import broadcast_if_small
@@ -50,8 +54,22 @@ def search(messages: DataFrame, q: str, k: int = 50, filters: dict | None = None
         scored.select("conv_id", "msg_id", "role", "ts", F.left("text", F.lit(SNIPPET)).alias("text"), "score")
         .orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id").limit(max(k, 0))
     )
-    found = highlights(F.col("text"), F.array(*[F.lit(t) for t in terms]))
-    return top.withColumn("highlights", found).orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
+    return _add_excerpts(top, terms)
+
+
+def _add_excerpts(top: DataFrame, terms: list[str]) -> DataFrame:
+    """Highlights for an already ordered top-k, order kept.
+
+    A batch function instead of a column: the optimiser moves limits through
+    column functions, which would turn the top-k below into a full sort.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [excerpts(t, terms) for t in batch.column("text").to_pylist()]
+            yield batch.append_column("highlights", pa.array(found, pa.list_(pa.string())))
+
+    schema = StructType([*top.schema.fields, StructField("highlights", ArrayType(StringType()))])
+    return top.mapInArrow(run, schema)
 
 
 def _words(col: Column, stemmer: str | None) -> Column:
@@ -81,8 +99,8 @@ def prepare_queries(queries: DataFrame, stemmer: str | None = "english") -> Data
     terms = search_terms(F.col("q"))
     if stemmer is not None:
         parts = F.flatten(F.transform(terms, lambda t: F.split(t, "_")))
-        stop = F.array(*[F.lit(w) for w in ["", *SEARCH_STOP_WORDS]])
-        terms = stem_words(F.filter(parts, lambda w: ~F.array_contains(stop, w)))
+        stop = word_list(SEARCH_STOP_WORDS)
+        terms = stem_words(F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w)))
 
     def given(name: str, kind: str) -> Column:
         value = F.col(name) if name in queries.columns else F.lit(None)

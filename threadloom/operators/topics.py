@@ -40,7 +40,7 @@ def topic_document_frequency(scope: DataFrame) -> DataFrame:
     """Per word: messages containing it and the time it was first seen."""
     return (
         scope.select("ts", F.explode(F.array_distinct(topic_words(F.col("text")))).alias("label"))
-        .where(is_topic(F.col("label")))
+        .where(is_topic("label"))
         .groupBy("label")
         .agg(F.count("*").alias("occurrences"), F.min("ts").alias("first_seen_ts"))
     )
@@ -124,7 +124,7 @@ def timeline_topics(messages: DataFrame, unit: str = "day", limit: int = 10, min
     counts = (
         messages.select(F.date_trunc(unit, "ts").cast(messages.schema["ts"].dataType).alias("period"),
                         F.explode(F.array_distinct(topic_words(F.col("text")))).alias("label"))
-        .where(is_topic(F.col("label")))
+        .where(is_topic("label"))
         .groupBy("period", "label").agg(F.count("*").alias("occurrences"))
         .where(F.col("occurrences") >= min_occurrences)
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.operators.loads import dedupe_by_key
 from threadloom.schemas import CONVERSATIONS, TABLES
 
 _ARRIVAL = ["loaded_at", "archive", "ordinal"]
@@ -33,10 +32,12 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_conversations(spark: SparkSession, root: str) -> DataFrame:
     """Conversations as they stand after all imports."""
-    changes = read_table(spark, root, "conversations")
-    titles = changes.groupBy("conv_id").agg(F.max_by("title", F.struct(*_ARRIVAL)).alias("title"))
-    return dedupe_by_key(changes.drop("title"), ["conv_id"], _ARRIVAL).join(titles, "conv_id") \
-        .select(CONVERSATIONS.names)
+    turn = F.struct(*_ARRIVAL)
+    kept = [c for c in CONVERSATIONS.names if c not in ("conv_id", "title")]
+    return read_table(spark, root, "conversations").groupBy("conv_id").agg(
+        F.max_by("title", turn).alias("title"),
+        F.min_by(F.struct(*kept), turn).alias("first"),
+    ).select("conv_id", "title", "first.*").select(CONVERSATIONS.names)
 
 
 def append_table(rows: DataFrame, root: str, name: str) -> None:
