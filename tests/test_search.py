@@ -44,7 +44,7 @@ def test_filters_and_snippet(messages, talk):
     assert list(row.highlights) == ["…" + ("x" * 395 + " word")[355:395] + " **word**"] or len(row.highlights) == 1
 
 
-def test_many_queries_match_one_by_one(spark, messages):
+def test_many_queries_match_one_by_one(spark, messages, monkeypatch):
     pick = random.Random(3)
     vocabulary = "cat cats running runs run dog the and happily happy nation national x_y".split()
     rows = [(f"c{i % 9}", str(i), pick.choice(["user", "tool"]), f"2024-01-01 00:{pick.randrange(60):02}:00",
@@ -71,6 +71,11 @@ def test_many_queries_match_one_by_one(spark, messages):
             expected = [(c, m, -h / 10) for h, _, c, m in sorted(scored)[:7]]
             mine = sorted((r for r in batch if r.query_id == query_id), key=lambda r: r.rank)
             assert [(r.conv_id, r.msg_id, r.score) for r in mine] == expected
+    numbered = spark.createDataFrame([(1, "cats"), (2, "runs")], "query_id int, q string")
+    assert {r.query_id for r in se.search_many(table, numbered, k=3).collect()} == {1, 2}
+    monkeypatch.setattr(se, "QUERY_BYTES", 100)
+    monkeypatch.setattr(se, "DIRECT_LEXEMES", 0)
+    assert sorted(se.search_many(table, asked, k=7).collect()) == sorted(se.search_many(table, asked, k=7, postings=se.build_postings(table)).collect())
     assert [r.query_id for r in se.unusable_queries(asked).collect()] == ["none"]
 
 

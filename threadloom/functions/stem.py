@@ -149,7 +149,7 @@ def stem(word: str) -> str:
 _KNOWN: dict[str, str] = {}
 
 
-def _known_stem(word: str) -> str:
+def known_stem(word: str) -> str:
     found = _KNOWN.get(word)
     if found is None:
         if len(_KNOWN) >= 1 << 17:
@@ -164,7 +164,7 @@ def _stem_arrays(words: pa.Array) -> pa.Array:
     sizes = np.asarray(words.value_lengths().fill_null(0))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     coded = words.flatten().dictionary_encode()
-    values = pa.array([_known_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    values = pa.array([known_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(coded.indices))
 
 
@@ -173,11 +173,20 @@ def stem_words(words: Column) -> Column:
     return _stem_arrays(words)
 
 
+def _without_stop_words(words: Column) -> Column:
+    stop = word_list(SEARCH_STOP_WORDS)
+    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+
+
+def english_words(col: Column) -> Column:
+    """Lower-cased words of a text, one per position, stop words removed."""
+    words = F.regexp_extract_all(F.lower(safe_text(col)), F.lit(f"{LETTER_OR_DIGIT}+"), F.lit(0))
+    return _without_stop_words(words)
+
+
 def lexemes(col: Column) -> Column:
     """English lexemes of a text, one per remaining word position."""
-    words = F.regexp_extract_all(F.lower(safe_text(col)), F.lit(f"{LETTER_OR_DIGIT}+"), F.lit(0))
-    stop = word_list(SEARCH_STOP_WORDS)
-    return _stem_arrays(F.filter(words, lambda w: ~F.array_contains(stop, w)))
+    return _stem_arrays(english_words(col))
 
 
 def query_lexemes(terms: list[str]) -> list[str]:
@@ -186,18 +195,20 @@ def query_lexemes(terms: list[str]) -> list[str]:
     return list(dict.fromkeys(stem(w) for w in words if w not in SEARCH_STOP_WORDS))
 
 
-def count_matches(col: Column, wanted: list[str]) -> Column:
-    """Number of word positions of a text whose stem is in ``wanted``.
+def candidate_words(col: Column, wanted: list[str]) -> Column:
+    """The words of a text that can have one of the wanted stems.
 
     A stem differs from its word by at most its last two letters, so only words
     sharing the rest of a wanted stem leave the JVM.
     """
-    if not wanted:
-        return F.lit(0)
     heads = "|".join(sorted({s[:max(1, len(s) - 2)] for s in wanted}))
     pattern = f"(?<!{LETTER_OR_DIGIT})(?:{heads}){LETTER_OR_DIGIT}*+"
-    candidates = F.regexp_extract_all(F.lower(safe_text(col)), F.lit(pattern), F.lit(0))
-    stop = word_list(SEARCH_STOP_WORDS)
-    candidates = F.filter(candidates, lambda w: ~F.array_contains(stop, w))
+    return _without_stop_words(F.regexp_extract_all(F.lower(safe_text(col)), F.lit(pattern), F.lit(0)))
+
+
+def count_matches(col: Column, wanted: list[str]) -> Column:
+    """Number of word positions of a text whose stem is in ``wanted``."""
+    if not wanted:
+        return F.lit(0)
     targets = word_list(wanted)
-    return F.size(F.filter(_stem_arrays(candidates), lambda s: F.array_contains(targets, s)))
+    return F.size(F.filter(_stem_arrays(candidate_words(col, wanted)), lambda s: F.array_contains(targets, s)))

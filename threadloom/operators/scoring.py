@@ -1,0 +1,100 @@
+"""Task functions that score messages for a block of queries and keep the best."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+
+
+@dataclass
+class QueryBlock:
+    """A bounded set of queries: who asks for which lexeme, and their filters."""
+
+    query_ids: list
+    lexemes: dict[str, int]
+    askers: np.ndarray  # query numbers, grouped by lexeme
+    first: np.ndarray   # start of each lexeme's group in askers
+    size: np.ndarray    # length of each group
+    roles: list
+    conv_ids: list
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> QueryBlock:
+        """From (query_id, lexeme, q_role, q_conv_id, low, high); low and high in microseconds."""
+        queries = rows.drop_duplicates("query_id").reset_index(drop=True)
+        number = {q: i for i, q in enumerate(queries["query_id"])}
+        ordered = rows.sort_values("lexeme", kind="stable")
+        names, first, size = np.unique(ordered["lexeme"].to_numpy(dtype=str), return_index=True, return_counts=True)
+        return cls(
+            list(queries["query_id"]), {str(w): i for i, w in enumerate(names)},
+            np.array([number[q] for q in ordered["query_id"]], dtype=np.int64), first, size,
+            list(queries["q_role"]), list(queries["q_conv_id"]),
+            queries["low"].to_numpy(dtype=np.int64), queries["high"].to_numpy(dtype=np.int64))
+
+    def pairs(self, words: pa.Array, as_lexeme: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, matching positions) of a batch's word lists."""
+        rows = np.repeat(np.arange(len(words)), np.asarray(words.value_lengths().fill_null(0)))
+        coded = words.flatten().dictionary_encode()
+        known = np.array([self.lexemes.get(as_lexeme(w), -1) for w in coded.dictionary.to_pylist()] or [-1])
+        wanted = known[np.asarray(coded.indices)] if len(rows) else np.array([], dtype=np.int64)
+        rows, wanted = rows[wanted >= 0], wanted[wanted >= 0]
+        spread = self.size[wanted]
+        within = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
+        asking = self.askers[np.repeat(self.first[wanted], spread) + within]
+        pair, count = np.unique(asking * len(words) + np.repeat(rows, spread), return_counts=True)
+        return pair // max(len(words), 1), pair % max(len(words), 1), count
+
+    def allowed(self, query: np.ndarray, role: np.ndarray, conv_id: np.ndarray, ts: np.ndarray) -> np.ndarray:
+        """Which pairs pass the filters of their query."""
+        keep = (ts >= self.low[query]) & (ts <= self.high[query])
+        for wanted, actual in ((self.roles, role), (self.conv_ids, conv_id)):
+            if any(w is not None for w in wanted):
+                asked = np.array(wanted, dtype=object)[query]
+                keep &= np.array([w is None or w == a for w, a in zip(asked, actual)], dtype=bool)
+        return keep
+
+
+def contenders(query: np.ndarray, score: np.ndarray, ts: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the pairs that can be among the best ``k`` of their query; ties at the cut stay."""
+    order = np.lexsort((-ts, -score, query))
+    query, score, ts = query[order], score[order], ts[order]
+    start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.array([], dtype=int)
+    length = np.diff(np.r_[start, len(query)])
+    cut = np.repeat(np.minimum(start + k, start + length) - 1, length)
+    return order[(score > score[cut]) | ((score == score[cut]) & (ts >= ts[cut]))]
+
+
+def best_matches(block: QueryBlock, as_lexeme: Callable[[str], str], k: int, id_type: pa.DataType):
+    """Batches of (conv_id, msg_id, role, ts, words) in, at most ``k`` rows per query and task out."""
+    out = {"conv_id": pa.string(), "msg_id": pa.string(), "ts": pa.int64(), "score": pa.int64()}
+    rank = {"query": True, "score": False, "ts": False, "conv_id": True, "msg_id": True}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            query, row, count = block.pairs(batch.column("words"), as_lexeme)
+            if not len(query):
+                continue
+            role, conv_id, msg_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("role", "conv_id", "msg_id"))
+            ts = batch.column("ts").cast(pa.int64()).to_numpy()
+            keep = block.allowed(query, role[row], conv_id[row], ts[row])
+            query, row, count = query[keep], row[keep], count[keep]
+            top = contenders(query, count, ts[row], k)
+            found = pd.DataFrame({"query": query[top], "score": count[top], "ts": ts[row[top]],
+                                  "conv_id": conv_id[row[top]], "msg_id": msg_id[row[top]]})
+            found = found if best is None else pd.concat([best, found], ignore_index=True)
+            found = found.sort_values(list(rank), ascending=list(rank.values()))
+            best = found.groupby("query", sort=False).head(k)
+        if best is not None and len(best):
+            ids = pa.array([block.query_ids[q] for q in best["query"]], id_type)
+            yield pa.RecordBatch.from_arrays(
+                [ids, *(pa.array(best[c], kind) for c, kind in out.items())],
+                names=["query_id", *out])
+
+    return run

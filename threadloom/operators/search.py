@@ -6,23 +6,32 @@ the default weight: score = 0.1 x matching positions, whatever the text length.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from threadloom.functions.highlights import excerpts, highlights
-from threadloom.functions.stem import count_matches, lexemes, query_lexemes, stem_words
+from threadloom.functions.stem import (candidate_words, count_matches, english_words, known_stem, lexemes,
+                                       query_lexemes, stem_words)
 from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, word_list
 from threadloom.operators.filters import all_of, search_filters
+from threadloom.operators.scoring import QueryBlock, best_matches
 from threadloom.schemas import SEARCH_STOP_WORDS
-from threadloom.session import broadcast_if_small
+from threadloom.session import broadcast_if_small, hint_if_small, write_scratch
 
 SNIPPET = 400
 HIT = ["conv_id", "msg_id", "role", "ts", "text", "score", "highlights"]
-# Fixed value: weight of one matching position.
+# Fixed value: matching positions per unit of score.
 POSITION_WEIGHT = 10.0
+# Queries shipped to the scan at once, and how many lexemes one pattern may list.
+QUERY_BYTES = 8 << 20
+DIRECT_LEXEMES = 64
 
 
 def _plain_matches(col: Column, terms: list[str]) -> Column:
@@ -116,31 +125,65 @@ def search_many(messages: DataFrame, queries: DataFrame, k: int = 10, stemmer: s
                 postings: DataFrame | None = None) -> DataFrame:
     """The ``k`` best matching messages of every query (query_id, q): matches only.
 
-    Query lexemes are joined to word positions (or a postings table), counted per
-    (query, message) with map-side partial sums, and cut to ``k`` per query in
-    each task before the ranking shuffle. Snippets are fetched for the winners.
+    Over messages, queries travel to the scan in blocks of bounded size and each
+    task keeps ``k`` rows per query, so no (query, message) pair is shuffled unless
+    it is a candidate. Over a postings table, lexemes are joined and counted with
+    map-side partial sums. Snippets are fetched for the winners.
     """
     if not 1 <= k <= 200:
         raise ValueError("k must be between 1 and 200")
-    wanted = broadcast_if_small(prepare_queries(queries, stemmer))
-    rows = word_positions(messages, stemmer) if postings is None else postings
-    kind = messages.schema["ts"].dataType
+    wanted = write_scratch(prepare_queries(queries, stemmer), "queries")
+    scored = _scan_scores(messages, wanted, k, stemmer) if postings is None else _posting_scores(postings, wanted)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
+        .select("query_id", "rank", "conv_id", "msg_id", (F.col("score") / F.lit(POSITION_WEIGHT)).alias("score"))
+    bodies = messages.select("conv_id", "msg_id", "role", "ts", F.left("text", F.lit(SNIPPET)).alias("text"))
+    return bodies.join(broadcast_if_small(top), ["conv_id", "msg_id"]) \
+        .select("query_id", "rank", "conv_id", "msg_id", "role", "ts", "text", "score")
+
+
+def _posting_scores(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    kind = postings.schema["ts"].dataType
     applies = all_of([
         F.col("q_role").isNull() | (F.col("q_role") == F.col("role")),
         F.col("q_conv_id").isNull() | (F.col("q_conv_id") == F.col("conv_id")),
         F.col("q_date_from").isNull() | (F.col("ts") >= F.col("q_date_from").cast(kind)),
         F.col("q_date_to").isNull() | (F.col("ts") <= F.col("q_date_to").cast(kind)),
     ])
-    scored = (
-        rows.join(wanted, "lexeme").where(applies)
-        .groupBy("query_id", "conv_id", "msg_id", "ts")
-        .agg((F.sum("tf") / F.lit(POSITION_WEIGHT)).alias("score"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("ts")
-    bodies = messages.select("conv_id", "msg_id", "role", "ts", F.left("text", F.lit(SNIPPET)).alias("text"))
-    return bodies.join(broadcast_if_small(top), ["conv_id", "msg_id"]) \
-        .select("query_id", "rank", "conv_id", "msg_id", "role", "ts", "text", "score")
+    return postings.join(hint_if_small(wanted), "lexeme").where(applies) \
+        .groupBy("query_id", "conv_id", "msg_id", "ts").agg(F.sum("tf").alias("score"))
+
+
+def _scan_scores(messages: DataFrame, wanted: DataFrame, k: int, stemmer: str | None) -> DataFrame:
+    width = F.lit(64) + F.octet_length(F.col("query_id").cast("string")) + F.octet_length("lexeme")
+    total = wanted.agg(F.sum(width)).first()[0] or 0
+    blocks = max(1, math.ceil(total / QUERY_BYTES))
+    schema = StructType([wanted.schema["query_id"], messages.schema["conv_id"], messages.schema["msg_id"],
+                         StructField("ts", LongType()), StructField("score", LongType())])
+    limits = wanted.select(
+        "query_id", "lexeme", "q_role", "q_conv_id",
+        F.coalesce(F.unix_micros("q_date_from"), F.lit(-(1 << 63))).alias("low"),
+        F.coalesce(F.unix_micros("q_date_to"), F.lit((1 << 63) - 1)).alias("high"))
+    id_type = to_arrow_type(wanted.schema["query_id"].dataType)
+    found = []
+    for number in range(blocks):
+        rows = limits.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
+        if not rows:
+            continue
+        block = QueryBlock.of(pd.DataFrame([r.asDict() for r in rows]))
+        words, as_lexeme = _candidate_words(F.col("text"), list(block.lexemes), stemmer)
+        scan = messages.select("conv_id", "msg_id", "role", "ts", words.alias("words"))
+        found.append(scan.mapInArrow(best_matches(block, as_lexeme, k, id_type), schema))
+    return reduce(DataFrame.unionByName, found) if found else messages.sparkSession.createDataFrame([], schema)
+
+
+def _candidate_words(text: Column, lexemes: list[str], stemmer: str | None):
+    """Word lists for scoring, and how a word becomes a lexeme; few lexemes are looked for directly."""
+    if stemmer is not None:
+        return (candidate_words(text, lexemes) if len(lexemes) <= DIRECT_LEXEMES else english_words(text)), known_stem
+    lowered = F.lower(safe_text(text))
+    pattern = f"(?<!{WORD})(?:{'|'.join(lexemes)})(?!{WORD})" if len(lexemes) <= DIRECT_LEXEMES else f"{WORD}+"
+    return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0)), str
 
 
 def unusable_queries(queries: DataFrame) -> DataFrame:
