@@ -19,20 +19,22 @@ def conversation_summary(messages: DataFrame) -> DataFrame:
     )
 
 
+def conversations_with_counts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Every conversation with its message count and time span; messages are reduced before the join."""
+    return conversations.select("conv_id", "title", "owner_id") \
+        .join(conversation_summary(messages), "conv_id", "left") \
+        .withColumn("message_count", F.coalesce("message_count", F.lit(0)))
+
+
 def list_conversations(conversations: DataFrame, messages: DataFrame, owner_id: str | None = None,
                        limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of conversations, latest activity first; empty conversations last.
-
-    Messages are reduced to one row per conversation before the join.
-    """
+    """One page of conversations, latest activity first; empty conversations last."""
     if not 1 <= limit <= 500:
         raise ValueError("limit must be between 1 and 500")
     if offset < 0:
         raise ValueError("offset must not be negative")
-    listed = owned_by(conversations, owner_id).select("conv_id", "title", "owner_id")
     return (
-        listed.join(conversation_summary(messages), "conv_id", "left")
-        .withColumn("message_count", F.coalesce("message_count", F.lit(0)))
+        conversations_with_counts(owned_by(conversations, owner_id), messages)
         .orderBy(F.col("last_message_ts").desc_nulls_last(), F.col("title").asc_nulls_last(), "conv_id")
         .offset(offset).limit(limit)
     )

@@ -51,6 +51,13 @@ def anchor_messages(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     return _with_body(rows, messages)
 
 
+def reply_pairs(messages: DataFrame) -> DataFrame:
+    """Every message with each of its direct replies."""
+    replies = messages.select("conv_id", F.col("parent_id").alias("msg_id"), F.col("msg_id").alias("reply_id"),
+                              F.col("role").alias("reply_role"), F.col("ts").alias("reply_ts"))
+    return messages.select("conv_id", "msg_id", "role", "ts").join(replies, ["conv_id", "msg_id"])
+
+
 def ancestor_links(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     """(conv_id, anchor_id, msg_id, distance) for every ancestor, by pointer doubling.
 

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions.highlights import highlights
 from threadloom.functions.redact import redact, redact_table
+from threadloom.functions.lengths import estimate_tokens
 from threadloom.functions.stem import lexemes
-from threadloom.functions.text import search_terms, trim_text
-from threadloom.functions.times import minute_text
-from threadloom.operators import browse, filters, ingest, loads, packs, prompts, search, threads, topics, vectors
+from threadloom.functions import text as tx
+from threadloom.functions.times import iso_timestamp, minute_text
+from threadloom.operators import (browse, filters, ingest, loads, ordered, packs, prompts, search, threads, topics,
+                                  vectors)
 from threadloom.plans import fixtures as fx
 from threadloom.session import scratch_path, write_scratch
-from threadloom.sources.archives import list_archives, read_exports
+from threadloom.sources import archives
 from threadloom.sources.tables import read_conversations, read_table
-from threadloom.streaming.ingest import stream_embed, stream_ingest
+from threadloom.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -44,7 +46,7 @@ def topic_map(spark, sf_dir):
 
 
 @query
-def topic_map_capped(spark, sf_dir):
+def window_cap(spark, sf_dir):
     return _anchor_ids(topics.topic_map(fx.messages(spark, sf_dir), max_messages=300))
 
 
@@ -114,15 +116,15 @@ def duplicate_messages(spark, sf_dir):
 
 
 @query
-def trim_previews(spark, sf_dir):
+def trim_text(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", trim_text(F.col("text")).alias("preview"))
+    return docs.select("doc_id", tx.trim_text(F.col("text")).alias("preview"))
 
 
 @query
-def query_terms(spark, sf_dir):
+def parse_search_terms(spark, sf_dir):
     return fx.messages(spark, sf_dir).select(
-        "conv_id", "msg_id", F.array_join(search_terms(F.col("text")), " ").alias("terms"))
+        "conv_id", "msg_id", F.array_join(tx.search_terms(F.col("text")), " ").alias("terms"))
 
 
 # Browsing
@@ -143,12 +145,12 @@ def list_conversations(spark, sf_dir):
 
 
 @query
-def list_conversations_page2(spark, sf_dir):
+def list_page2(spark, sf_dir):
     return browse.list_conversations(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), limit=20, offset=20)
 
 
 @query
-def list_conversations_owner(spark, sf_dir):
+def list_owner(spark, sf_dir):
     spoken = fx.messages(spark, sf_dir).where(F.col("role") == "system")
     return browse.list_conversations(fx.conversations(spark, sf_dir), spoken, owner_id="owner_3", limit=500)
 
@@ -204,13 +206,13 @@ def thread(spark, sf_dir):
 # Filters
 
 @query
-def filtered_messages(spark, sf_dir):
+def dynamic_where(spark, sf_dir):
     wanted = {"role": "user", "date_from": "2024-01-01T12:00:00", "date_to": "2024-01-04", "colour": "ignored"}
     return filters.search_filters(fx.messages(spark, sf_dir), wanted)
 
 
 @query
-def messages_by_ids(spark, sf_dir):
+def filter_ids(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
     replies = rows.where(F.col("role") == "assistant")
     ids = replies.select(F.concat_ws("/", "conv_id", "parent_id").alias("message_id"))
@@ -241,10 +243,99 @@ def fk_orphans(spark, sf_dir):
     return filters.fk_orphans(fx.messages(spark, sf_dir), known).select("conv_id", "msg_id")
 
 
+@query
+def filter_owner(spark, sf_dir):
+    return filters.owned_by(fx.conversations(spark, sf_dir), "owner_1")
+
+
+@query
+def filter_conv(spark, sf_dir):
+    return filters.window(fx.document_messages(spark, sf_dir), conv_id="src3").select("conv_id", "msg_id", "ts")
+
+
+@query
+def filter_role(spark, sf_dir):
+    return filters.search_filters(fx.messages(spark, sf_dir), {"role": "assistant"}).select("conv_id", "msg_id")
+
+
+@query
+def filter_ts_range(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir)
+    return filters.window(rows, "2024-01-01T06:00:00+02:00", "2024-01-02").select("conv_id", "msg_id", "ts")
+
+
+@query
+def normalise_iso(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir)
+    text = F.concat(F.date_format("ts", " yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z "))
+    return rows.select("conv_id", "msg_id", iso_timestamp(text).cast("timestamp_ntz").alias("moment"))
+
+
+@query
+def split_message_id(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir).select(F.concat_ws("/", "conv_id", "msg_id", "role").alias("message_id"))
+    conv_id, msg_id = tx.split_message_id(F.col("message_id"))
+    return rows.select("message_id", conv_id.alias("conv_id"), msg_id.alias("msg_id"))
+
+
+@query
+def parent_child_self_join(spark, sf_dir):
+    return threads.reply_pairs(fx.messages(spark, sf_dir)).select("conv_id", "msg_id", "reply_id", "reply_role")
+
+
+@query
+def conv_left_join_messages(spark, sf_dir):
+    spoken = fx.messages(spark, sf_dir).where(F.col("role") == "system")
+    return browse.conversations_with_counts(fx.conversations(spark, sf_dir), spoken)
+
+
+@query
+def message_orphans(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir)
+    tags = rows.select("conv_id", "msg_id", F.col("role").alias("tag"))
+    return filters.message_orphans(tags, rows.where(F.length("text") > 200))
+
+
+@query
+def anchor(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir)
+    return threads.anchor_messages(rows, rows.where(F.col("role") == "user"))
+
+
+@query
+def missing_anchors(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir)
+    stored = rows.where(F.col("role") == "system")
+    return threads.missing_anchors(stored, rows)
+
+
+@query
+def tokenise(spark, sf_dir):
+    words = F.array_join(F.sort_array(tx.topic_tokens(F.col("text"))), " ")
+    return fx.document_messages(spark, sf_dir).select("msg_id", words.alias("tokens"))
+
+
+@query
+def canonical_text(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.lower(tx.strip_space(F.col("text"))).alias("canonical"))
+
+
+@query
+def shorten(spark, sf_dir):
+    return fx.messages(spark, sf_dir).select("conv_id", "msg_id", tx.shorten(F.col("text")).alias("summary"))
+
+
 # Search
 
 @query
-def search_plain(spark, sf_dir):
+def cover_density_score(spark, sf_dir):
+    rows = fx.document_messages(spark, sf_dir)
+    return search.score_messages(rows, ["the", "than", "und"], stemmer=None).select("conv_id", "msg_id", "score")
+
+
+@query
+def search_simple(spark, sf_dir):
     hits = search.search(fx.messages(spark, sf_dir), "The tion, und der?", k=50, stemmer=None)
     return hits.drop("highlights")
 
@@ -275,7 +366,7 @@ def _label_queries(rows: DataFrame) -> DataFrame:
 
 
 @query
-def search_many_plain(spark, sf_dir):
+def search_many_simple(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
     return search.search_many(rows, _label_queries(rows), k=10, stemmer=None)
 
@@ -338,7 +429,7 @@ def context_pack_documents(spark, sf_dir):
 
 
 @query
-def pack_lines(spark, sf_dir):
+def format_pack_line(spark, sf_dir):
     return fx.messages(spark, sf_dir).select("conv_id", "msg_id", packs.pack_line().alias("line"),
                                              minute_text(F.col("ts")).alias("minute"))
 
@@ -352,6 +443,19 @@ def build_prompts(spark, sf_dir):
     return prompts.build_prompts(rows, wanted, " Answer briefly. ", history=history)
 
 
+@query
+def pack_running_tokens(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir).select("conv_id", "msg_id", "ts", estimate_tokens(packs.pack_line()).alias("tokens"))
+    slabs = ordered.write_slabs(rows, ["conv_id"], ["ts", "msg_id"], F.col("tokens"))
+    return ordered.running_sum(slabs, ["conv_id"], ["ts", "msg_id"], "used", below=300)
+
+
+@query
+def memory_block(spark, sf_dir):
+    rows = fx.messages(spark, sf_dir)
+    return prompts.memory_block(search.search_many(rows, _label_queries(rows), k=5, stemmer=None))
+
+
 # Loads
 
 @query
@@ -433,16 +537,25 @@ def _export_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 @query
-def read_export_files(spark, sf_dir):
-    raw = read_exports(spark, _export_folder(spark, sf_dir))
+def read_export_json(spark, sf_dir):
+    raw = archives.read_exports(spark, _export_folder(spark, sf_dir))
     parsed, _ = ingest.parse_exports(raw)
     return ingest.project_conversations(parsed).groupBy("conv_id", "title", "owner_id") \
         .agg(F.count("*").alias("conversations"))
 
 
 @query
-def list_export_files(spark, sf_dir):
-    listed = list_archives(spark, _export_folder(spark, sf_dir))
+def read_export_zip(spark, sf_dir):
+    folder = scratch_path(spark, "archives")
+    fx.write_archives(_exports(spark, sf_dir), folder)
+    parsed, _ = ingest.parse_exports(archives.read_exports(spark, folder))
+    rows = ingest.normalise_messages(ingest.explode_messages(parsed))
+    return rows.select("conv_id", "msg_id", "hash")
+
+
+@query
+def list_archives(spark, sf_dir):
+    listed = archives.list_archives(spark, _export_folder(spark, sf_dir))
     return listed.groupBy("status").agg(F.count("member").alias("members"))
 
 
@@ -450,12 +563,12 @@ def _streamed_root(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "tables")
     folder = _export_folder(spark, sf_dir)
     for run in ("first", "second"):  # the second run re-imports everything and must add nothing
-        stream_ingest(spark, folder, root, scratch_path(spark, f"offsets-{run}")).awaitTermination()
+        streams.stream_ingest(spark, folder, root, scratch_path(spark, f"offsets-{run}")).awaitTermination()
     return root
 
 
 @query
-def stream_ingest_messages(spark, sf_dir):
+def stream_ingest(spark, sf_dir):
     rows = read_table(spark, _streamed_root(spark, sf_dir), "messages")
     return rows.select("conv_id", "msg_id", "role", F.col("ts").cast("timestamp_ntz").alias("ts"), "text", "hash")
 
@@ -466,10 +579,10 @@ def stream_ingest_conversations(spark, sf_dir):
 
 
 @query
-def stream_embed_messages(spark, sf_dir):
+def stream_embed(spark, sf_dir):
     root = _streamed_root(spark, sf_dir)
     for _ in range(2):
-        stream_embed(spark, root, scratch_path(spark, "offsets-embed"), vectors.hashing_embedder(16), 16,
+        streams.stream_embed(spark, root, scratch_path(spark, "offsets-embed"), vectors.hashing_embedder(16), 16,
                      "hash-16").awaitTermination()
     done = read_table(spark, root, "message_embeddings")
     return done.select("conv_id", "msg_id", "model", F.size("embedding").alias("dim"))

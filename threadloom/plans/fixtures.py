@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions.text import safe_text, strip_space
@@ -51,3 +56,24 @@ def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         F.lit(None).cast("string").alias("parent_id"),
     )
+
+
+def write_archives(conversations: DataFrame, folder: str) -> None:
+    """Write conversation texts as ZIP exports into a folder, one archive per partition."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        filesystem, inner = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        filesystem.create_dir(inner)
+        with filesystem.open_output_stream(f"{inner}/{uuid.uuid4().hex}.zip", compression=None) as stream, \
+                zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive, \
+                archive.open("conversations.json", "w", force_zip64=True) as member:
+            separator = b"["
+            for batch in batches:
+                for text in batch.column("conversation").to_pylist():
+                    member.write(separator + text.encode())
+                    separator = b",\n"
+            member.write(b"]" if separator != b"[" else b"[]")
+        yield pa.RecordBatch.from_arrays([pa.array([inner])], names=["folder"])
+
+    conversations.select("conversation").mapInArrow(pack, "folder string").write.format("noop").mode("overwrite").save()

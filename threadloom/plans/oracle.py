@@ -194,7 +194,7 @@ def all_sql() -> dict[str, str]:
     window = "ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-03'"
     return {
         "topic_map": topic_map(MESSAGES),
-        "topic_map_capped": topic_map(MESSAGES, "SELECT * FROM messages ORDER BY ts, conv_id, msg_id LIMIT 300"),
+        "window_cap": topic_map(MESSAGES, "SELECT * FROM messages ORDER BY ts, conv_id, msg_id LIMIT 300"),
         "topic_map_range": topic_map(MESSAGES, f"SELECT * FROM messages WHERE {window}", limit=20),
         "topic_map_conv": topic_map(MESSAGES, "SELECT * FROM messages WHERE conv_id = '3'", least=1),
         "topic_map_documents": topic_map(DOCUMENTS, limit=50, samples=5),
@@ -218,16 +218,16 @@ SELECT period, label, occurrences, rank FROM ranked WHERE rank <= 10""",
 SELECT hash, count(*) AS copies, count(DISTINCT conv_id) AS conversations,
        arg_min(conv_id, ts) AS first_conv_id, arg_min(msg_id, ts) AS first_msg_id
 FROM hashes GROUP BY hash HAVING count(*) > 1""",
-        "trim_previews": f"SELECT doc_id, {trimmed('text')} AS preview FROM documents",
-        "query_terms": rf"""{with_messages}SELECT conv_id, msg_id,
+        "trim_text": f"SELECT doc_id, {trimmed('text')} AS preview FROM documents",
+        "parse_search_terms": rf"""{with_messages}SELECT conv_id, msg_id,
   array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w)), ' ') AS terms
 FROM messages""",
 
         "count_conversations": f"WITH {CONVERSATIONS} SELECT count(*) AS total FROM convs WHERE owner_id = 'owner_3'",
         "conversation_summary": f"WITH {MESSAGES}, {_SUMMARY.format(source='messages')} SELECT * FROM summary",
         "list_conversations": conversation_list(),
-        "list_conversations_page2": conversation_list(page="LIMIT 20 OFFSET 20"),
-        "list_conversations_owner": conversation_list("(SELECT * FROM messages WHERE role = 'system')",
+        "list_page2": conversation_list(page="LIMIT 20 OFFSET 20"),
+        "list_owner": conversation_list("(SELECT * FROM messages WHERE role = 'system')",
                                                       "owner_id = 'owner_3'", "LIMIT 500"),
         "conversation_stats": with_messages + """SELECT conv_id, count(*) AS message_count,
   string_agg(DISTINCT role, ',' ORDER BY role) AS participant_roles, min(ts) AS first_message_ts,
@@ -257,9 +257,9 @@ links AS (
 SELECT l.conv_id, l.anchor_id, l.relation, l.distance, l.order_idx, l.msg_id, m.parent_id, m.role, m.ts, m.text
 FROM links l JOIN messages m USING (conv_id, msg_id)""",
 
-        "filtered_messages": with_messages + """SELECT * FROM messages WHERE role = 'user'
+        "dynamic_where": with_messages + """SELECT * FROM messages WHERE role = 'user'
   AND ts >= TIMESTAMP '2024-01-01 12:00:00' AND ts <= TIMESTAMP '2024-01-04'""",
-        "messages_by_ids": with_messages + """SELECT conv_id, msg_id, role, ts FROM messages WHERE (conv_id, msg_id) IN
+        "filter_ids": with_messages + """SELECT conv_id, msg_id, role, ts FROM messages WHERE (conv_id, msg_id) IN
   (SELECT (conv_id, parent_id) FROM messages WHERE role = 'assistant' AND parent_id IS NOT NULL)""",
         "tag_filter": with_messages
         + "SELECT conv_id, msg_id FROM messages WHERE role = 'assistant' AND length(text) > 500",
@@ -272,11 +272,37 @@ SELECT * FROM checked WHERE reason <> ''""",
         "fk_orphans": f"""WITH {MESSAGES}, {CONVERSATIONS}
 SELECT m.conv_id, m.msg_id FROM messages m JOIN convs USING (conv_id) WHERE owner_id = 'owner_3'""",
 
-        "search_plain": search(MESSAGES, ["the", "tion", "und", "der"], 50),
+        "filter_owner": f"WITH {CONVERSATIONS} SELECT * FROM convs WHERE owner_id = 'owner_1'",
+        "filter_conv": f"WITH {DOCUMENTS} SELECT conv_id, msg_id, ts FROM messages WHERE conv_id = 'src3'",
+        "filter_role": with_messages + "SELECT conv_id, msg_id FROM messages WHERE role = 'assistant'",
+        "filter_ts_range": with_messages + """SELECT conv_id, msg_id, ts FROM messages
+  WHERE ts BETWEEN TIMESTAMP '2024-01-01 04:00:00' AND TIMESTAMP '2024-01-02'""",
+        "normalise_iso": with_messages + "SELECT conv_id, msg_id, ts AS moment FROM messages",
+        "split_message_id": with_messages + """SELECT conv_id || '/' || msg_id || '/' || role AS message_id, conv_id,
+  msg_id || '/' || role AS msg_id FROM messages""",
+        "parent_child_self_join": with_messages + """SELECT p.conv_id, p.msg_id, c.msg_id AS reply_id, c.role AS reply_role
+FROM messages p JOIN messages c ON c.conv_id = p.conv_id AND c.parent_id = p.msg_id""",
+        "conv_left_join_messages": conversation_list("(SELECT * FROM messages WHERE role = 'system')", page=""),
+        "message_orphans": with_messages + """SELECT conv_id, msg_id, role AS tag FROM messages
+  WHERE length(text) <= 200""",
+        "anchor": with_messages + "SELECT *, msg_id AS anchor_id FROM messages WHERE role = 'user'",
+        "missing_anchors": with_messages + """SELECT conv_id, msg_id AS anchor_id,
+  CASE WHEN conv_id IN (SELECT conv_id FROM messages WHERE role = 'system')
+       THEN 'message not found in conversation' ELSE 'conversation not found' END AS reason
+FROM messages WHERE role <> 'system'""",
+        "tokenise": f"""WITH {DOCUMENTS}, scope AS (SELECT * FROM messages), {_tokens()}
+SELECT m.msg_id, coalesce(t.tokens, '') AS tokens FROM messages m LEFT JOIN (
+  SELECT conv_id, msg_id, string_agg(label, ' ' ORDER BY label) AS tokens FROM tokens GROUP BY ALL) t
+  USING (conv_id, msg_id)""",
+        "canonical_text": f"SELECT doc_id, lower({stripped('text')}) AS canonical FROM documents",
+        "cover_density_score": f"""WITH {DOCUMENTS} SELECT conv_id, msg_id,
+  len(list_filter({_plain_words('text')}, lambda w: w IN ('the', 'than', 'und'))) / 10.0::DOUBLE AS score FROM messages""",
+
+        "search_simple": search(MESSAGES, ["the", "tion", "und", "der"], 50),
         "search_filtered": search(MESSAGES, ["est", "que"], 200,
                                   "role = 'system' AND ts >= TIMESTAMP '2024-01-01 06:00:00'"),
         "search_documents": search(DOCUMENTS, ["than", "from"], 100, pad=False),
-        "search_many_plain": search_many(MESSAGES),
+        "search_many_simple": search_many(MESSAGES),
         "search_many_postings": search_many(DOCUMENTS),
         "build_postings": f"""{with_messages}SELECT lexeme, conv_id, msg_id, role, ts, count(*) AS tf
 FROM (SELECT conv_id, msg_id, role, ts, unnest({_plain_words('text')}) AS lexeme FROM messages) GROUP BY ALL""",
@@ -284,9 +310,15 @@ FROM (SELECT conv_id, msg_id, role, ts, unnest({_plain_words('text')}) AS lexeme
         "context_pack": context_pack(MESSAGES, 6000),
         "context_pack_truncated": context_pack(MESSAGES, 200),
         "context_pack_documents": context_pack(DOCUMENTS, 16384),
-        "pack_lines": f"""{with_messages}SELECT conv_id, msg_id, {_LINE} AS line,
+        "format_pack_line": f"""{with_messages}SELECT conv_id, msg_id, {_LINE} AS line,
   strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM messages""",
 
+        "pack_running_tokens": f"""{with_messages}, sized AS (
+  SELECT conv_id, msg_id, ts, ceil(length({_LINE}) / 4.0)::INT AS tokens FROM messages),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY ts, msg_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used
+  FROM sized)
+SELECT * FROM summed WHERE used <= 300""",
+
         "dedupe_by_key": f"""WITH {DOCUMENTS} SELECT {hashed('text')} AS hash, min(ts) AS ts, arg_min(msg_id, ts) AS msg_id
 FROM messages GROUP BY 1""",
         "insert_ignore": with_messages + "SELECT * FROM messages WHERE role <> 'user'",
@@ -298,14 +330,15 @@ FROM messages GROUP BY 1""",
         "normalise_export": _normalised(),
         "ingest_export": f"""SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash
 FROM documents WHERE lang IS DISTINCT FROM 'en'""",
+        "read_export_zip": f"SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash FROM documents",
         "import_summary": """SELECT count(*) AS imported, count(*) FILTER (lang IS DISTINCT FROM 'en') AS inserted,
   count(*) AS conversations FROM documents""",
-        "read_export_files": """SELECT source AS conv_id, 'From ' || source AS title, 'default' AS owner_id,
+        "read_export_json": """SELECT source AS conv_id, 'From ' || source AS title, 'default' AS owner_id,
   count(*) AS conversations FROM documents GROUP BY source""",
-        "stream_ingest_messages": f"SELECT conv_id, msg_id, role, ts, text, hash FROM ({_normalised()})",
+        "stream_ingest": f"SELECT conv_id, msg_id, role, ts, text, hash FROM ({_normalised()})",
         "stream_ingest_conversations": """SELECT DISTINCT source AS conv_id, 'From ' || source AS title,
   'default' AS owner_id FROM documents""",
-        "stream_embed_messages": """SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, 'hash-16' AS model, 16 AS dim
+        "stream_embed": """SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, 'hash-16' AS model, 16 AS dim
 FROM documents""",
 
         "embed_messages": with_messages
