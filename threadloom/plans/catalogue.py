@@ -355,8 +355,7 @@ def search_documents(spark, sf_dir):
 
 @query
 def search_english(spark, sf_dir):
-    hits = search.search(fx.messages(spark, sf_dir), "tioned things thanes", k=50)
-    return hits.withColumn("highlights", F.array_join("highlights", "\n"))
+    return search.search(fx.messages(spark, sf_dir), "the tioned things", k=50).drop("highlights")
 
 
 def _label_queries(rows: DataFrame) -> DataFrame:
@@ -440,7 +439,7 @@ def build_prompts(spark, sf_dir):
     wanted = write_scratch(_label_queries(rows), "queries")
     history = wanted.select("query_id", F.lit(1).alias("turn"), F.lit("user").alias("role"),
                             F.lit("Hello").alias("content"))
-    return prompts.build_prompts(rows, wanted, " Answer briefly. ", history=history)
+    return prompts.build_prompts(rows, wanted, " Answer briefly. ", history=history, stemmer=None)
 
 
 @query
@@ -555,8 +554,9 @@ def read_export_zip(spark, sf_dir):
 
 @query
 def list_archives(spark, sf_dir):
-    listed = archives.list_archives(spark, _export_folder(spark, sf_dir))
-    return listed.groupBy("status").agg(F.count("member").alias("members"))
+    folder = scratch_path(spark, "archives")
+    fx.write_archives(_exports(spark, sf_dir), folder)
+    return archives.list_archives(spark, folder).select("member", "status").distinct()
 
 
 def _streamed_root(spark: SparkSession, sf_dir: str) -> str:

@@ -124,8 +124,8 @@ def search(base: str, terms: list[str], k: int, where: str = "true", pad: bool =
 SELECT * FROM scored {least} ORDER BY score DESC, ts DESC, conv_id, msg_id LIMIT {k}"""
 
 
-def search_many(base: str, k: int = 10) -> str:
-    return f"""WITH {base}, scope AS (SELECT * FROM messages), {_tokens()}, {_top(20, 2)},
+def _many(base: str, k: int) -> str:
+    return f"""{base}, scope AS (SELECT * FROM messages), {_tokens()}, {_top(20, 2)},
 wanted AS (SELECT DISTINCT label AS query_id, unnest({_plain_words('label')}) AS lexeme FROM top),
 words AS (SELECT conv_id, msg_id, ts, unnest({_plain_words('text')}) AS lexeme FROM messages),
 scored AS (
@@ -133,9 +133,60 @@ scored AS (
   FROM words JOIN wanted USING (lexeme) GROUP BY ALL),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, conv_id, msg_id) AS rank
-  FROM scored)
-SELECT r.query_id, r.rank, r.conv_id, r.msg_id, m.role, m.ts, left(m.text, 400) AS text, r.score
-FROM ranked r JOIN messages m USING (conv_id, msg_id) WHERE r.rank <= {k}"""
+  FROM scored),
+hits AS (
+  SELECT r.query_id, r.rank, r.conv_id, r.msg_id, m.role, m.ts, left(m.text, 400) AS text, r.score
+  FROM ranked r JOIN messages m USING (conv_id, msg_id) WHERE r.rank <= {k})"""
+
+
+def search_many(base: str, k: int = 10) -> str:
+    return f"WITH {_many(base, k)} SELECT * FROM hits"
+
+
+def search_english() -> str:
+    """The words whose stem is tion or thing: the two words and their regular endings."""
+    forms = "^(tion|thing)(s|es|ed|edly|ing|ingly|ly|lyed|lying)?$"
+    return f"""WITH {MESSAGES}, scored AS (
+  SELECT conv_id, msg_id, role, ts, left(text, 400) AS text,
+         len(list_filter({_plain_words('text')}, lambda w: regexp_matches(w, '{forms}'))) / 10.0::DOUBLE AS score
+  FROM messages)
+SELECT * FROM scored ORDER BY score DESC, ts DESC, conv_id, msg_id LIMIT 50"""
+
+
+def shortened(text: str) -> str:
+    """One line of at most 220 characters, cut before a word (the given texts have no hyphens)."""
+    line = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return (f"CASE WHEN length({line}) <= 220 THEN {line} "
+            f"ELSE regexp_extract(left({line}, 220), '^(.*) ', 1) || '…' END")
+
+
+def _memory(k: int) -> str:
+    line = (f"'- [' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' | ' || role || ' | score ' || "
+            f"printf('%.3f', score) || '] ' || {shortened('text')}")
+    return f"""{_many(MESSAGES, k)}, memory AS (
+  SELECT query_id, string_agg({line}, chr(10) ORDER BY rank) AS memory FROM hits WHERE text <> '' GROUP BY query_id)"""
+
+
+def highlights() -> str:
+    """Excerpts for the terms tion and the, taken left to right while they do not overlap."""
+    return f"""WITH RECURSIVE {MESSAGES}, snippets AS (SELECT conv_id, msg_id, left(text, 400) AS snip FROM messages),
+places AS (
+  SELECT *, list_filter(range(1, length(snip) + 1),
+      lambda i: substr(lower(snip), i, 4) = 'tion' OR substr(lower(snip), i, 3) = 'the') AS pos FROM snippets),
+picks AS (
+  SELECT conv_id, msg_id, snip, pos, 0 AS n, 0::BIGINT AS taken, '' AS piece FROM places
+  UNION ALL
+  SELECT conv_id, msg_id, snip, pos, n + 1, high,
+    CASE WHEN low > 0 THEN '…' ELSE '' END || left(span, strpos(span, word) - 1) || '**' || word || '**'
+      || substr(span, strpos(span, word) + length(word)) || CASE WHEN high < length(snip) THEN '…' ELSE '' END
+  FROM (
+    SELECT *, substr(snip, low + 1, high - low) AS span FROM (
+      SELECT *, greatest(p - 41, 0)::BIGINT AS low, least(p - 1 + length(word) + 40, length(snip))::BIGINT AS high FROM (
+        SELECT *, substr(snip, p, CASE WHEN substr(lower(snip), p, 3) = 'the' THEN 3 ELSE 4 END) AS word FROM (
+          SELECT *, list_filter(pos, lambda i: greatest(i - 41, 0) >= taken)[1] AS p FROM picks WHERE n < 3)
+        WHERE p IS NOT NULL))))
+SELECT conv_id, msg_id, coalesce(string_agg(piece, chr(10) ORDER BY n) FILTER (n > 0), '') AS highlights
+FROM picks GROUP BY conv_id, msg_id"""
 
 
 # Packs
@@ -298,6 +349,15 @@ SELECT m.msg_id, coalesce(t.tokens, '') AS tokens FROM messages m LEFT JOIN (
         "cover_density_score": f"""WITH {DOCUMENTS} SELECT conv_id, msg_id,
   len(list_filter({_plain_words('text')}, lambda w: w IN ('the', 'than', 'und'))) / 10.0::DOUBLE AS score FROM messages""",
 
+        "search_english": search_english(),
+        "search_highlights": highlights(),
+        "shorten": f"{with_messages}SELECT conv_id, msg_id, {shortened('text')} AS summary FROM messages",
+        "memory_block": f"WITH {_memory(5)} SELECT * FROM memory",
+        "build_prompts": f"""WITH {_memory(5)}
+SELECT label AS query_id, 1 AS section, 0::BIGINT AS turn, 'system' AS role, 'Answer briefly.' AS content FROM top
+UNION ALL SELECT query_id, 2, 0, 'system', 'Relevant memory:' || chr(10) || memory FROM memory
+UNION ALL SELECT label, 3, 1, 'user', 'Hello' FROM top
+UNION ALL SELECT label, 4, 0, 'user', label FROM top""",
         "search_simple": search(MESSAGES, ["the", "tion", "und", "der"], 50),
         "search_filtered": search(MESSAGES, ["est", "que"], 200,
                                   "role = 'system' AND ts >= TIMESTAMP '2024-01-01 06:00:00'"),
@@ -331,6 +391,7 @@ FROM messages GROUP BY 1""",
         "ingest_export": f"""SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash
 FROM documents WHERE lang IS DISTINCT FROM 'en'""",
         "read_export_zip": f"SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash FROM documents",
+        "list_archives": "SELECT DISTINCT 'conversations.json' AS member, 'ok' AS status FROM documents",
         "import_summary": """SELECT count(*) AS imported, count(*) FILTER (lang IS DISTINCT FROM 'en') AS inserted,
   count(*) AS conversations FROM documents""",
         "read_export_json": """SELECT source AS conv_id, 'From ' || source AS title, 'default' AS owner_id,
