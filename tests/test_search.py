@@ -36,6 +36,13 @@ def test_plain_scores_match_whole_words(talk):
         se.search(talk, " ?! ")
 
 
+@pytest.mark.parametrize("stemmer", ["english", None])
+def test_words_beyond_the_basic_plane(messages, stemmer):
+    rows = messages([("c", "1", "user", T(1), "𝐀cat cat𝐀 😀cat 𐀀𐀁"), ("c", "2", "user", T(2), "x𐀀𐀁 cat_cat")])
+    assert keys(se.search(rows, "cat", stemmer=stemmer, pad=False))[-1] == ("c", "1", 0.1)
+    assert keys(se.search(rows, "𐀀𐀁", stemmer=stemmer, pad=False)) == [("c", "1", 0.1)]
+
+
 def test_filters_and_snippet(messages, talk):
     out = keys(se.search(talk, "dog", filters={"role": "user", "conv_id": "b", "date_to": T(3)}))
     assert out == [("b", "2", 0.2), ("b", "1", 0.1)]

@@ -75,6 +75,7 @@ def test_redaction_literals(spark):
         "é555-123-4567": "é555-123-4567",
         "a\xa0bob@x.com\xa0b": "a\xa0«EMAIL»\xa0b",
         "@@ a@ @b a@b": "@@ a@ @b «EMAIL»",
+        "𝐀555-123-4567 😀555-123-4567 𝐀1.2.3.4": "𝐀555-123-4567 😀«PHONE» 𝐀1.2.3.4",
     }
     assert column(spark, list(cases), redact) == list(cases.values())
     assert column(spark, ["bob@example.com", None], lambda c: redact(c, False)) == ["bob@example.com", ""]
@@ -82,7 +83,7 @@ def test_redaction_literals(spark):
 
 
 def test_redaction_matches_python(spark):
-    texts = noise(600, "a1.@-: /\xa0\x1cé²٣_555http://%#", 80, 3)
+    texts = noise(600, "a1.@-: /\xa0\x1cé²٣_555http://%#𝐀😀", 80, 3)
     texts += [f"{a}555{b}123{c}4567{d} 10.0.0.{a}1 http://x{b}y{d}" for a in "_ é" for b in "-. " for c in "-." for d in "²x "]
 
     def expected(t):

@@ -57,10 +57,9 @@ def content_hash(text: Column) -> Column:
     return F.sha2(F.lower(strip_space(safe_text(text))), 256)
 
 
-def message_columns(fields: Column, node_id: Column, node_parent: Column, fallback_ts: Column,
+def message_columns(fields: Column, raw: Column, node_id: Column, node_parent: Column, fallback_ts: Column,
                     enable_pii: bool = True, hash_on: str = "raw") -> dict[str, Column]:
-    """Message columns of a payload given as map<string, variant>."""
-    raw = content_text(fields)
+    """Message columns of a payload given as map<string, variant> and its body text."""
     text = redact(raw, enable_pii)
     digest = content_hash(raw if hash_on == "raw" else text)
     source = F.when(F.map_contains_key(fields, "source"), _string(fields, "source")) \

@@ -9,8 +9,11 @@ from threadloom.functions.text import SPACE_SET, WORD, safe_text
 # One e-mail hit covers a whole run of non-blank characters, so the pattern is
 # anchored at the start of the run: linear even on very long runs.
 _EMAIL = f"(?<![^{SPACE_SET}])[^{SPACE_SET}][^{SPACE_SET}@]*+@[^{SPACE_SET}]++"
-_PHONE = rf"(?<!{WORD})\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{3}}[-.]?\p{{Nd}}{{4}}(?!{WORD})"
-_IPV4 = rf"(?<!{WORD})\p{{Nd}}{{1,3}}(?:\.\p{{Nd}}{{1,3}}){{3}}(?!{WORD})"
+# The first digit is matched before the look-behind, which then runs on digits only.
+_DIGIT = r"\p{Nd}"
+_START = f"{_DIGIT}(?<!{WORD}{_DIGIT})"
+_PHONE = rf"{_START}{_DIGIT}{{2}}[-.]?{_DIGIT}{{3}}[-.]?{_DIGIT}{{4}}(?!{WORD})"
+_IPV4 = rf"{_START}{_DIGIT}{{0,2}}(?:\.{_DIGIT}{{1,3}}){{3}}(?!{WORD})"
 _URL = r"https?://[a-z!$-_]++"
 
 # The kinds in the order they are applied, and their markers.
@@ -22,11 +25,17 @@ KINDS = [
 ]
 
 
+def _replace(text: Column, kind: str, pattern: str, marker: str) -> Column:
+    replaced = F.regexp_replace(text, pattern, marker)
+    # Most texts hold no @ and skip the pattern that looks at every run of characters.
+    return F.when(F.contains(text, F.lit("@")), replaced).otherwise(text) if kind == "email" else replaced
+
+
 def redact(col: Column, enable_pii: bool = True) -> Column:
     text = safe_text(col)
     if enable_pii:
-        for _, pattern, marker in KINDS:
-            text = F.regexp_replace(text, pattern, marker)
+        for kind, pattern, marker in KINDS:
+            text = _replace(text, kind, pattern, marker)
     return text
 
 
@@ -39,7 +48,7 @@ def redact_table(df: DataFrame, column: str = "text", enable_pii: bool = True) -
             continue
         # A hit can only exist where the marker was written, so untouched rows skip the count.
         staged = (
-            staged.withColumn("_next", F.regexp_replace("_step", pattern, marker))
+            staged.withColumn("_next", _replace(F.col("_step"), kind, pattern, marker))
             .withColumn(f"{kind}_hits", F.when(F.col("_next") == F.col("_step"), F.lit(0))
                         .otherwise(F.regexp_count(F.col("_step"), F.lit(pattern))))
             .withColumn("_step", F.col("_next")).drop("_next")

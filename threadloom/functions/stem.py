@@ -201,8 +201,9 @@ def candidate_words(col: Column, wanted: list[str]) -> Column:
     A stem differs from its word by at most its last two letters, so only words
     sharing the rest of a wanted stem leave the JVM.
     """
-    heads = "|".join(sorted({s[:max(1, len(s) - 2)] for s in wanted}))
-    pattern = f"(?<!{LETTER_OR_DIGIT})(?:{heads}){LETTER_OR_DIGIT}*+"
+    heads = sorted({s[:max(1, len(s) - 2)] for s in wanted})
+    firsts = "".join(sorted({h[0] for h in heads}))
+    pattern = f"(?=[{firsts}])(?<!{LETTER_OR_DIGIT})(?:{'|'.join(heads)}){LETTER_OR_DIGIT}*+"
     return _without_stop_words(F.regexp_extract_all(F.lower(safe_text(col)), F.lit(pattern), F.lit(0)))
 
 

@@ -20,14 +20,26 @@ SPACE_SET = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 # Every Unicode white-space character and the four information separators.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) \
     + "\u2028\u2029\u202f\u205f\u3000"
-WORD = r"[\p{L}\p{N}_]"
-LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
+# U+10000 is a letter already; naming it makes look-behinds step over whole
+# characters beyond the basic plane instead of half of one.
+WORD = "[\\p{L}\\p{N}_\U00010000]"
+LETTER_OR_DIGIT = "[\\p{L}\\p{N}\U00010000]"
 
 
 def strip_space(col: Column) -> Column:
     return F.btrim(col, F.lit(BLANKS))
 
 
+def whole_words(words: list[str]) -> str:
+    """Pattern for any of the given lower-case words standing alone.
+
+    The cheap look at the first letter comes first: it rejects most positions
+    before the look-behind runs.
+    """
+    firsts = "".join(sorted({w[0] for w in words}))
+    return f"(?=[{firsts}])(?<!{WORD})(?:{'|'.join(sorted(set(words)))})(?!{WORD})"
+
+
 def safe_text(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.functions.normalise import CONVERSATION, message_columns, moment
+from threadloom.functions.normalise import CONVERSATION, content_text, message_columns, moment
 from threadloom.operators.filters import split_valid
 from threadloom.operators.loads import import_summary, insert_ignore, upsert_title
 
@@ -44,9 +44,9 @@ def normalise_messages(nodes: DataFrame, ingest_ts: Column | None = None, enable
                        hash_on: str = "raw") -> DataFrame:
     """Message rows plus their arrival order; ``ingest_ts`` replaces the archive time as last resort."""
     fallback = F.col("fallback_ts") if ingest_ts is None else F.coalesce("fallback_ts", ingest_ts)
-    columns = message_columns(F.col("fields"), F.col("node_id"), F.col("node_parent"), fallback,
+    columns = message_columns(F.col("fields"), F.col("raw"), F.col("node_id"), F.col("node_parent"), fallback,
                               enable_pii, hash_on)
-    return nodes.select("conv_id", *[c.alias(name) for name, c in columns.items()], *ARRIVAL, "position")
+    return nodes.withColumn("raw", content_text(F.col("fields"))).select("conv_id", *[c.alias(name) for name, c in columns.items()], *ARRIVAL, "position")
 
 
 @dataclass

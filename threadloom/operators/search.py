@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from threadloom.functions.highlights import excerpts, highlights
 from threadloom.functions.stem import (candidate_words, count_matches, english_words, known_stem, lexemes,
                                        query_lexemes, stem_words)
-from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, word_list
+from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, whole_words, word_list
 from threadloom.operators.filters import all_of, search_filters
 from threadloom.operators.scoring import QueryBlock, best_matches
 from threadloom.schemas import SEARCH_STOP_WORDS
@@ -35,8 +35,7 @@ DIRECT_LEXEMES = 64
 
 
 def _plain_matches(col: Column, terms: list[str]) -> Column:
-    words = "|".join(sorted(set(terms)))
-    return F.regexp_count(F.lower(safe_text(col)), F.lit(f"(?<!{WORD})(?:{words})(?!{WORD})"))
+    return F.regexp_count(F.lower(safe_text(col)), F.lit(whole_words(terms)))
 
 
 def score_messages(messages: DataFrame, terms: list[str], stemmer: str | None = "english") -> DataFrame:
@@ -182,7 +181,7 @@ def _candidate_words(text: Column, lexemes: list[str], stemmer: str | None):
     if stemmer is not None:
         return (candidate_words(text, lexemes) if len(lexemes) <= DIRECT_LEXEMES else english_words(text)), known_stem
     lowered = F.lower(safe_text(text))
-    pattern = f"(?<!{WORD})(?:{'|'.join(lexemes)})(?!{WORD})" if len(lexemes) <= DIRECT_LEXEMES else f"{WORD}+"
+    pattern = whole_words(lexemes) if len(lexemes) <= DIRECT_LEXEMES else f"{WORD}+"
     return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0)), str
 
 
