@@ -63,18 +63,18 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hint_if_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def hint_if_small(table: DataFrame) -> DataFrame:
     """Hint a broadcast of a written table once its rows are measured; larger tables stay unhinted."""
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns),
                 F.lit(32))
     size = table.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(table) if size <= max_bytes else table
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
-def broadcast_if_small(rows: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(rows: DataFrame) -> DataFrame:
     """Write narrow key rows once, then broadcast them if they measure small enough.
 
     Beyond the bound the join is left to the optimiser, which knows the size of
     the written table and splits skewed partitions at run time.
     """
-    return hint_if_small(write_scratch(rows, "keys"), max_bytes)
+    return hint_if_small(write_scratch(rows, "keys"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from threadloom.schemas import CONVERSATIONS, TABLES
 
 _ARRIVAL = ["loaded_at", "archive", "ordinal"]
-_CLUSTER = {"conversations": ["conv_id"], "messages": ["conv_id", "ts", "msg_id"]}
+_CLUSTER = {"messages": ["conv_id", "ts", "msg_id"], "message_embeddings": ["conv_id", "msg_id"]}
 
 
 def location(root: str, name: str) -> str:
@@ -41,14 +41,15 @@ def read_conversations(spark: SparkSession, root: str) -> DataFrame:
 
 
 def append_table(rows: DataFrame, root: str, name: str) -> None:
-    """Append rows clustered by conversation and time, so scans can skip files.
+    """Append rows, the large tables clustered by conversation and time so that scans can skip files.
 
     Range clustering splits a large conversation over several files.
     """
     absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields if f.name not in rows.columns]
-    keys = _CLUSTER.get(name, ["conv_id", "msg_id"])
-    rows.select("*", *absent).select(TABLES[name].names).repartitionByRange(*keys).sortWithinPartitions(*keys) \
-        .write.mode("append").parquet(location(root, name))
+    ready = rows.select("*", *absent).select(TABLES[name].names)
+    if name in _CLUSTER:
+        ready = ready.repartitionByRange(*_CLUSTER[name]).sortWithinPartitions(*_CLUSTER[name])
+    ready.write.mode("append").parquet(location(root, name))
 
 
 def append_conversations(headers: DataFrame, root: str) -> None:
