@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from threadloom.operators import topics as tp
 
@@ -80,5 +79,10 @@ def test_anchors_are_cut_before_the_shuffle(messages, capsys):
     tp.topic_anchors(scope, tp.top_topics(scope)).explain()
     plan = capsys.readouterr().out
     assert plan.count("WindowGroupLimit") >= 2 and "BroadcastNestedLoopJoin" not in plan
-    tp.topic_window(scope.withColumn("ts", F.col("ts")), max_messages=10).explain()
-    assert "TakeOrderedAndProject" in capsys.readouterr().out
+
+
+def test_cap_reaches_the_scan(spark, messages, tmp_path, capsys):
+    messages([("c", str(i), "user", f"2024-01-01 00:{i:02}:00", "x") for i in range(20)]).write.parquet(str(tmp_path / "m"))
+    capped = tp.topic_window(spark.read.parquet(str(tmp_path / "m")), max_messages=10)
+    capped.explain()
+    assert "LessThanOrEqual(ts,2024-01-01" in capsys.readouterr().out and capped.count() == 10

@@ -23,7 +23,7 @@ from threadloom.functions.text import WORD, query_terms, safe_text, search_terms
 from threadloom.operators.filters import all_of, search_filters
 from threadloom.operators.scoring import QueryBlock, best_matches
 from threadloom.schemas import SEARCH_STOP_WORDS
-from threadloom.session import broadcast_if_small, hint_if_small, write_scratch
+from threadloom.session import broadcast_if_small, hint, write_measured
 
 SNIPPET = 400
 HIT = ["conv_id", "msg_id", "role", "ts", "text", "score", "highlights"]
@@ -131,8 +131,9 @@ def search_many(messages: DataFrame, queries: DataFrame, k: int = 10, stemmer: s
     """
     if not 1 <= k <= 200:
         raise ValueError("k must be between 1 and 200")
-    wanted = write_scratch(prepare_queries(queries, stemmer), "queries")
-    scored = _scan_scores(messages, wanted, k, stemmer) if postings is None else _posting_scores(postings, wanted)
+    wanted, _, size = write_measured(prepare_queries(queries, stemmer), "queries")
+    scored = _scan_scores(messages, wanted, size, k, stemmer) if postings is None \
+        else _posting_scores(postings, hint(wanted, size))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "conv_id", "msg_id", (F.col("score") / F.lit(POSITION_WEIGHT)).alias("score"))
@@ -149,14 +150,12 @@ def _posting_scores(postings: DataFrame, wanted: DataFrame) -> DataFrame:
         F.col("q_date_from").isNull() | (F.col("ts") >= F.col("q_date_from").cast(kind)),
         F.col("q_date_to").isNull() | (F.col("ts") <= F.col("q_date_to").cast(kind)),
     ])
-    return postings.join(hint_if_small(wanted), "lexeme").where(applies) \
+    return postings.join(wanted, "lexeme").where(applies) \
         .groupBy("query_id", "conv_id", "msg_id", "ts").agg(F.sum("tf").alias("score"))
 
 
-def _scan_scores(messages: DataFrame, wanted: DataFrame, k: int, stemmer: str | None) -> DataFrame:
-    width = F.lit(64) + F.octet_length(F.col("query_id").cast("string")) + F.octet_length("lexeme")
-    total = wanted.agg(F.sum(width)).first()[0] or 0
-    blocks = max(1, math.ceil(total / QUERY_BYTES))
+def _scan_scores(messages: DataFrame, wanted: DataFrame, size: int, k: int, stemmer: str | None) -> DataFrame:
+    blocks = max(1, math.ceil(size / QUERY_BYTES))
     schema = StructType([wanted.schema["query_id"], messages.schema["conv_id"], messages.schema["msg_id"],
                          StructField("ts", LongType()), StructField("score", LongType())])
     limits = wanted.select(

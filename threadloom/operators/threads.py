@@ -12,30 +12,33 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.operators.ordered import running_sum, write_slabs
-from threadloom.session import broadcast_if_small, write_scratch
+from threadloom.session import broadcast_if_small, hint, write_measured, write_scratch
 
 BODY = ["parent_id", "role", "ts", "text"]
+# Ancestors this far up make it worth asking how large the conversations are.
+LONG_CHAIN = 64
 
 
 def _anchor_keys(anchors: DataFrame) -> DataFrame:
     return anchors.select("conv_id", F.col("msg_id").alias("anchor_id")).distinct()
 
 
-def _conversations_of(messages: DataFrame, anchors: DataFrame) -> DataFrame:
-    ids = anchors.select("conv_id").distinct()
-    return messages.join(broadcast_if_small(ids), "conv_id", "left_semi")
+def _located(messages: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The messages of the anchors' conversations, and the anchors that exist.
 
-
-def _present(messages: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Anchors that exist; keys of messages are unique, so each is found at most once."""
+    Keys of messages are unique, so each anchor is found at most once.
+    """
+    keys, _, size = write_measured(_anchor_keys(anchors), "anchors")
+    scope = messages.join(hint(keys.select("conv_id").distinct(), size), "conv_id", "left_semi")
     found = messages.select("conv_id", F.col("msg_id").alias("anchor_id"))
-    return found.join(broadcast_if_small(_anchor_keys(anchors)), ["conv_id", "anchor_id"])
+    return scope, found.join(hint(keys, size), ["conv_id", "anchor_id"])
 
 
 def missing_anchors(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchors whose conversation or message does not exist, with the reason."""
-    absent = _anchor_keys(anchors).join(_present(messages, anchors), ["conv_id", "anchor_id"], "left_anti")
-    known = _conversations_of(messages, anchors).select("conv_id").distinct().withColumn("known", F.lit(True))
+    scope, present = _located(messages, anchors)
+    absent = _anchor_keys(anchors).join(present, ["conv_id", "anchor_id"], "left_anti")
+    known = scope.select("conv_id").distinct().withColumn("known", F.lit(True))
     reason = F.when(F.col("known"), "message not found in conversation").otherwise("conversation not found")
     return absent.join(known, "conv_id", "left").select("conv_id", "anchor_id", reason.alias("reason"))
 
@@ -47,7 +50,7 @@ def _with_body(result: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def anchor_messages(messages: DataFrame, anchors: DataFrame) -> DataFrame:
-    rows = _present(messages, anchors).withColumn("msg_id", F.col("anchor_id"))
+    rows = _located(messages, anchors)[1].withColumn("msg_id", F.col("anchor_id"))
     return _with_body(rows, messages)
 
 
@@ -67,23 +70,26 @@ def ancestor_links(messages: DataFrame, anchors: DataFrame) -> DataFrame:
     conversation only cycles remain, and each message is kept at its shortest
     distance.
     """
-    scope = _conversations_of(messages.select("conv_id", "msg_id", "parent_id"), anchors)
+    scope, start = _located(messages.select("conv_id", "msg_id", "parent_id"), anchors)
     child = scope.where(F.col("parent_id") != "").select("conv_id", "msg_id", F.col("parent_id").alias("up"))
     parent = scope.select("conv_id", F.col("msg_id").alias("up"))
     hop = write_scratch(child.join(parent, ["conv_id", "up"], "left_semi"), "hops")
-    largest = hop.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-
-    start = _present(messages, anchors)
+    hop_sizes = hop.groupBy("conv_id").count()
     parts = [write_scratch(start.select("conv_id", "anchor_id", F.col("anchor_id").alias("msg_id"),
                                         F.lit(0).cast("bigint").alias("distance")), "reached")]
-    span = 1
-    while span <= largest:
+    span, cyclic = 1, False
+    while True:
+        if span == LONG_CHAIN:
+            largest = hop_sizes.agg(F.max("count")).first()[0]
+        if span >= LONG_CHAIN and span > largest:
+            cyclic = True
+            break
         reached = reduce(DataFrame.unionByName, parts)
-        farther = write_scratch(
+        farther, found, _ = write_measured(
             reached.join(hop, ["conv_id", "msg_id"])
             .select("conv_id", "anchor_id", F.col("up").alias("msg_id"),
                     (F.col("distance") + span).alias("distance")), "reached")
-        if farther.isEmpty():
+        if not found:
             break
         parts.append(farther)
         span *= 2
@@ -91,7 +97,7 @@ def ancestor_links(messages: DataFrame, anchors: DataFrame) -> DataFrame:
         hop = write_scratch(hop.join(further, ["conv_id", "up"])
                             .select("conv_id", "msg_id", F.col("far").alias("up")), "hops")
     links = reduce(DataFrame.unionByName, parts)
-    if span > largest and not hop.isEmpty():
+    if cyclic:
         links = links.groupBy("conv_id", "anchor_id", "msg_id").agg(F.min("distance").alias("distance"))
     return links.where(F.col("distance") > 0)
 
@@ -109,23 +115,23 @@ def descendant_links(messages: DataFrame, anchors: DataFrame, depth: int = 3) ->
     """(conv_id, anchor_id, msg_id, distance, path); sorting by path gives depth-first order."""
     if not 1 <= depth <= 10:
         raise ValueError("depth must be between 1 and 10")
-    scope = _conversations_of(messages.select("conv_id", "msg_id", "parent_id", "ts"), anchors)
+    scope, start = _located(messages.select("conv_id", "msg_id", "parent_id", "ts"), anchors)
     replies = write_scratch(
         scope.where(F.col("parent_id").isNotNull())
         .select("conv_id", F.col("parent_id").alias("node"), F.col("msg_id").alias("reply"),
                 F.struct("ts", "msg_id").alias("step")), "replies")
     none = F.array().cast(replies.select(F.array("step")).schema[0].dataType)
-    frontier = _present(messages, anchors).select(
+    frontier = start.select(
         "conv_id", "anchor_id", F.col("anchor_id").alias("node"), none.alias("path"))
     levels = []
     for distance in range(1, depth + 1):
-        level = write_scratch(
+        level, found, _ = write_measured(
             frontier.join(replies, ["conv_id", "node"])
             .select("conv_id", "anchor_id", F.col("reply").alias("node"),
                     F.array_append("path", F.col("step")).alias("path"),
                     F.lit(distance).alias("distance")), "level")
         levels.append(level)
-        if distance < depth and level.isEmpty():
+        if not found:
             break
         frontier = level.drop("distance")
     return reduce(DataFrame.unionByName, levels).withColumnRenamed("node", "msg_id")

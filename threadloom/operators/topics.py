@@ -23,8 +23,9 @@ def topic_window(messages: DataFrame, date_from=None, date_to=None, conv_id: str
                  max_messages: int | None = 5000) -> DataFrame:
     """The messages a topic map looks at; ``max_messages=None`` means the whole window.
 
-    The cap keeps the earliest messages. Only keys are ranked: the last key kept
-    becomes a scalar bound on the scan, and no text moves through the top-k.
+    The cap keeps the earliest messages. Only keys are ranked, in a job of its own
+    that yields one key, the last one kept. As a literal bound it reaches the scan,
+    which then skips later files, and no text moves through the top-k.
     """
     scope = window(messages, date_from, date_to, conv_id)
     if max_messages is None:
@@ -32,8 +33,13 @@ def topic_window(messages: DataFrame, date_from=None, date_to=None, conv_id: str
     _between("max_messages", max_messages, 10, 20000)
     key = F.struct("ts", "conv_id", "msg_id")
     earliest = scope.select(key.alias("k")).orderBy("k").limit(max_messages)
-    last = earliest.agg(F.max("k")).scalar()
-    return scope.where((F.col("ts") <= last.getField("ts")) & (key <= last))
+    last = earliest.agg(F.max("k").alias("k")).select(
+        F.col("k.ts").cast("timestamp_ntz").cast("string").alias("ts"), "k.conv_id", "k.msg_id").first()
+    if last.ts is None:
+        return scope
+    ts = F.lit(last.ts).cast("timestamp_ntz").cast(messages.schema["ts"].dataType)
+    bound = F.struct(ts.alias("ts"), F.lit(last.conv_id).alias("conv_id"), F.lit(last.msg_id).alias("msg_id"))
+    return scope.where((F.col("ts") <= ts) & (key <= bound))
 
 
 def topic_document_frequency(scope: DataFrame) -> DataFrame:

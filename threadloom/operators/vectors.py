@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
 from threadloom.operators.search import search_many
 from threadloom.schemas import MESSAGE_KEY
-from threadloom.session import write_scratch
+from threadloom.session import write_measured
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 QUERY_BYTES = 32 << 20
@@ -108,9 +108,9 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, ids: list
     is a candidate. More queries mean more blocks, never a larger one.
     """
     ids = ids or MESSAGE_KEY
-    narrow = write_scratch(queries.select("query_id", "embedding"), "query_vectors")
-    total = narrow.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(total / QUERY_BYTES))
+    narrow, _, size = write_measured(queries.select("query_id", "embedding"), "query_vectors",
+                                     F.size("embedding") * 8 + 64)
+    blocks = max(1, math.ceil(size / QUERY_BYTES))
     source = vectors.select(*ids, "embedding").where(F.col("embedding").isNotNull())
     schema = StructType([queries.schema["query_id"], *[vectors.schema[c] for c in ids]]).add("score", DoubleType())
     found = None

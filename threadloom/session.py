@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_BYTES = 32 << 20
 
@@ -63,18 +63,26 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hint_if_small(table: DataFrame) -> DataFrame:
-    """Hint a broadcast of a written table once its rows are measured; larger tables stay unhinted."""
-    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns),
-                F.lit(32))
-    size = table.agg(F.sum(width)).first()[0] or 0
+def write_measured(rows: DataFrame, name: str, width: Column | None = None) -> tuple[DataFrame, int, int]:
+    """Like :func:`write_scratch`, with the row count and bytes observed during the write."""
+    if width is None:
+        width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns),
+                    F.lit(32))
+    seen = Observation()
+    table = write_scratch(rows.observe(seen, F.count("*").alias("rows"), F.sum(width).alias("bytes")), name)
+    return table, seen.get["rows"], seen.get["bytes"] or 0
+
+
+def hint(table: DataFrame, size: int) -> DataFrame:
+    """Broadcast hint for a table of known size, if it is small."""
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def broadcast_if_small(rows: DataFrame) -> DataFrame:
-    """Write narrow key rows once, then broadcast them if they measure small enough.
+    """Write narrow key rows once, then broadcast them if they measured small enough.
 
     Beyond the bound the join is left to the optimiser, which knows the size of
     the written table and splits skewed partitions at run time.
     """
-    return hint_if_small(write_scratch(rows, "keys"))
+    table, _, size = write_measured(rows, "keys")
+    return hint(table, size)
