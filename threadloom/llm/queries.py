@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import quality, secrets
+from threadloom.llm import lengths, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", F.size(failing).cast("long").alias("n_failing_lines"), "kept")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s.kind == kind)).cast("long")
@@ -29,6 +33,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.totals_by_limit(lengths.length_histogram(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: value for name, value in globals().items()
             if name.startswith("op") and name[2:3].isdigit()}
