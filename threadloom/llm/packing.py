@@ -172,7 +172,10 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 
 def fillings(counts: dict[int, int], room: int, waste: int, width: int) -> list[Pattern]:
-    """Up to ``width`` undominated fillings of ``room``, least waste first, wasting at most ``waste``."""
+    """Up to ``width`` undominated fillings of ``room``, least waste first, wasting at most ``waste``.
+
+    Tries the ``width`` largest sums that can be reached, a few fillings of each.
+    """
     lengths = sorted(n for n, c in counts.items() if c and n <= room)
     reach = [1]  # bit s: the lengths so far can sum to s
     mask = (1 << (room + 1)) - 1
@@ -199,14 +202,16 @@ def fillings(counts: dict[int, int], room: int, waste: int, width: int) -> list[
                 if reach[i - 1] >> (left - k * n) & 1:
                     yield from search(i - 1, left - k * n, (*chosen, (n, k)))
 
+    sums = 0
     for total in range(room, max(-1, room - waste - 1), -1):
         if reach[-1] >> total & 1:
+            sums += 1
             for tried, pattern in enumerate(search(len(lengths), total, ())):
                 if not any(_dominates(f, pattern) for f in found):
                     found.append(pattern)
                 if len(found) >= width or tried >= 4 * width:
                     break
-        if len(found) >= width:
+        if len(found) >= width or sums >= width:
             break
     return found
 
