@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadloom.llm.tokens import token_lengths
+from threadloom.session import write_scratch
 
-SLAB = 1024
+SLAB = 64
 
 
 def length_histogram(docs: DataFrame, end_tokens: int = 0, **paths: str) -> DataFrame:
@@ -31,10 +32,11 @@ def totals_by_limit(histogram: DataFrame) -> DataFrame:
     tokens_within and tokens_truncated (sum of min(length, L)); tokens_lost; all_docs,
     all_tokens; share_within, the quantile at which L stands.
     """
-    sums = histogram.withColumn("n_tokens", F.col("length") * F.col("n_docs")) \
+    # Written once: it is read for the slabs and for the lengths, and texts must not be encoded twice.
+    sums = write_scratch(histogram, "lengths").withColumn("n_tokens", F.col("length") * F.col("n_docs")) \
         .withColumn("slab", F.floor(F.col("length") / SLAB))
     slabs = sums.groupBy("slab").agg(F.sum("n_docs").alias("slab_docs"), F.sum("n_tokens").alias("slab_tokens"))
-    # One row per 1,024 lengths: ordered in one task, however many documents there are.
+    # One row per 64 lengths: ordered in one task, however many documents there are.
     above = Window.orderBy(F.col("slab").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.col("slab").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     slabs = slabs.select(
