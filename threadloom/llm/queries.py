@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import html_text, lengths, packing, quality, secrets
+from threadloom.llm import fingerprints, html_text, lengths, near_dup, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +33,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_words", "kept")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.totals_by_limit(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
