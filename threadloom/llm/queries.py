@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import fingerprints, html_text, lengths, near_dup, packing, quality, secrets
+from threadloom.llm import chats, fingerprints, html_text, lengths, near_dup, packing, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.totals_by_limit(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.chat_turns(table(spark, sf_dir, "conversations"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
@@ -55,4 +59,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_formatting": CHATS_SQL}
+
+
+# Prefixes as whole lists of (role, text) instead of hashes.
+CHATS_SQL = """
+WITH numbered AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nth
+  FROM conversations),
+prefixes AS (
+  SELECT conv_id, nth, role, text, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+         list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY nth) AS so_far
+  FROM numbered),
+whole AS (
+  SELECT so_far, min(conv_id) AS conv_id, count(*) AS n_logged FROM prefixes WHERE nth = n_turns GROUP BY so_far),
+kept AS (
+  SELECT * FROM whole WHERE NOT EXISTS (
+    SELECT 1 FROM prefixes p WHERE p.nth < p.n_turns AND p.so_far = whole.so_far))
+SELECT conv_id, nth, n_turns, n_logged,
+       '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
+FROM prefixes JOIN kept USING (conv_id)
+"""
