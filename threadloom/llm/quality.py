@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.llm.rows import boxed, text_of, unboxed
+from threadloom.llm.rows import boxed, settled, text_of, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -98,7 +98,7 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.3, min_words: int = 10, m
         .withColumn("all_chars", total).withColumn("left_chars", chars(kept_lines))
         .withColumn("lost_share", F.when(F.col("all_chars") > 0, 1 - F.col("left_chars") / F.col("all_chars")).otherwise(0.0))
         .withColumn("clean_text", F.array_join(kept_lines["line"], "\n"))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost))
+        .withColumn("kept", settled(~F.col("base_failed") & (F.col("lost_share") <= max_lost)))
     )
     return unboxed(judged, docs.columns, ADDED)
 

@@ -24,3 +24,13 @@ def unboxed(table: DataFrame, columns: list[str], added: list[str]) -> DataFrame
 def text_of(column: str = "text") -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def settled(condition: Column) -> Column:
+    """The same condition, computed where it stands.
+
+    A filter on a plain column is moved below the projections that compute it, which puts
+    their whole expressions into the filter and evaluates them again for every use. A row
+    number beside the condition keeps it a column.
+    """
+    return condition & (F.monotonically_increasing_id() >= 0)

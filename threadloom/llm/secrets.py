@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.llm.rows import boxed, quoted, text_of, unboxed
+from threadloom.llm.rows import boxed, quoted, settled, text_of, unboxed
 
 # Strong patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -77,7 +77,7 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     read = boxed(docs, body=text_of()).withColumn("base_spans", F.sort_array(strong)).withColumn("weak", weak)
     read = read.withColumn("weak", F.filter("weak", lambda w: ~F.exists(
         F.col("base_spans"), lambda b: (b.start < w.end) & (w.start < b.end))))
-    read = read.withColumn("key", F.when(F.size("weak") > 0, F.sha2("body", 256))).drop("body")
+    read = read.withColumn("key", F.when(settled(F.size("weak") > 0), F.sha2("body", 256))).drop("body")
     links = _links(read.where(F.col("key").isNotNull()).select(
         "key", F.explode(F.concat("base_spans", "weak")).alias("s")).select("key", "s.*"), scope)
     out = read.join(links, "key", "left").withColumn("spans", F.sort_array(F.concat(
