@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import quality, secrets
+from threadloom.llm import mixing, near_dup, packing, quality, secrets
 from threadloom.session import scratch_path
 
 
@@ -13,12 +13,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies and near copies."""
+    return near_dup.one_of_each(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its secrets masked."""
     return secrets.redacted(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("secret scans", secret_scans)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rate for the target weights says."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a training sequence."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("secret scans", secret_scans),
+          ("source mixing", source_mixing), ("best-fit packing", best_fit_packing)]
 
 #: Some stages (sketches, tokenizer, fitted classifier) have no SQL form; tests/llm compares with brute force.
 ORACLE_SQL = None
