@@ -254,7 +254,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     model, _ = fitted(docs, labels, targets, sample)
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
     text_at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("p", ArrayType(DoubleType()))])
+    p_name = "p" + "_" * max(len(c) for c in docs.columns)  # longer than, so unlike, every name
+    schema = StructType([*docs.schema.fields, StructField(p_name, ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
@@ -262,9 +263,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
             p, _ = posteriors(batch.column(text_at).to_pylist(), shared.value, randoms)
             cuts = np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(p.ravel()))],
-                                             names=[*batch.schema.names, "p"])
+                                             names=[*batch.schema.names, p_name])
 
     rated = docs.mapInArrow(run, schema)
-    copies = copies_of(rate_of(rated["p"], model), rated["doc_id"])
-    return rated.withColumn("p", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(
+    copies = copies_of(rate_of(F.col(p_name), model), F.col("doc_id"))
+    return rated.withColumn(p_name, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(
         *map(quoted, docs.columns))

@@ -63,8 +63,7 @@ def line_reason(line: Column, words: Column, max_symbol_share: float = 0.1, max_
     )
 
 
-def quality_rules(docs: DataFrame, max_lost: float = 0.3, min_words: int = 10, max_repeat_percent: int = 20,
-                  **line_limits: float) -> DataFrame:
+def quality_rules(docs: DataFrame, **limits: float) -> DataFrame:
     """``docs`` with the counts, the line verdicts, ``clean_text`` and ``kept``.
 
     Added columns: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -72,6 +71,12 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.3, min_words: int = 10, m
     clean_text, kept. ``lost_share`` is the share of the characters of lines with
     words that were removed. No shuffle: every row is judged where it is read.
     """
+    return unboxed(_judged(docs, **limits), docs.columns, ADDED)
+
+
+def _judged(docs: DataFrame, max_lost: float = 0.3, min_words: int = 10, max_repeat_percent: int = 20,
+            **line_limits: float) -> DataFrame:
+    """The rows as one column each, beside the added columns."""
     split = F.transform(F.split(text_of(), "\n", -1), lambda l: F.struct(
         l.alias("line"), F.regexp_extract_all(l, F.lit(WORD), F.lit(0)).alias("words")))
     judged = (
@@ -100,7 +105,7 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.3, min_words: int = 10, m
         .withColumn("clean_text", F.array_join(kept_lines["line"], "\n"))
         .withColumn("kept", settled(~F.col("base_failed") & (F.col("lost_share") <= max_lost)))
     )
-    return unboxed(judged, docs.columns, ADDED)
+    return judged
 
 
 def _with_repeats(judged: DataFrame) -> DataFrame:
@@ -129,8 +134,8 @@ def _with_repeats(judged: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """The documents that pass, their failing lines removed, with the columns of ``docs``."""
-    judged = quality_rules(docs, **limits).where("kept")
-    changed = judged.withColumn("text", F.col("clean_text"))
+    judged = _judged(docs, **limits).where("kept")
+    changes = {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+        changes["n_chars"] = F.char_length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return judged.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

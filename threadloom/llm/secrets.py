@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.llm.rows import boxed, quoted, settled, text_of, unboxed
+from threadloom.llm.rows import boxed, settled, text_of, unboxed
 
 # Strong patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -72,6 +72,11 @@ def joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     """``docs`` with base_spans (strong) and spans (strong and linked), both sorted arrays of structs."""
+    return unboxed(_scanned(docs, scope), docs.columns, ["base_spans", "spans"])
+
+
+def _scanned(docs: DataFrame, scope: int) -> DataFrame:
+    """The rows as one column each, beside base_spans and spans."""
     strong = F.concat(*[pattern_spans(F.col("body"), rx, kind, 6 if kind == "assign" else 0) for kind, rx, _ in STRONG])
     weak = F.concat(*[pattern_spans(F.col("body"), rx, kind) for kind, rx, _ in WEAK])
     read = boxed(docs, body=text_of()).withColumn("base_spans", F.sort_array(strong)).withColumn("weak", weak)
@@ -80,9 +85,8 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     read = read.withColumn("key", F.when(settled(F.size("weak") > 0), F.sha2("body", 256))).drop("body")
     links = _links(read.where(F.col("key").isNotNull()).select(
         "key", F.explode(F.concat("base_spans", "weak")).alias("s")).select("key", "s.*"), scope)
-    out = read.join(links, "key", "left").withColumn("spans", F.sort_array(F.concat(
-        "base_spans", F.coalesce(F.col("links"), F.array().cast(SPAN)))))
-    return unboxed(out, docs.columns, ["base_spans", "spans"])
+    return read.join(links, "key", "left").select("row", "base_spans", F.sort_array(F.concat(
+        "base_spans", F.coalesce(F.col("links"), F.array().cast(SPAN)))).alias("spans"))
 
 
 def _links(parts: DataFrame, scope: int) -> DataFrame:
@@ -109,15 +113,18 @@ def _links(parts: DataFrame, scope: int) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]", scope: int = 200) -> DataFrame:
     """Every document, the spans of its secrets replaced by ``mask``; columns as given."""
+    text = F.col("row.text")
+
     def step(seen: Column, s: Column) -> Column:
-        gap = F.substring(text_of(), seen.at + 1, s.start - seen.at)
+        gap = F.substring(text, seen.at + 1, s.start - seen.at)
         return F.struct(F.greatest(seen.at, s.end).alias("at"),
                         F.when(s.start >= seen.at, F.concat(seen.out, gap, F.lit(mask))).otherwise(seen.out).alias("out"))
 
     masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                         lambda x: F.concat(x.out, F.substring(text_of(), x.at + 1, F.char_length(text_of()))))
-    changed = scan(docs, scope).withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+                         lambda x: F.concat(x.out, F.substring(text, x.at + 1, F.char_length(text))))
+    found = _scanned(docs, scope).withColumn("masked", F.when(F.size("spans") > 0, masked))
+    changes = {"text": F.coalesce("masked", text)}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("spans") > 0, F.char_length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*map(quoted, docs.columns))
+        changes["n_chars"] = F.when(F.col("masked").isNull(), F.col("row.n_chars")).otherwise(
+            F.char_length("masked").cast(docs.schema["n_chars"].dataType))
+    return found.select(*[changes.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
