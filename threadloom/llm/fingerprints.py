@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.llm import sketches
 from threadloom.llm.rows import text_of
@@ -30,18 +30,22 @@ from threadloom.session import write_scratch
 
 FUNCTIONS, ORDER = 64, 2
 GROUP_CHARS = 1 << 20
-RESULT = ("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+RESULT = ("n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
           "near_edited double, near_next double")
-BLANK = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
-         "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+BLANK = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(),
+         "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
 
 def entries(texts: list[str], randoms: sketches.Randoms, functions: int, order: int) -> np.ndarray:
     return sketches.signatures(texts, functions, order, randoms)[0].astype(np.uint16)
 
 
-def as_text(signed: np.ndarray) -> list[str]:
-    return [row.tobytes().hex() for row in signed.astype(">u2")]
+def as_bytes(signed: np.ndarray) -> list[bytes]:
+    return [row.tobytes() for row in signed.astype(">u2")]
+
+
+def as_text(column: str) -> Column:
+    return F.lower(F.hex(column)).alias(column)
 
 
 def fingerprints(docs: DataFrame, functions: int = FUNCTIONS, order: int = ORDER) -> DataFrame:
@@ -52,10 +56,11 @@ def fingerprints(docs: DataFrame, functions: int = FUNCTIONS, order: int = ORDER
         randoms = sketches.Randoms()
         for batch in batches:
             signed = entries(batch.column(1).to_pylist(), randoms, functions, order)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(as_text(signed), pa.string())],
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(as_bytes(signed), pa.binary())],
                                              names=["doc_id", "fingerprint"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fingerprint binary") \
+        .select("doc_id", as_text("fingerprint"))
 
 
 def edited(text: str, following: str) -> str:
@@ -70,7 +75,7 @@ def compared(texts: list[str], following: list[str], randoms: sketches.Randoms,
     changed = [edited(a, b) for a, b in zip(texts, following)]
     own, new, other = (entries(x, randoms, functions, order) for x in (texts, changed, following))
     return {"n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-            "fingerprint": as_text(own), "edited_fingerprint": as_text(new),
+            "fingerprint": as_bytes(own), "edited_fingerprint": as_bytes(new),
             "near_edited": (own == new).mean(axis=1).tolist(), "near_next": (own == other).mean(axis=1).tolist()}
 
 
@@ -137,4 +142,5 @@ def with_edits(docs: DataFrame, functions: int = FUNCTIONS, order: int = ORDER)
                                              names=["doc_id", *columns])
 
     across = pairs.mapInArrow(finish, f"doc_id {kind}, {RESULT}")
-    return done.where(F.col("edge").isNull()).drop("edge", "part", "body").union(across)
+    return done.where(F.col("edge").isNull()).drop("edge", "part", "body").union(across).select(
+        "doc_id", "n_chars", "edited_sha256", as_text("fingerprint"), as_text("edited_fingerprint"), "near_edited", "near_next")
