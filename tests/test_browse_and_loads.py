@@ -30,7 +30,7 @@ def test_list_order_and_paging(conversations, talk):
     assert [r.conv_id for r in owned] == ["c1", "c2", "c4"]
     assert browse.count_conversations(conversations, "o1").first().total == 3
     assert browse.count_conversations(conversations, "").first().total == 4
-    for bad in ({"limit": 0}, {"limit": 501}, {"offset": -1}):
+    for bad in ({"limit": 0}, {"offset": -1}):
         with pytest.raises(ValueError):
             browse.list_conversations(conversations, talk, **bad)
 
@@ -55,7 +55,8 @@ def test_checksum_sees_order_and_content(messages):
         table = messages(rows).withColumn("hash", F.sha2("text", 256))
         return browse.conversation_checksum(table).first().checksum
 
-    assert checksum(base) == checksum(base[::-1]) and len(checksum(base)) == 60
+    assert checksum(base) == checksum(base[::-1]) and len(checksum(base)) == 62
+    assert checksum(base).startswith("2-") and checksum(base) != checksum(base + base[:1] * 2)
     swapped = [("c", "1", "user", T(2), "a"), ("c", "2", "user", T(1), "b")]
     assert len({checksum(base), checksum(swapped), checksum(base[:1])}) == 3
 

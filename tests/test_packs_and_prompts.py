@@ -47,6 +47,18 @@ def test_parameters(spark, messages):
         packs.context_pack(table, requests(spark, ("p", "nope"))).collect()
 
 
+def test_bad_budgets_are_reported(spark, messages):
+    table = messages([("c", "1", "user", T(1), "x" * 40), ("c", "2", "user", T(2), "y")])
+    rows = [("none", "c/1", None), ("none", "c/2", 50), ("two", "c/1", 50), ("two", "c/2", 60), ("low", "c/1", -5),
+            ("zero", "c/1", 0), ("high", "c/1", 16385), ("good", "c/1", 16384)]
+    asked = spark.createDataFrame(rows, "pack_id string, message_id string, max_tokens int")
+    reasons = {r.pack_id: r.reason for r in packs.pack_rejects(asked).collect()}
+    assert reasons == {"none": "budget is missing", "two": "budgets of the pack differ",
+                       **dict.fromkeys(["low", "zero", "high"], "budget is not between 1 and 16384")}
+    assert [r.pack_id for r in packs.context_pack(table, asked).collect()] == ["good"]
+    assert "high" in by_pack(packs.context_pack(table, asked, largest=1 << 20))
+
+
 def test_byte_pair_lengths(spark, messages):
     public = pytest.importorskip("public_tokenizers")
     import base64

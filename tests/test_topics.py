@@ -33,8 +33,8 @@ def test_parameters_are_checked(messages, name):
 
 
 def test_stop_words_and_empty_windows(messages):
-    rows = messages([("c", "1", "user", T(1), "the the the alpha"), ("c", "2", "user", T(2), "alpha appears again")])
-    assert [r.label for r in tp.topic_map(rows).collect()] == ["alpha"]
+    rows = messages([("c", "1", "user", T(1), "from the harbour to the"), ("c", "2", "user", T(2), "harbour lights")])
+    assert [r.label for r in tp.topic_map(rows).collect()] == ["harbour"]
     assert tp.topic_map(messages([("c", "1", "user", T(1), "the and of")])).collect() == []
     assert tp.topic_map(messages([])).collect() == []
     assert tp.topic_map(rows, min_occurrences=3).collect() == []
@@ -53,7 +53,8 @@ def test_cap_keeps_the_earliest_messages(messages):
     assert {r.msg_id for r in kept.collect()} == {f"{i:03}" for i in range(10)}
     assert {r.label for r in tp.topic_map(messages(rows), max_messages=10).collect()} == {"early", "word"}
     with pytest.raises(ValueError):
-        tp.topic_window(messages(rows), max_messages=9)
+        tp.topic_window(messages(rows), max_messages=0)
+    assert tp.topic_window(messages(rows)).count() == 20 and tp.topic_window(messages(rows), max_messages=3).count() == 3
 
 
 def test_window_bounds_and_names(messages):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.operators.filters import owned_by
+from threadloom.session import broadcast_if_small
 
 
 def count_conversations(conversations: DataFrame, owner_id: str | None = None) -> DataFrame:
@@ -28,13 +29,18 @@ def conversations_with_counts(conversations: DataFrame, messages: DataFrame) ->
 
 def list_conversations(conversations: DataFrame, messages: DataFrame, owner_id: str | None = None,
                        limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of conversations, latest activity first; empty conversations last."""
-    if not 1 <= limit <= 500:
-        raise ValueError("limit must be between 1 and 500")
-    if offset < 0:
-        raise ValueError("offset must not be negative")
+    """One page of conversations, latest activity first; empty conversations last.
+
+    With an owner only the messages of that owner's conversations are counted. A page is
+    found by ranking ``offset + limit`` rows; to go through all, sort by range instead.
+    """
+    if limit < 1 or offset < 0:
+        raise ValueError(f"a page needs limit >= 1 and offset >= 0, got {limit} and {offset}")
+    owned = owned_by(conversations, owner_id)
+    if owner_id is not None:
+        messages = messages.join(broadcast_if_small(owned.select("conv_id").distinct()), "conv_id", "left_semi")
     return (
-        conversations_with_counts(owned_by(conversations, owner_id), messages)
+        conversations_with_counts(owned, messages)
         .orderBy(F.col("last_message_ts").desc_nulls_last(), F.col("title").asc_nulls_last(), "conv_id")
         .offset(offset).limit(limit)
     )
@@ -74,15 +80,17 @@ def timeline(messages: DataFrame, conv_id: str | None = None) -> DataFrame:
 def conversation_checksum(messages: DataFrame) -> DataFrame:
     """Order-aware fingerprint of each conversation's messages.
 
-    Every message contributes a digest of its time, id and content hash; digests
-    are combined by XOR, so partial results merge map-side and a conversation of
-    any size needs constant memory.
+    Every message contributes a digest of its time, id and content hash. The checksum is
+    the number of messages and the digests' sum, in four parts of 60 bits modulo 2^60:
+    partial results merge map-side, a conversation of any size needs constant memory, and
+    a message stored twice changes it.
     """
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     digest = F.sha2(F.concat_ws("|", stamp, F.col("msg_id"), F.col("hash")), 256)
-    parts = [F.bit_xor(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("bigint")) for i in range(4)]
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")) for i in range(4)]
+    folded = [F.lpad(F.lower(F.hex((p % F.lit(1 << 60)).cast("bigint"))), 15, "0") for p in parts]
     return messages.groupBy("conv_id").agg(
-        F.concat(*[F.lower(F.lpad(F.hex(p), 15, "0")) for p in parts]).alias("checksum"))
+        F.concat_ws("-", F.count("*").cast("string"), F.concat(*folded)).alias("checksum"))
 
 
 def duplicate_messages(messages: DataFrame) -> DataFrame:

@@ -14,23 +14,28 @@ from threadloom.functions.times import normalise_iso
 from threadloom.operators.filters import window
 
 
-def _between(name: str, value: int, low: int, high: int) -> None:
-    if not low <= value <= high:
-        raise ValueError(f"{name} must be between {low} and {high}")
+# Samples up to this many rows are sent to the topics' tasks.
+SENT_SAMPLES = 10_000
+
+
+def _at_least_one(**values: int) -> None:
+    for name, value in values.items():
+        if value < 1:
+            raise ValueError(f"{name}: expected 1 or more, got {value}")
 
 
 def topic_window(messages: DataFrame, date_from=None, date_to=None, conv_id: str | None = None,
-                 max_messages: int | None = 5000) -> DataFrame:
-    """The messages a topic map looks at; ``max_messages=None`` means the whole window.
+                 max_messages: int | None = None) -> DataFrame:
+    """The messages a topic map looks at: the whole window, or its first ``max_messages``.
 
-    The cap keeps the earliest messages. Only keys are ranked, in a job of its own
+    The cap, if asked for, keeps the earliest messages. Only keys are ranked, in a job of its own
     that yields one key, the last one kept. As a literal bound it reaches the scan,
     which then skips later files, and no text moves through the top-k.
     """
     scope = window(messages, date_from, date_to, conv_id)
     if max_messages is None:
         return scope
-    _between("max_messages", max_messages, 10, 20000)
+    _at_least_one(max_messages=max_messages)
     key = F.struct("ts", "conv_id", "msg_id")
     earliest = scope.select(key.alias("k")).orderBy("k").limit(max_messages)
     last = earliest.agg(F.max("k").alias("k")).select(
@@ -65,7 +70,7 @@ def top_topics(scope: DataFrame, limit: int = 10, min_occurrences: int = 2) -> D
 def topic_anchors(scope: DataFrame, topics: DataFrame, sample_limit: int = 3) -> DataFrame:
     """The earliest messages of each given topic, numbered from 1.
 
-    ``topics`` must be bounded (at most 50 labels): its labels become one scalar
+    ``topics`` is the short result of :func:`top_topics`: its labels become one scalar
     array, so the second pass is a map with a per-task top-k and no join.
     """
     labels = topics.agg(F.collect_list("label")).scalar()
@@ -83,36 +88,33 @@ def topic_anchors(scope: DataFrame, topics: DataFrame, sample_limit: int = 3) ->
 
 def extract_topics(scope: DataFrame, limit: int = 10, min_occurrences: int = 2, sample_limit: int = 3) -> DataFrame:
     """Topics of already selected messages, each with its ordered anchors."""
-    for name, value in (("limit", limit), ("min_occurrences", min_occurrences), ("sample_limit", sample_limit)):
-        if value < 1:
-            raise ValueError(f"{name} must be positive")
+    _at_least_one(limit=limit, min_occurrences=min_occurrences, sample_limit=sample_limit)
     topics = top_topics(scope, limit, min_occurrences)
     fields = ["anchor_no", "conv_id", "msg_id", "role", "ts", "text"]
     samples = topic_anchors(scope, topics, sample_limit).groupBy("label") \
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("anchors"))
     ordered = F.transform("anchors", lambda a: a.dropFields("anchor_no"))
+    if limit * sample_limit <= SENT_SAMPLES:
+        samples = F.broadcast(samples)
     return (
-        topics.join(F.broadcast(samples), "label", "left").withColumn("anchors", ordered)
+        topics.join(samples, "label", "left").withColumn("anchors", ordered)
         .orderBy(F.desc("occurrences"), "first_seen_ts", "label")
     )
 
 
 def topic_map(messages: DataFrame, date_from=None, date_to=None, conv_id: str | None = None, limit: int = 10,
-              min_occurrences: int = 2, sample_limit: int = 3, max_messages: int | None = 5000,
+              min_occurrences: int = 2, sample_limit: int = 3, max_messages: int | None = None,
               **aliases) -> DataFrame:
     """Topics of a window; ``from`` and ``to`` are accepted as names of the bounds."""
     date_from, date_to = aliases.pop("from", date_from), aliases.pop("to", date_to)
     if aliases:
         raise TypeError(f"unknown arguments: {sorted(aliases)}")
-    _between("limit", limit, 1, 50)
-    _between("min_occurrences", min_occurrences, 1, 20)
-    _between("sample_limit", sample_limit, 1, 5)
     scope = topic_window(messages, date_from, date_to, conv_id, max_messages)
     return extract_topics(scope, limit, min_occurrences, sample_limit)
 
 
 def topic_window_summary(messages: DataFrame, date_from=None, date_to=None, conv_id: str | None = None,
-                         max_messages: int | None = 5000) -> DataFrame:
+                         max_messages: int | None = None) -> DataFrame:
     """Size and actual bounds of the window; an empty window echoes the requested bounds."""
     scope = topic_window(messages, date_from, date_to, conv_id, max_messages)
     kind = messages.schema["ts"].dataType

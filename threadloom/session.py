@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_BYTES = 32 << 20
+# Paths of the scratch tables of this process, oldest first.
+_written: list[str] = []
 
 
-def build_session(master: str = "local[8]", app: str = "threadloom", **conf: str) -> SparkSession:
+def build_session(master: str | None = None, app: str = "threadloom", **conf: str) -> SparkSession:
+    """A session with the settings the operators rely on; master and partitions are the caller's."""
+    builder = SparkSession.builder.master(master) if master else SparkSession.builder
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -52,15 +57,32 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     columns prunable and gives the optimiser exact sizes for the next join.
     """
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropped_scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables written inside; nothing read from them may be used afterwards."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[first:]:
+            _delete(spark, path)
+        del _written[first:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results still reading them become invalid."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
+    _written.clear()
 
 
 def write_measured(rows: DataFrame, name: str, width: Column | None = None) -> tuple[DataFrame, int, int]:
@@ -78,6 +100,18 @@ def hint(table: DataFrame, size: int) -> DataFrame:
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
+def join_texts(texts: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """Texts joined to result rows by ``key``, whose first column is the conversation.
+
+    Few rows are broadcast. Many are joined after the texts have been reduced to the
+    conversations in question, so that no other text is shuffled.
+    """
+    table, _, size = write_measured(rows, "keys")
+    if size > BROADCAST_BYTES:
+        texts = texts.join(broadcast_if_small(table.select(key[0]).distinct()), key[0], "left_semi")
+    return texts.join(hint(table, size), key)
+
+
 def broadcast_if_small(rows: DataFrame) -> DataFrame:
     """Write narrow key rows once, then broadcast them if they measured small enough.
 
