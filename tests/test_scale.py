@@ -89,7 +89,7 @@ def test_filters_and_columns_reach_the_scan(lopsided, capsys):
 
 def test_top_k_never_sorts_everything(lopsided, capsys):
     chats = lopsided.select("conv_id").distinct().withColumn("title", F.lit("t")).withColumn("owner_id", F.lit("o"))
-    for df in (search.search(lopsided, "word"), search.search(lopsided, "word", stemmer=None),
+    for df in (search.top_keys(lopsided, ["word"]), search.top_keys(lopsided, ["word"], stemmer=None),
                topics.top_topics(lopsided), browse.list_conversations(chats, lopsided, offset=10)):
         plan = plan_of(df, capsys)
         assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.functions.stem import stem
 from threadloom.operators import search as se
@@ -51,7 +52,7 @@ def test_filters_and_snippet(messages, talk):
     assert list(row.highlights) == ["…" + ("x" * 395 + " word")[355:395] + " **word**"] or len(row.highlights) == 1
 
 
-def test_many_queries_match_one_by_one(spark, messages, monkeypatch):
+def test_many_queries_match_one_by_one(spark, messages):
     pick = random.Random(3)
     vocabulary = "cat cats running runs run dog the and happily happy nation national x_y".split()
     rows = [(f"c{i % 9}", str(i), pick.choice(["user", "tool"]), f"2024-01-01 00:{pick.randrange(60):02}:00",
@@ -80,9 +81,6 @@ def test_many_queries_match_one_by_one(spark, messages, monkeypatch):
             assert [(r.conv_id, r.msg_id, r.score) for r in mine] == expected
     numbered = spark.createDataFrame([(1, "cats"), (2, "runs")], "query_id int, q string")
     assert {r.query_id for r in se.search_many(table, numbered, k=3).collect()} == {1, 2}
-    monkeypatch.setattr(se, "QUERY_BYTES", 100)
-    monkeypatch.setattr(se, "DIRECT_LEXEMES", 0)
-    assert sorted(se.search_many(table, asked, k=7).collect()) == sorted(se.search_many(table, asked, k=7, postings=se.build_postings(table)).collect())
     assert [r.query_id for r in se.unusable_queries(asked).collect()] == ["none"]
 
 
@@ -91,19 +89,35 @@ def test_filters_per_query(spark, talk):
         [("all", "dog", None, None, None), ("role", "dog", "assistant", None, None), ("conv", "dog", None, "a", None),
          ("until", "dog", None, None, "2024-01-02")],
         "query_id string, q string, role string, conv_id string, date_to string")
-    out = se.with_highlights(se.search_many(talk, asked), asked).collect()
+    out = se.search_many(talk, asked, highlighted=True).collect()
     found = {}
     for r in out:
         found.setdefault(r.query_id, set()).add((r.conv_id, r.msg_id))
         assert any("**" in h for h in r.highlights)
     assert found == {"all": {("a", "1"), ("b", "1"), ("b", "2")}, "conv": {("a", "1")}, "until": {("a", "1")}}
-    for bad in (0, 201):
-        with pytest.raises(ValueError):
-            se.search_many(talk, asked, k=bad)
+    assert se.search_many(talk, asked, k=0).collect() == se.search_many(talk, asked, k=-1).collect() == []
+    assert se.search_many(talk, asked, k=100_000).count() == 5
+
+
+def test_highlights_see_the_whole_text(spark, messages):
+    table = messages([("c", "1", "user", T(1), "x " * 600 + "needle at the end")])
+    assert "**needle**" in se.search(table, "needle").first().highlights[0]
+    asked = spark.createDataFrame([("q", "needle")], "query_id string, q string")
+    row = se.search_many(table, asked, highlighted=True).first()
+    assert len(row.text) == 400 and "**needle**" in row.highlights[0]
+
+
+def test_messages_are_scanned_alike_for_few_and_many_queries(spark, talk, capsys):
+    plans = []
+    for n in (1, 10_000):
+        asked = spark.range(n).select(F.col("id").alias("query_id"), F.lit("dog").alias("q"))
+        se.search_many(talk, asked).explain()
+        plans.append(capsys.readouterr().out)
+    assert plans[0].count("Scan ExistingRDD") == plans[1].count("Scan ExistingRDD") <= 2
 
 
 def test_plans(spark, talk, capsys):
-    se.search(talk, "dog").explain()
+    se.top_keys(talk, ["dog"]).explain()
     assert "TakeOrderedAndProject" in capsys.readouterr().out
     asked = spark.createDataFrame([("q", "dog")], "query_id string, q string")
     se.search_many(talk, asked).explain()

@@ -54,40 +54,45 @@ def test_lexemes_and_counts_agree(spark):
     assert column(spark, ["the"], lambda c: sm.count_matches(c, [])) == [0]
 
 
-def naive(text, terms, window, limit):
-    spans, out = [], []
-    if not text or not [t for t in terms if t]:
-        return out
-    for m in re.finditer("|".join(re.escape(t.lower()) for t in terms if t), text, re.I):
-        a, b = max(m.start() - window, 0), min(m.end() + window, len(text))
-        if any(max(a, x) < min(b, y) for x, y in spans):
-            continue
-        piece = text[a:b].replace(m[0], "**" + m[0] + "**", 1)
-        out.append(("…" if a > 0 else "") + piece + ("…" if b < len(text) else ""))
-        spans.append((a, b))
-        if len(out) >= limit:
-            break
-    return out
-
-
-def test_highlight_literals():
-    out = excerpts("The quick brown fox jumps over the lazy dog", ["Quick", "dog"], window=5)
-    assert len(out) == 2 and "**quick**" in out[0] and "**dog**" in out[1]
-    out = excerpts("alpha beta alpha beta", ["alpha"], window=10)
-    assert len(out) == 1 and out[0].count("**") == 2
-    assert excerpts("", ["term"]) == excerpts("text", []) == excerpts("text", [""]) == []
-    text = "one two three four five six seven eight nine ten eleven twelve"
-    assert len(excerpts(text, ["one", "four", "eight", "twelve"], window=3, limit=2)) == 2
+def test_highlight_examples():
+    text = "Rivers rise in spring; the River Tay rises twice."
+    first, second = excerpts(text, ["river"], window=4)
+    assert first == "**River**s ri…" and second == "…the **River** Tay…"
+    assert excerpts(text, ["river"], window=30) == ["**River**s rise in spring; the River Ta…"]
+    assert excerpts(text, ["twice", "SPRING"], window=0) == ["…**spring**…", "…**twice**…"]
+    assert excerpts(text, ["r"], window=0, limit=2) == ["**R**…", "…**r**…"]
+    assert excerpts(text, []) == excerpts(text, [""]) == excerpts("", ["river"]) == excerpts(None, ["river"]) == []
 
 
 @settings(max_examples=500, deadline=None)
 @given(st.text("abİi AB", max_size=60), st.lists(st.text("abi", max_size=2), max_size=3),
        st.integers(0, 6), st.integers(1, 4))
-def test_highlights_match_the_definition(text, terms, window, limit):
-    assert excerpts(text, terms, window, limit) == naive(text, terms, window, limit)
+def test_highlights_are_marked_slices_in_order(text, terms, window, limit):
+    out = excerpts(text, terms, window, limit)
+    patterns = [re.compile(re.escape(t), re.I) for t in terms if t]
+    assert bool(out) == any(p.search(text) for p in patterns) and len(out) <= limit
+    at = 0
+    for piece in out:
+        head, word, tail = piece.strip("…").split("**")
+        assert any(p.fullmatch(word) for p in patterns) and len(tail) <= 2 * window + 2
+        plain = head + word + tail
+        starts = [i for i in range(at, len(text)) if text.startswith(plain, i)
+                  and (i > 0) == piece.startswith("…") and (i + len(plain) < len(text)) == piece.endswith("…")]
+        assert starts
+        at = starts[0] + len(plain)
 
 
 @pytest.mark.parametrize("text", ["a cat concat", None])
 def test_highlight_column(spark, text):
     out, = column(spark, [text], lambda c: highlights(c, F.array(F.lit("cat"))))
-    assert list(out) == naive(text, ["cat"], 40, 3)
+    assert list(out) == (["a **cat** concat"] if text else [])
+
+
+def test_own_stemmer(spark):
+    halves = lambda w: w[: len(w) // 2]
+    out, = column(spark, ["Reading the books"], lambda c: sm.lexemes(c, halves))
+    assert out == ["rea", "bo"] and sm.query_lexemes(["reading", "the"], halves) == ["rea"]
+    assert column(spark, ["reader books"], lambda c: sm.count_matches(c, ["rea", "x"], halves)) == [1]
+    assert sm.chosen_stemmer(None) is None and sm.chosen_stemmer("english") is sm.known_stem
+    with pytest.raises(ValueError):
+        sm.chosen_stemmer("klingon")

@@ -7,6 +7,7 @@ each Arrow batch reach the Python rules below.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -158,19 +159,29 @@ def known_stem(word: str) -> str:
     return found
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _stem_arrays(words: pa.Array) -> pa.Array:
-    """Stem an array<string> column, once per distinct word of the batch."""
-    sizes = np.asarray(words.value_lengths().fill_null(0))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    coded = words.flatten().dictionary_encode()
-    values = pa.array([known_stem(w) for w in coded.dictionary.to_pylist()], pa.string())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(coded.indices))
+Stemmer = Callable[[str], str]
 
 
-def stem_words(words: Column) -> Column:
-    """Stems of an array of lower-cased words."""
-    return _stem_arrays(words)
+def chosen_stemmer(stemmer: str | Stemmer | None) -> Stemmer | None:
+    """``"english"``, a function from lower-cased word to stem, or None for whole words."""
+    if stemmer is None or callable(stemmer):
+        return stemmer
+    if stemmer != "english":
+        raise ValueError(f"unknown stemmer {stemmer!r}: give 'english', a function or None")
+    return known_stem
+
+
+def stem_words(words: Column, stemmer: Stemmer = known_stem) -> Column:
+    """Stems of an array of lower-cased words, found once per distinct word of a batch."""
+    @F.arrow_udf(ArrayType(StringType()))
+    def run(arrays: pa.Array) -> pa.Array:
+        sizes = np.asarray(arrays.value_lengths().fill_null(0))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        coded = arrays.flatten().dictionary_encode()
+        values = pa.array([stemmer(w) for w in coded.dictionary.to_pylist()], pa.string())
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(coded.indices))
+
+    return run(words)
 
 
 def _without_stop_words(words: Column) -> Column:
@@ -184,15 +195,15 @@ def english_words(col: Column) -> Column:
     return _without_stop_words(words)
 
 
-def lexemes(col: Column) -> Column:
-    """English lexemes of a text, one per remaining word position."""
-    return _stem_arrays(english_words(col))
+def lexemes(col: Column, stemmer: Stemmer = known_stem) -> Column:
+    """Lexemes of a text, one per word position that is no English stop word."""
+    return stem_words(english_words(col), stemmer)
 
 
-def query_lexemes(terms: list[str]) -> list[str]:
+def query_lexemes(terms: list[str], stemmer: Stemmer = known_stem) -> list[str]:
     """Distinct lexemes of already parsed query terms; stop words vanish."""
     words = [w for term in terms for w in term.split("_") if w]
-    return list(dict.fromkeys(stem(w) for w in words if w not in SEARCH_STOP_WORDS))
+    return list(dict.fromkeys(stemmer(w) for w in words if w not in SEARCH_STOP_WORDS))
 
 
 def candidate_words(col: Column, wanted: list[str]) -> Column:
@@ -207,9 +218,10 @@ def candidate_words(col: Column, wanted: list[str]) -> Column:
     return _without_stop_words(F.regexp_extract_all(F.lower(safe_text(col)), F.lit(pattern), F.lit(0)))
 
 
-def count_matches(col: Column, wanted: list[str]) -> Column:
+def count_matches(col: Column, wanted: list[str], stemmer: Stemmer = known_stem) -> Column:
     """Number of word positions of a text whose stem is in ``wanted``."""
     if not wanted:
         return F.lit(0)
     targets = word_list(wanted)
-    return F.size(F.filter(_stem_arrays(candidate_words(col, wanted)), lambda s: F.array_contains(targets, s)))
+    words = candidate_words(col, wanted) if stemmer is known_stem else english_words(col)
+    return F.size(F.filter(stem_words(words, stemmer), lambda s: F.array_contains(targets, s)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.functions.normalise import CONVERSATION, content_text, message_columns, moment
 from threadloom.operators.filters import split_valid
 from threadloom.operators.loads import import_summary, insert_ignore, upsert_title
+from threadloom.session import write_scratch
 
 ARRIVAL = ["archive", "ordinal"]
 
@@ -51,7 +52,7 @@ def normalise_messages(nodes: DataFrame, ingest_ts: Column | None = None, enable
 
 @dataclass
 class Import:
-    """What an import would change; every field is a lazy DataFrame."""
+    """What an import would change; every field is a lazy DataFrame over written tables."""
 
     conversations: DataFrame
     new_messages: DataFrame
@@ -62,10 +63,15 @@ class Import:
 
 def ingest_export(raw: DataFrame, conversations: DataFrame, messages: DataFrame, owner_id: str = "default",
                   enable_pii: bool = True, hash_on: str = "raw") -> Import:
-    """Import raw conversations into the given tables; a repeated import adds nothing."""
+    """Import raw conversations into the given tables; a repeated import adds nothing.
+
+    The export is parsed for its conversations and for its messages, and both are written
+    once: the parts of the result that are acted on read those tables.
+    """
     parsed, rejects = parse_exports(raw)
-    headers = project_conversations(parsed, owner_id)
-    attempted = normalise_messages(explode_messages(parsed), enable_pii=enable_pii, hash_on=hash_on)
+    headers = write_scratch(project_conversations(parsed, owner_id), "headers")
+    attempted = write_scratch(normalise_messages(explode_messages(parsed), enable_pii=enable_pii, hash_on=hash_on),
+                              "normalised")
     valid, quarantine = split_valid(attempted)
     new = insert_ignore(messages, valid, order=[*ARRIVAL, "position"]).drop(*ARRIVAL, "position")
     return Import(

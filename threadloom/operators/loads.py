@@ -21,9 +21,19 @@ def dedupe_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, key: list[str] = MESSAGE_KEY,
                   order: list[str] | None = None) -> DataFrame:
-    """The incoming rows an insert that ignores existing keys would add."""
+    """The incoming rows an insert that ignores existing keys would add.
+
+    Of the stored keys only those of incoming conversations (the first key column, by
+    which tables are clustered) take part.
+    """
     order = order or [c for c in incoming.columns if c not in key]
-    return dedupe_by_key(incoming, key, order).join(target.select(*key), key, "left_anti")
+    return dedupe_by_key(incoming, key, order).join(stored_keys(target, incoming, key), key, "left_anti")
+
+
+def stored_keys(target: DataFrame, incoming: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:
+    """Stored keys that share their first column with an incoming row."""
+    arriving = broadcast_if_small(incoming.select(key[0]).distinct())
+    return target.select(*key).join(arriving, key[0], "left_semi")
 
 
 def upsert_title(target: DataFrame, incoming: DataFrame, order: list[str] | None = None) -> DataFrame:

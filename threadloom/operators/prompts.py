@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from threadloom.functions.stem import Stemmer
 from threadloom.functions.text import shorten, strip_space
 from threadloom.operators.search import search_many
 
 
 def memory_block(hits: DataFrame) -> DataFrame:
-    """One text block per query from its (at most 200) search hits; hits without text are skipped."""
+    """One text block per query from its search hits; hits without text are skipped."""
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     line = F.format_string("- [%s | %s | score %.3f] %s", stamp, F.coalesce("role", F.lit("unknown")),
                            F.col("score"), F.col("summary"))
@@ -21,7 +22,7 @@ def memory_block(hits: DataFrame) -> DataFrame:
 
 
 def build_prompts(messages: DataFrame, queries: DataFrame, system_prompt: str, memory_results: int = 5,
-                  history: DataFrame | None = None, stemmer: str | None = "english",
+                  history: DataFrame | None = None, stemmer: str | Stemmer | None = "english",
                   heading: str = "Relevant memory:", postings: DataFrame | None = None) -> DataFrame:
     """Prompt messages as rows (query_id, section, turn, role, content).
 

@@ -2,75 +2,75 @@
 
 Terms are alternatives, so every matching word position is its own cover and adds
 the default weight: score = 0.1 x matching positions, whatever the text length.
+``stemmer`` is ``"english"``, a function from word to stem, or None for whole words.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from threadloom.functions.highlights import excerpts, highlights
-from threadloom.functions.stem import (candidate_words, count_matches, english_words, known_stem, lexemes,
-                                       query_lexemes, stem_words)
+from threadloom.functions.stem import Stemmer, chosen_stemmer, count_matches, lexemes, query_lexemes, stem_words
 from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, whole_words, word_list
 from threadloom.operators.filters import all_of, search_filters
-from threadloom.operators.scoring import QueryBlock, best_matches
 from threadloom.schemas import SEARCH_STOP_WORDS
-from threadloom.session import broadcast_if_small, hint, write_measured
+from threadloom.session import hint, join_texts, write_measured
 
 SNIPPET = 400
 HIT = ["conv_id", "msg_id", "role", "ts", "text", "score", "highlights"]
 # Fixed value: matching positions per unit of score.
 POSITION_WEIGHT = 10.0
-# Queries shipped to the scan at once, and how many lexemes one pattern may list.
-QUERY_BYTES = 8 << 20
-DIRECT_LEXEMES = 64
 
 
 def _plain_matches(col: Column, terms: list[str]) -> Column:
     return F.regexp_count(F.lower(safe_text(col)), F.lit(whole_words(terms)))
 
 
-def score_messages(messages: DataFrame, terms: list[str], stemmer: str | None = "english") -> DataFrame:
+def score_messages(messages: DataFrame, terms: list[str], stemmer: str | Stemmer | None = "english") -> DataFrame:
     """Add ``score`` to every message; a map over the scan."""
-    matches = _plain_matches(F.col("text"), terms) if stemmer is None \
-        else count_matches(F.col("text"), query_lexemes(terms))
+    stem = chosen_stemmer(stemmer)
+    matches = _plain_matches(F.col("text"), terms) if stem is None \
+        else count_matches(F.col("text"), query_lexemes(terms, stem), stem)
     return messages.withColumn("score", matches / F.lit(POSITION_WEIGHT))
 
 
+def _best_first() -> list[Column]:
+    return [F.desc("score"), F.desc("ts"), F.asc("conv_id"), F.asc("msg_id")]
+
+
+def top_keys(messages: DataFrame, terms: list[str], k: int = 50, filters: dict | None = None,
+             stemmer: str | Stemmer | None = "english", pad: bool = True) -> DataFrame:
+    """Keys and scores of the ``k`` best messages: no text leaves the scan."""
+    order = _best_first()
+    scored = score_messages(search_filters(messages, filters), terms, stemmer)
+    if not pad:
+        scored = scored.where(F.col("score") > 0)
+    return scored.select("conv_id", "msg_id", "ts", "score").orderBy(*order).limit(max(k, 0))
+
+
 def search(messages: DataFrame, q: str, k: int = 50, filters: dict | None = None,
-           stemmer: str | None = "english", pad: bool = True) -> DataFrame:
-    """The ``k`` best messages for one query, with snippet and highlights.
+           stemmer: str | Stemmer | None = "english", pad: bool = True, snippet: int = SNIPPET) -> DataFrame:
+    """The ``k`` best messages for one query, with snippet and highlights; none if ``k`` is not positive.
 
-    With ``pad`` unmatched messages (score 0) fill the result up to ``k``. Rows
-    carry only a 400-character snippet into the top-k.
+    With ``pad`` unmatched messages (score 0) fill the result up to ``k``. Only keys and
+    scores enter the top-k; the texts of the winners are fetched afterwards, highlighted
+    in full and then cut to ``snippet`` characters.
     """
     terms = query_terms(q)
     if not terms:
         raise ValueError("the query needs at least one term")
-    scored = score_messages(search_filters(messages, filters), terms, stemmer)
-    if not pad:
-        scored = scored.where(F.col("score") > 0)
-    top = (
-        scored.select("conv_id", "msg_id", "role", "ts", F.left("text", F.lit(SNIPPET)).alias("text"), "score")
-        .orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id").limit(max(k, 0))
-    )
-    return _add_excerpts(top, terms)
+    top = top_keys(messages, terms, k, filters, stemmer, pad)
+    found = join_texts(messages.select("conv_id", "msg_id", "role", "text"), top, ["conv_id", "msg_id"])
+    ordered = found.select("conv_id", "msg_id", "role", "ts", "text", "score").orderBy(*_best_first())
+    return _add_excerpts(ordered, terms).withColumn("text", F.left("text", F.lit(snippet)))
 
 
 def _add_excerpts(top: DataFrame, terms: list[str]) -> DataFrame:
-    """Highlights for an already ordered top-k, order kept.
-
-    A batch function instead of a column: the optimiser moves limits through
-    column functions, which would turn the top-k below into a full sort.
-    """
+    """Highlights for an already ordered top-k, order kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [excerpts(t, terms) for t in batch.column("text").to_pylist()]
@@ -80,35 +80,37 @@ def _add_excerpts(top: DataFrame, terms: list[str]) -> DataFrame:
     return top.mapInArrow(run, schema)
 
 
-def _words(col: Column, stemmer: str | None) -> Column:
-    if stemmer is not None:
-        return lexemes(col)
+def _words(col: Column, stemmer: str | Stemmer | None) -> Column:
+    stem = chosen_stemmer(stemmer)
+    if stem is not None:
+        return lexemes(col, stem)
     return F.regexp_extract_all(F.lower(safe_text(col)), F.lit(f"{WORD}+"), F.lit(0))
 
 
-def word_positions(messages: DataFrame, stemmer: str | None = "english") -> DataFrame:
+def word_positions(messages: DataFrame, stemmer: str | Stemmer | None = "english") -> DataFrame:
     """One row per word position: the postings before they are counted."""
     return messages.select("conv_id", "msg_id", "role", "ts", F.lit(1).cast("bigint").alias("tf"),
                            F.explode(_words(F.col("text"), stemmer)).alias("lexeme"))
 
 
-def build_postings(messages: DataFrame, stemmer: str | None = "english") -> DataFrame:
+def build_postings(messages: DataFrame, stemmer: str | Stemmer | None = "english") -> DataFrame:
     """Postings (lexeme, conv_id, msg_id, role, ts, tf) to be written once and searched often."""
     return word_positions(messages, stemmer).groupBy("lexeme", "conv_id", "msg_id", "role", "ts") \
         .agg(F.sum("tf").alias("tf"))
 
 
-def prepare_queries(queries: DataFrame, stemmer: str | None = "english") -> DataFrame:
+def prepare_queries(queries: DataFrame, stemmer: str | Stemmer | None = "english") -> DataFrame:
     """(query_id, lexeme, filters...), one row per distinct lexeme of a query.
 
     Optional filter columns role, conv_id, date_from and date_to apply per query;
     a null means no filter. Queries without a usable term disappear.
     """
     terms = search_terms(F.col("q"))
-    if stemmer is not None:
+    stem = chosen_stemmer(stemmer)
+    if stem is not None:
         parts = F.flatten(F.transform(terms, lambda t: F.split(t, "_")))
         stop = word_list(SEARCH_STOP_WORDS)
-        terms = stem_words(F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w)))
+        terms = stem_words(F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w)), stem)
 
     def given(name: str, kind: str) -> Column:
         value = F.col(name) if name in queries.columns else F.lit(None)
@@ -120,26 +122,29 @@ def prepare_queries(queries: DataFrame, stemmer: str | None = "english") -> Data
         F.explode(F.array_distinct(terms)).alias("lexeme"))
 
 
-def search_many(messages: DataFrame, queries: DataFrame, k: int = 10, stemmer: str | None = "english",
-                postings: DataFrame | None = None) -> DataFrame:
-    """The ``k`` best matching messages of every query (query_id, q): matches only.
+def search_many(messages: DataFrame, queries: DataFrame, k: int = 10, stemmer: str | Stemmer | None = "english",
+                postings: DataFrame | None = None, highlighted: bool = False, snippet: int = SNIPPET) -> DataFrame:
+    """The ``k`` best matching messages of every query (query_id, q): matches only, none if ``k`` is not positive.
 
-    Over messages, queries travel to the scan in blocks of bounded size and each
-    task keeps ``k`` rows per query, so no (query, message) pair is shuffled unless
-    it is a candidate. Over a postings table, lexemes are joined and counted with
-    map-side partial sums. Snippets are fetched for the winners.
+    Word positions, exploded in one scan or read from a postings table, meet the queries'
+    lexemes in a join: a broadcast of the queries if they measure small, else a join in
+    which frequent lexemes are split at run time. Matches are summed in the map tasks and
+    cut to ``k`` per query in every task. Texts are fetched for the winners, highlighted
+    in full if ``highlighted``, and cut to ``snippet`` characters.
     """
-    if not 1 <= k <= 200:
-        raise ValueError("k must be between 1 and 200")
     wanted, _, size = write_measured(prepare_queries(queries, stemmer), "queries")
-    scored = _scan_scores(messages, wanted, size, k, stemmer) if postings is None \
-        else _posting_scores(postings, hint(wanted, size))
+    positions = word_positions(messages, stemmer) if postings is None else postings
+    scored = _posting_scores(positions, hint(wanted, size))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "conv_id", "msg_id", (F.col("score") / F.lit(POSITION_WEIGHT)).alias("score"))
-    bodies = messages.select("conv_id", "msg_id", "role", "ts", F.left("text", F.lit(SNIPPET)).alias("text"))
-    return bodies.join(broadcast_if_small(top), ["conv_id", "msg_id"]) \
-        .select("query_id", "rank", "conv_id", "msg_id", "role", "ts", "text", "score")
+    found = join_texts(messages.select("conv_id", "msg_id", "role", "ts", "text"), top, ["conv_id", "msg_id"])
+    columns = ["query_id", "rank", "conv_id", "msg_id", "role", "ts", F.left("text", F.lit(snippet)).alias("text"), "score"]
+    if highlighted:
+        terms = queries.select("query_id", search_terms(F.col("q")).alias("terms"))
+        found = found.join(terms, "query_id").withColumn("highlights", highlights(F.col("text"), F.col("terms")))
+        columns.append("highlights")
+    return found.select(*columns)
 
 
 def _posting_scores(postings: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -154,44 +159,7 @@ def _posting_scores(postings: DataFrame, wanted: DataFrame) -> DataFrame:
         .groupBy("query_id", "conv_id", "msg_id", "ts").agg(F.sum("tf").alias("score"))
 
 
-def _scan_scores(messages: DataFrame, wanted: DataFrame, size: int, k: int, stemmer: str | None) -> DataFrame:
-    blocks = max(1, math.ceil(size / QUERY_BYTES))
-    schema = StructType([wanted.schema["query_id"], messages.schema["conv_id"], messages.schema["msg_id"],
-                         StructField("ts", LongType()), StructField("score", LongType())])
-    limits = wanted.select(
-        "query_id", "lexeme", "q_role", "q_conv_id",
-        F.coalesce(F.unix_micros("q_date_from"), F.lit(-(1 << 63))).alias("low"),
-        F.coalesce(F.unix_micros("q_date_to"), F.lit((1 << 63) - 1)).alias("high"))
-    id_type = to_arrow_type(wanted.schema["query_id"].dataType)
-    found = []
-    for number in range(blocks):
-        rows = limits.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).collect()
-        if not rows:
-            continue
-        block = QueryBlock.of(pd.DataFrame([r.asDict() for r in rows]))
-        words, as_lexeme = _candidate_words(F.col("text"), list(block.lexemes), stemmer)
-        scan = messages.select("conv_id", "msg_id", "role", "ts", words.alias("words"))
-        found.append(scan.mapInArrow(best_matches(block, as_lexeme, k, id_type), schema))
-    return reduce(DataFrame.unionByName, found) if found else messages.sparkSession.createDataFrame([], schema)
-
-
-def _candidate_words(text: Column, lexemes: list[str], stemmer: str | None):
-    """Word lists for scoring, and how a word becomes a lexeme; few lexemes are looked for directly."""
-    if stemmer is not None:
-        return (candidate_words(text, lexemes) if len(lexemes) <= DIRECT_LEXEMES else english_words(text)), known_stem
-    lowered = F.lower(safe_text(text))
-    pattern = whole_words(lexemes) if len(lexemes) <= DIRECT_LEXEMES else f"{WORD}+"
-    return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0)), str
-
-
 def unusable_queries(queries: DataFrame) -> DataFrame:
     """Queries without any term, with the reason."""
     return queries.where(F.size(search_terms(F.col("q"))) == 0) \
         .select("query_id", F.lit("the query needs at least one term").alias("reason"))
-
-
-def with_highlights(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Add highlights to the hits of :func:`search_many`."""
-    terms = queries.select("query_id", search_terms(F.col("q")).alias("terms"))
-    return hits.join(terms, "query_id") \
-        .withColumn("highlights", highlights(F.col("text"), F.col("terms"))).drop("terms")

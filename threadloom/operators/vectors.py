@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
+from threadloom.functions.stem import Stemmer
+from threadloom.operators.loads import stored_keys
 from threadloom.operators.search import search_many
 from threadloom.schemas import MESSAGE_KEY
 from threadloom.session import write_measured
@@ -61,7 +63,7 @@ def _embed_column(rows: DataFrame, keys: list[str], text: str, embedder: Embedde
 def embed_messages(messages: DataFrame, existing: DataFrame, embedder: Embedder, dim: int, model: str,
                    retries: int = 3, delay: float = 60.0) -> DataFrame:
     """Embeddings of the messages that have none yet; a failing provider call is retried."""
-    todo = messages.select(*MESSAGE_KEY, "text").join(existing.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
+    todo = messages.select(*MESSAGE_KEY, "text").join(stored_keys(existing, messages), MESSAGE_KEY, "left_anti")
     return _embed_column(todo, MESSAGE_KEY, "text", embedder, dim, retries, delay) \
         .withColumn("model", F.lit(model))
 
@@ -128,11 +130,16 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, ids: list
 
 
 def hybrid_search(messages: DataFrame, embeddings: DataFrame, queries: DataFrame, embedder: Embedder, dim: int,
-                  k: int = 10, stemmer: str | None = "english") -> DataFrame:
-    """Keyword and vector rankings merged by reciprocal-rank fusion (constant 60)."""
-    words = search_many(messages, queries, k, stemmer).select("query_id", *MESSAGE_KEY, F.col("rank").alias("word_rank"))
+                  k: int = 10, stemmer: str | Stemmer | None = "english", depth: int = 200) -> DataFrame:
+    """Keyword and vector rankings merged by reciprocal-rank fusion (constant 60).
+
+    Each ranking is read to ``depth`` (at least ``k``) before the fusion: a message that
+    stands lower in one list can still have the best fused score.
+    """
+    depth = max(depth, k)
+    words = search_many(messages, queries, depth, stemmer).select("query_id", *MESSAGE_KEY, F.col("rank").alias("word_rank"))
     asked = _embed_column(queries, ["query_id"], "q", embedder, dim)
-    near = vector_search(embeddings, asked, k).select("query_id", *MESSAGE_KEY, F.col("rank").alias("vector_rank"))
+    near = vector_search(embeddings, asked, depth).select("query_id", *MESSAGE_KEY, F.col("rank").alias("vector_rank"))
     share = [F.coalesce(1 / (F.lit(60.0) + F.col(c)), F.lit(0.0)) for c in ("word_rank", "vector_rank")]
     fused = words.join(near, ["query_id", *MESSAGE_KEY], "full_outer") \
         .withColumn("score", F.round(share[0] + share[1], 9))
