@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import ingest, vectors
 from threadloom.session import scratch_path
 from threadloom.sources import archives, tables
-from threadloom.streaming.ingest import stream_embed, stream_ingest
+from threadloom.streaming.ingest import load_exports, stream_embed, stream_ingest
 
 EXPORT = [
     {"id": "c1", "title": "A \"quoted\" {title", "create_time": 1700000001.25, "mapping": {
@@ -139,3 +139,15 @@ def test_many_conversations_in_one_archive(spark, tmp_path):
     assert "REPARTITION_BY_COL" in raw._jdf.queryExecution().toString()
     parsed, rejects = ingest.parse_exports(raw)
     assert ingest.explode_messages(parsed).count() == 2800 and rejects.count() == 0
+
+
+def test_a_replayed_load_keeps_rejects_once(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [("z", 0, None, "not a ZIP archive"), ("z", 1, '{"title": "no id"}', None)],
+        "archive string, ordinal long, conversation string, error string") \
+        .withColumn("modified", F.lit("2024-06-01").cast("timestamp"))
+    root = str(tmp_path / "tables")
+    tables.ensure_schema(spark, root)
+    for _ in range(2):
+        load_exports(raw, root)
+    assert tables.read_table(spark, root, "load_rejects").count() == 2

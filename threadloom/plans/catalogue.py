@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions.highlights import highlights
+from threadloom.functions.normalise import content_hash as content_hash_of
 from threadloom.functions.redact import redact, redact_table
 from threadloom.functions.lengths import estimate_tokens
 from threadloom.functions.stem import lexemes
@@ -73,6 +75,12 @@ def topic_anchors(spark, sf_dir):
     return topics.topic_anchors(scope, topics.top_topics(scope), sample_limit=5)
 
 
+@query
+def topic_map_wide(spark, sf_dir):
+    """More topics and samples than one screen shows."""
+    return _anchor_ids(topics.topic_map(fx.messages(spark, sf_dir), limit=400, min_occurrences=25, sample_limit=8))
+
+
 @query
 def topic_document_frequency(spark, sf_dir):
     return topics.topic_document_frequency(fx.document_messages(spark, sf_dir))
@@ -106,12 +114,12 @@ def redact_counts(spark, sf_dir):
 @query
 def content_hash(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", fx.content_hash(F.col("text")).alias("hash"))
+    return docs.select("doc_id", content_hash_of(F.col("text")).alias("hash"))
 
 
 @query
 def duplicate_messages(spark, sf_dir):
-    docs = fx.document_messages(spark, sf_dir).withColumn("hash", fx.content_hash(F.col("text")))
+    docs = fx.document_messages(spark, sf_dir).withColumn("hash", content_hash_of(F.col("text")))
     return browse.duplicate_messages(docs)
 
 
@@ -151,8 +159,8 @@ def list_page2(spark, sf_dir):
 
 @query
 def list_owner(spark, sf_dir):
-    spoken = fx.messages(spark, sf_dir).where(F.col("role") == "system")
-    return browse.list_conversations(fx.conversations(spark, sf_dir), spoken, owner_id="owner_3", limit=500)
+    return browse.list_conversations(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), owner_id="owner_3",
+                                     limit=2000)
 
 
 @query
@@ -173,7 +181,7 @@ def timeline_conversation(spark, sf_dir):
 
 @query
 def conversation_checksum(spark, sf_dir):
-    hashed = fx.messages(spark, sf_dir).withColumn("hash", fx.content_hash(F.col("text")))
+    hashed = fx.messages(spark, sf_dir).withColumn("hash", content_hash_of(F.col("text")))
     return browse.conversation_checksum(hashed)
 
 
@@ -203,6 +211,27 @@ def thread(spark, sf_dir):
     return threads.thread(rows, openings, depth=1)
 
 
+def _with_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose first turn answers the fourth, if there is one, and turn 5 itself."""
+    rows = fx.messages(spark, sf_dir)
+    parent = F.when(F.col("msg_id") == "0", F.lit("3")).when(F.col("msg_id") == "5", F.lit("5")).otherwise(F.col("parent_id"))
+    return rows.withColumn("parent_id", parent)
+
+
+@query
+def thread_cycles(spark, sf_dir):
+    rows = _with_cycles(spark, sf_dir)
+    return threads.ancestor_links(rows, rows.select("conv_id", "msg_id"))
+
+
+@query
+def thread_last_messages(spark, sf_dir):
+    """Neighbourhood of one anchor per conversation, its latest message."""
+    rows = fx.messages(spark, sf_dir)
+    last = rows.groupBy("conv_id").agg(F.max_by("msg_id", "ts").alias("msg_id"))
+    return threads.thread(rows, last, depth=2).drop("text")
+
+
 # Filters
 
 @query
@@ -285,8 +314,7 @@ def parent_child_self_join(spark, sf_dir):
 
 @query
 def conv_left_join_messages(spark, sf_dir):
-    spoken = fx.messages(spark, sf_dir).where(F.col("role") == "system")
-    return browse.conversations_with_counts(fx.conversations(spark, sf_dir), spoken)
+    return browse.conversations_with_counts(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir))
 
 
 @query
@@ -305,8 +333,10 @@ def anchor(spark, sf_dir):
 @query
 def missing_anchors(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
-    stored = rows.where(F.col("role") == "system")
-    return threads.missing_anchors(stored, rows)
+    next_turn = (F.col("msg_id").cast("int") + 1).cast("string")
+    asked = rows.select("conv_id", next_turn.alias("msg_id")) \
+        .union(rows.select(F.concat(F.lit("x"), "conv_id"), "msg_id"))
+    return threads.missing_anchors(rows, asked)
 
 
 @query
@@ -381,10 +411,46 @@ def search_many_postings(spark, sf_dir):
 def search_many_english(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
     wanted = write_scratch(_label_queries(rows), "queries")
-    hits = search.with_highlights(search.search_many(rows, wanted, k=10), wanted)
+    hits = search.search_many(rows, wanted, k=10, highlighted=True)
     return hits.withColumn("highlights", F.array_join("highlights", "\n"))
 
 
+def light_stem(word: str) -> str:
+    """A stemmer of one rule, which SQL can repeat: a final s or ed is dropped."""
+    return word[:-2] if word.endswith("ed") else word[:-1] if word.endswith("s") else word
+
+
+@query
+def search_many_stemmer(spark, sf_dir):
+    """Batch search with the caller's own stemmer and English stop words."""
+    rows = fx.messages(spark, sf_dir)
+    return search.search_many(rows, _label_queries(rows), k=10, stemmer=light_stem)
+
+
+@query
+def search_stemmer(spark, sf_dir):
+    return search.search(fx.messages(spark, sf_dir), "tions the ored", k=50, stemmer=light_stem).drop("highlights")
+
+
+@query
+def search_none(spark, sf_dir):
+    """A search for no results, and a batch search for none: both empty."""
+    rows = fx.messages(spark, sf_dir)
+    batch = search.search_many(rows, _label_queries(rows), k=0, stemmer=None).select("conv_id", "msg_id", "score")
+    return search.search(rows, "tion", k=-3, stemmer=None).select("conv_id", "msg_id", "score").unionByName(batch) \
+        .agg(F.count("*").alias("results"))
+
+
+@query
+def unusable_queries(spark, sf_dir):
+    """Every message as a query; in every third turn only its marks are left."""
+    rows = fx.messages(spark, sf_dir)
+    marks = F.regexp_replace("text", r"[\p{L}\p{N}_]+", "")
+    asked = rows.select(F.concat_ws("/", "conv_id", "msg_id").alias("query_id"),
+                        F.when(F.col("msg_id").cast("int") % 3 == 0, marks).otherwise(F.col("text")).alias("q"))
+    return search.unusable_queries(asked)
+
+
 @query
 def build_postings(spark, sf_dir):
     return search.build_postings(fx.messages(spark, sf_dir), stemmer=None)
@@ -400,13 +466,13 @@ def english_lexemes(spark, sf_dir):
 def search_highlights(spark, sf_dir):
     terms = F.array(F.lit("tion"), F.lit("the"))
     return fx.messages(spark, sf_dir).select(
-        "conv_id", "msg_id", F.array_join(highlights(F.left("text", F.lit(400)), terms), "\n").alias("highlights"))
+        "conv_id", "msg_id", F.array_join(highlights(F.col("text"), terms), "\n").alias("highlights"))
 
 
 # Packs and prompts
 
-def _requests(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("conv_id").alias("pack_id"), F.concat_ws("/", "conv_id", "msg_id").alias("message_id"))
+def _requests(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("conv_id").alias("pack_id"), F.concat_ws("/", "conv_id", "msg_id").alias("message_id"), *more)
 
 
 @query
@@ -427,6 +493,24 @@ def context_pack_documents(spark, sf_dir):
     return packs.context_pack(rows, _requests(rows), max_tokens=16384)
 
 
+@query
+def pack_rejects(spark, sf_dir):
+    """Packs whose requests carry missing, differing or impossible budgets."""
+    rows = fx.messages(spark, sf_dir)
+    turn, conv = F.col("msg_id").cast("int"), F.col("conv_id").cast("int")
+    budget = F.when((conv % 5 == 0) & (turn == 1), F.lit(None)).when(conv % 5 == 1, 200 + turn) \
+        .when(conv % 5 == 2, conv - 50).when(conv % 5 == 3, 16000 + 100 * conv).otherwise(F.lit(6000))
+    return packs.pack_rejects(_requests(rows.withColumn("max_tokens", budget), "max_tokens"))
+
+
+@query
+def context_pack_budgets(spark, sf_dir):
+    """A budget of its own for every pack; impossible ones give no pack."""
+    rows = fx.messages(spark, sf_dir)
+    budget = F.col("conv_id").cast("int") * 7 - 20
+    return packs.context_pack(rows, _requests(rows.withColumn("max_tokens", budget), "max_tokens"), max_tokens=400, largest=400)
+
+
 @query
 def format_pack_line(spark, sf_dir):
     return fx.messages(spark, sf_dir).select("conv_id", "msg_id", packs.pack_line().alias("line"),
@@ -459,7 +543,7 @@ def memory_block(spark, sf_dir):
 
 @query
 def dedupe_by_key(spark, sf_dir):
-    docs = fx.document_messages(spark, sf_dir).select(fx.content_hash(F.col("text")).alias("hash"), "ts", "msg_id")
+    docs = fx.document_messages(spark, sf_dir).select(content_hash_of(F.col("text")).alias("hash"), "ts", "msg_id")
     return loads.dedupe_by_key(docs, ["hash"], ["ts", "msg_id"])
 
 
@@ -556,7 +640,11 @@ def read_export_zip(spark, sf_dir):
 def list_archives(spark, sf_dir):
     folder = scratch_path(spark, "archives")
     fx.write_archives(_exports(spark, sf_dir), folder)
-    return archives.list_archives(spark, folder).select("member", "status").distinct()
+    (spark.range(3).select(F.concat(F.lit("not an archive "), F.col("id").cast("string")).alias("value"))
+     .coalesce(1).write.text(f"{folder}/broken"))
+    listed = archives.list_archives(spark, folder)
+    return listed.groupBy("member", "status").agg(F.count_distinct("archive").alias("n")) \
+        .select("member", "status", (F.col("n") > 0).alias("found"))
 
 
 def _streamed_root(spark: SparkSession, sf_dir: str) -> str:
@@ -582,20 +670,32 @@ def stream_ingest_conversations(spark, sf_dir):
 def stream_embed(spark, sf_dir):
     root = _streamed_root(spark, sf_dir)
     for _ in range(2):
-        streams.stream_embed(spark, root, scratch_path(spark, "offsets-embed"), vectors.hashing_embedder(16), 16,
-                     "hash-16").awaitTermination()
+        streams.stream_embed(spark, root, scratch_path(spark, "offsets-embed"), letter_counts, len(LETTERS),
+                             "letters").awaitTermination()
     done = read_table(spark, root, "message_embeddings")
-    return done.select("conv_id", "msg_id", "model", F.size("embedding").alias("dim"))
+    return done.select("conv_id", "msg_id", "model", _numbers("embedding"))
 
 
 # Vectors
 
+LETTERS = "abcdehinorstu"
+
+
+def letter_counts(texts) -> np.ndarray:
+    """An embedder that SQL can repeat: how often each of some letters occurs."""
+    return np.array([[t.count(c) for c in LETTERS] for t in texts], dtype=np.float32).reshape(len(texts), len(LETTERS))
+
+
+def _numbers(column: str):
+    return F.array_join(F.transform(column, lambda x: x.cast("int").cast("string")), ",").alias("vector")
+
+
 @query
 def embed_messages(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
     done = rows.where(F.col("role") == "user").select("conv_id", "msg_id")
-    made = vectors.embed_messages(rows, done, vectors.hashing_embedder(64), 64, "hash-64", delay=0)
-    return made.select("conv_id", "msg_id", "model", F.size("embedding").alias("dim"))
+    made = vectors.embed_messages(rows, done, letter_counts, len(LETTERS), "letters", delay=0)
+    return made.select("conv_id", "msg_id", "model", _numbers("embedding"))
 
 
 @query
@@ -614,6 +714,6 @@ def vector_search(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
     wanted = write_scratch(_label_queries(rows), "queries")
-    embed = vectors.hashing_embedder(64)
-    made = vectors.embed_messages(rows, rows.where(F.lit(False)), embed, 64, "hash-64")
-    return vectors.hybrid_search(rows, made, wanted, embed, 64)
+    made = vectors.embed_messages(rows, rows.where(F.lit(False)), letter_counts, len(LETTERS), "letters")
+    hits = vectors.hybrid_search(rows, made, wanted, letter_counts, len(LETTERS), k=10, stemmer=None, depth=40)
+    return hits.select("query_id", "rank", "conv_id", "msg_id", "word_rank", "vector_rank", F.round("score", 8).alias("score"))

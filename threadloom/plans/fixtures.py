@@ -9,9 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.functions.text import safe_text, strip_space
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, spread over the cores when its files have too few splits to use them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,10 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def content_hash(text):
-    return F.sha2(F.lower(strip_space(safe_text(text))), 256)
-
-
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as messages: an hour per conversation, a minute per turn, replies as a binary tree."""
     turns = table(spark, sf_dir, "conversations")
@@ -38,11 +31,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation of the table, and for one in nine another that has no message."""
     ids = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
+    ids = ids.union(ids.where(F.col("conv_id") % 9 == 0).select(-1 - F.col("conv_id")))
     return ids.select(
         F.col("conv_id").cast("string").alias("conv_id"),
-        F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("Chat "), F.col("conv_id").cast("string"))).alias("title"),
-        F.concat(F.lit("owner_"), (F.col("conv_id") % 5).cast("string")).alias("owner_id"),
+        F.when(F.abs("conv_id") % 7 != 0, F.concat(F.lit("Chat "), F.col("conv_id").cast("string"))).alias("title"),
+        F.concat(F.lit("owner_"), (F.abs("conv_id") % 5).cast("string")).alias("owner_id"),
     )
 
 

@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from threadloom.functions.text import BLANKS
-from threadloom.schemas import TOPIC_STOP_WORDS
+from threadloom.schemas import SEARCH_STOP_WORDS, TOPIC_STOP_WORDS
+
+# The redaction patterns, in order, with their markers.
+REDACTIONS = [
+    ("email", r"\S+@\S+", "«EMAIL»"),
+    ("phone", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "«PHONE»"),
+    ("ip", r"\b\d{1,3}(\.\d{1,3}){3}\b", "«IP»"),
+    ("url", r"https?://[a-z!$-_]+", "«URL»"),
+]
 
 MESSAGES = """messages AS (
   SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS msg_id, role,
@@ -11,10 +19,11 @@ MESSAGES = """messages AS (
          CASE WHEN turn > 0 THEN ((turn - 1) // 2)::VARCHAR END AS parent_id
   FROM conversations)"""
 CONVERSATIONS = """convs AS (
-  SELECT DISTINCT conv_id::VARCHAR AS conv_id,
-         CASE WHEN conv_id % 7 <> 0 THEN 'Chat ' || conv_id::VARCHAR END AS title,
-         'owner_' || (conv_id % 5)::VARCHAR AS owner_id
-  FROM conversations)"""
+  SELECT conv_id::VARCHAR AS conv_id,
+         CASE WHEN abs(conv_id) % 7 <> 0 THEN 'Chat ' || conv_id::VARCHAR END AS title,
+         'owner_' || (abs(conv_id) % 5)::VARCHAR AS owner_id
+  FROM (SELECT DISTINCT conv_id FROM conversations
+        UNION ALL SELECT DISTINCT -1 - conv_id FROM conversations WHERE conv_id % 9 = 0))"""
 DOCUMENTS = """messages AS (
   SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, 'user' AS role,
          TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT) AS ts, text, NULL::VARCHAR AS parent_id
@@ -41,12 +50,7 @@ def trimmed(text: str) -> str:
 def redacted(text: str) -> list[str]:
     """The text after each redaction step."""
     steps = [text]
-    for pattern, marker in (
-        (r"\S+@\S+", "«EMAIL»"),
-        (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", "«PHONE»"),
-        (r"\b\d{1,3}(\.\d{1,3}){3}\b", "«IP»"),
-        (r"https?://[a-z!$-_]+", "«URL»"),
-    ):
+    for _, pattern, marker in REDACTIONS:
         steps.append(f"regexp_replace({steps[-1]}, '{pattern}', '{marker}', 'g')")
     return steps
 
@@ -124,10 +128,17 @@ def search(base: str, terms: list[str], k: int, where: str = "true", pad: bool =
 SELECT * FROM scored {least} ORDER BY score DESC, ts DESC, conv_id, msg_id LIMIT {k}"""
 
 
-def _many(base: str, k: int) -> str:
+def _light_stems(text: str) -> str:
+    """English words without stop words, a final ed or s dropped."""
+    words = rf"list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+'), lambda w: w NOT IN ({quoted(SEARCH_STOP_WORDS)}))"
+    return f"""list_transform({words}, lambda w: CASE WHEN w LIKE '%ed' THEN left(w, length(w) - 2)
+  WHEN w LIKE '%s' THEN left(w, length(w) - 1) ELSE w END)"""
+
+
+def _many(base: str, k: int, lexemes=_plain_words) -> str:
     return f"""{base}, scope AS (SELECT * FROM messages), {_tokens()}, {_top(20, 2)},
-wanted AS (SELECT DISTINCT label AS query_id, unnest({_plain_words('label')}) AS lexeme FROM top),
-words AS (SELECT conv_id, msg_id, ts, unnest({_plain_words('text')}) AS lexeme FROM messages),
+wanted AS (SELECT DISTINCT label AS query_id, unnest({lexemes('label')}) AS lexeme FROM top),
+words AS (SELECT conv_id, msg_id, ts, unnest({lexemes('text')}) AS lexeme FROM messages),
 scored AS (
   SELECT query_id, conv_id, msg_id, ts, count(*) / 10.0::DOUBLE AS score
   FROM words JOIN wanted USING (lexeme) GROUP BY ALL),
@@ -139,8 +150,47 @@ hits AS (
   FROM ranked r JOIN messages m USING (conv_id, msg_id) WHERE r.rank <= {k})"""
 
 
-def search_many(base: str, k: int = 10) -> str:
-    return f"WITH {_many(base, k)} SELECT * FROM hits"
+def search_many(base: str, k: int = 10, lexemes=_plain_words) -> str:
+    return f"WITH {_many(base, k, lexemes)} SELECT * FROM hits"
+
+
+def search_stemmer() -> str:
+    return f"""WITH {MESSAGES}, scored AS (
+  SELECT conv_id, msg_id, role, ts, left(text, 400) AS text,
+         len(list_filter({_light_stems('text')}, lambda w: w IN ('tion', 'or'))) / 10.0::DOUBLE AS score
+  FROM messages)
+SELECT * FROM scored ORDER BY score DESC, ts DESC, conv_id, msg_id LIMIT 50"""
+
+
+LETTERS = "abcdehinorstu"
+
+
+def letter_counts(text: str) -> list[str]:
+    return [f"length({text}) - length(replace({text}, '{c}', ''))" for c in LETTERS]
+
+
+def letter_vector(text: str) -> str:
+    return f"concat_ws(',', {', '.join(f'({c})::VARCHAR' for c in letter_counts(text))})"
+
+
+def hybrid_search(depth: int, k: int) -> str:
+    vector = lambda text: f"[{', '.join(letter_counts(text))}]::DOUBLE[]"
+    return f"""WITH {_many(MESSAGES, depth)},
+placed AS (SELECT conv_id, msg_id, {vector('text')} AS v FROM messages),
+asked AS (SELECT label AS query_id, {vector('label')} AS v FROM top),
+alike AS (
+  SELECT query_id, conv_id, msg_id, round(list_cosine_similarity(placed.v, asked.v), 9) AS score
+  FROM placed CROSS JOIN asked),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, msg_id) AS vector_rank FROM alike
+  QUALIFY vector_rank <= {depth}),
+fused AS (
+  SELECT query_id, conv_id, msg_id, h.rank AS word_rank, n.vector_rank,
+         round(coalesce(1 / (60.0 + h.rank), 0) + coalesce(1 / (60.0 + n.vector_rank), 0), 9) AS score
+  FROM hits h FULL JOIN near n USING (query_id, conv_id, msg_id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, msg_id) AS rank,
+       conv_id, msg_id, word_rank, vector_rank, round(score, 8) AS score
+FROM fused QUALIFY rank <= {k}"""
 
 
 def search_english() -> str:
@@ -169,7 +219,7 @@ def _memory(k: int) -> str:
 
 def highlights() -> str:
     """Excerpts for the terms tion and the, taken left to right while they do not overlap."""
-    return f"""WITH RECURSIVE {MESSAGES}, snippets AS (SELECT conv_id, msg_id, left(text, 400) AS snip FROM messages),
+    return f"""WITH RECURSIVE {MESSAGES}, snippets AS (SELECT conv_id, msg_id, text AS snip FROM messages),
 places AS (
   SELECT *, list_filter(range(1, length(snip) + 1),
       lambda i: substr(lower(snip), i, 4) = 'tion' OR substr(lower(snip), i, 3) = 'the') AS pos FROM snippets),
@@ -212,6 +262,35 @@ SELECT pack_id, coalesce(body, '') || CASE WHEN available > message_count
        token_count, message_count FROM packed"""
 
 
+def context_pack_budgets() -> str:
+    return f"""WITH {MESSAGES}, lines AS (
+  SELECT conv_id AS pack_id, conv_id::INT * 7 - 20 AS budget, conv_id, msg_id, ts, {_LINE} AS line FROM messages),
+summed AS (
+  SELECT *, ceil(length(line) / 4.0)::INT AS tokens,
+         sum(ceil(length(line) / 4.0)::INT) OVER (PARTITION BY pack_id ORDER BY ts, conv_id, msg_id
+             ROWS UNBOUNDED PRECEDING) AS used
+  FROM lines WHERE budget BETWEEN 1 AND 400)
+SELECT pack_id, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY used) FILTER (used <= budget), '')
+         || CASE WHEN count(*) > count(*) FILTER (used <= budget)
+            THEN chr(10) || chr(10) || '-- Truncated at ' || any_value(budget)::VARCHAR || ' tokens --' ELSE '' END AS text_block,
+       coalesce(sum(tokens) FILTER (used <= budget), 0)::BIGINT AS token_count,
+       count(*) FILTER (used <= budget) AS message_count
+FROM summed GROUP BY pack_id"""
+
+
+_PACK_REJECTS = """WITH asked AS (
+  SELECT conv_id::VARCHAR AS pack_id,
+         CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN NULL WHEN conv_id % 5 = 1 THEN 200 + turn
+              WHEN conv_id % 5 = 2 THEN conv_id - 50 WHEN conv_id % 5 = 3 THEN 16000 + 100 * conv_id ELSE 6000 END AS budget
+  FROM conversations),
+judged AS (
+  SELECT pack_id, CASE WHEN count(*) > count(budget) THEN 'budget is missing'
+                       WHEN count(DISTINCT budget) > 1 THEN 'budgets of the pack differ'
+                       WHEN min(budget) NOT BETWEEN 1 AND 16384 THEN 'budget is not between 1 and 16384' END AS reason
+  FROM asked GROUP BY pack_id)
+SELECT * FROM judged WHERE reason IS NOT NULL"""
+
+
 _SUMMARY = """summary AS (
   SELECT conv_id, count(*) AS message_count, min(ts) AS first_message_ts, max(ts) AS last_message_ts
   FROM {source} GROUP BY conv_id)"""
@@ -232,16 +311,17 @@ FROM documents"""
 
 
 def _checksum_part(i: int) -> str:
-    return f"lower(lpad(hex(bit_xor(('0x' || substr(digest, {1 + 15 * i}, 15))::BIGINT)), 15, '0'))"
+    """Sum of the i-th 60 bits of the digests modulo 2^60, added up digit by digit."""
+    nibbles = [f"sum(('0x' || substr(digest, {1 + 15 * i + k}, 1))::BIGINT)::HUGEINT * {16 ** (14 - k)}" for k in range(15)]
+    return f"lower(lpad(hex((({' + '.join(nibbles)}) % {1 << 60})::BIGINT), 15, '0'))"
 
 
 def all_sql() -> dict[str, str]:
     with_messages = f"WITH {MESSAGES} "
     steps = redacted("text")
-    patterns = [r"\S+@\S+", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"\b\d{1,3}(\.\d{1,3}){3}\b", r"https?://[a-z!$-_]+"]
     hits = ", ".join(
         f"sum(len(regexp_extract_all({step}, '{pattern}')))::BIGINT AS {kind}_hits"
-        for kind, step, pattern in zip(("email", "phone", "ip", "url"), steps, patterns))
+        for step, (kind, pattern, _) in zip(steps, REDACTIONS))
     window = "ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-03'"
     return {
         "topic_map": topic_map(MESSAGES),
@@ -249,6 +329,7 @@ def all_sql() -> dict[str, str]:
         "topic_map_range": topic_map(MESSAGES, f"SELECT * FROM messages WHERE {window}", limit=20),
         "topic_map_conv": topic_map(MESSAGES, "SELECT * FROM messages WHERE conv_id = '3'", least=1),
         "topic_map_documents": topic_map(DOCUMENTS, limit=50, samples=5),
+        "topic_map_wide": topic_map(MESSAGES, limit=400, least=25, samples=8),
         "topic_anchors": f"""WITH {MESSAGES}, scope AS (SELECT * FROM messages), {_tokens()}, {_top(10, 2)}, {_NUMBERED}
 SELECT n.label, n.conv_id, n.msg_id, m.role, n.ts, {trimmed('m.text')} AS text, n.anchor_no
 FROM numbered n JOIN messages m USING (conv_id, msg_id) WHERE n.anchor_no <= 5""",
@@ -278,8 +359,7 @@ FROM messages""",
         "conversation_summary": f"WITH {MESSAGES}, {_SUMMARY.format(source='messages')} SELECT * FROM summary",
         "list_conversations": conversation_list(),
         "list_page2": conversation_list(page="LIMIT 20 OFFSET 20"),
-        "list_owner": conversation_list("(SELECT * FROM messages WHERE role = 'system')",
-                                                      "owner_id = 'owner_3'", "LIMIT 500"),
+        "list_owner": conversation_list(where="owner_id = 'owner_3'", page="LIMIT 2000"),
         "conversation_stats": with_messages + """SELECT conv_id, count(*) AS message_count,
   string_agg(DISTINCT role, ',' ORDER BY role) AS participant_roles, min(ts) AS first_message_ts,
   max(ts) AS last_message_ts, avg(length(text)) AS average_message_length FROM messages GROUP BY conv_id""",
@@ -289,7 +369,7 @@ FROM messages""",
         "conversation_checksum": f"""{with_messages}, digests AS (
   SELECT conv_id, sha256(strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '|' || msg_id || '|' || {hashed('text')}) AS digest
   FROM messages)
-SELECT conv_id, {' || '.join(_checksum_part(i) for i in range(4))} AS checksum FROM digests GROUP BY conv_id""",
+SELECT conv_id, count(*)::VARCHAR || '-' || {' || '.join(_checksum_part(i) for i in range(4))} AS checksum FROM digests GROUP BY conv_id""",
         "table_counts": f"""WITH {CONVERSATIONS} SELECT 'conversations' AS table_name, count(*) AS row_count FROM convs
 UNION ALL SELECT 'messages', count(*) FROM conversations""",
 
@@ -306,6 +386,25 @@ links AS (
   UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'ancestor' FROM ({_ABOVE}) SEMI JOIN openings USING (conv_id, anchor_id)
   UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'descendant' FROM ({_BELOW}) SEMI JOIN openings USING (conv_id, anchor_id))
 SELECT l.conv_id, l.anchor_id, l.relation, l.distance, l.order_idx, l.msg_id, m.parent_id, m.role, m.ts, m.text
+FROM links l JOIN messages m USING (conv_id, msg_id)""",
+
+        "thread_cycles": f"""WITH RECURSIVE {MESSAGES}, cyclic AS (
+  SELECT conv_id, msg_id, CASE WHEN msg_id = '0' THEN '3' WHEN msg_id = '5' THEN '5' ELSE parent_id END AS parent_id
+  FROM messages),
+up AS (
+  SELECT a.conv_id, a.msg_id AS anchor_id, p.msg_id, p.parent_id, 1::BIGINT AS distance, [a.msg_id, p.msg_id] AS seen
+  FROM cyclic a JOIN cyclic p ON p.conv_id = a.conv_id AND p.msg_id = a.parent_id AND p.msg_id <> a.msg_id
+  UNION ALL
+  SELECT u.conv_id, u.anchor_id, p.msg_id, p.parent_id, u.distance + 1, list_append(u.seen, p.msg_id)
+  FROM up u JOIN cyclic p ON p.conv_id = u.conv_id AND p.msg_id = u.parent_id AND NOT list_contains(u.seen, p.msg_id))
+SELECT conv_id, anchor_id, msg_id, distance FROM up""",
+        "thread_last_messages": f"""WITH RECURSIVE {MESSAGES}, {_UP}, {_down(2)}, openings AS (
+  SELECT conv_id, arg_max(msg_id, ts) AS anchor_id FROM messages GROUP BY conv_id),
+links AS (
+  SELECT conv_id, anchor_id, anchor_id AS msg_id, 0 AS distance, 0 AS order_idx, 'anchor' AS relation FROM openings
+  UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'ancestor' FROM ({_ABOVE}) SEMI JOIN openings USING (conv_id, anchor_id)
+  UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'descendant' FROM ({_BELOW}) SEMI JOIN openings USING (conv_id, anchor_id))
+SELECT l.conv_id, l.anchor_id, l.relation, l.distance, l.order_idx, l.msg_id, m.parent_id, m.role, m.ts
 FROM links l JOIN messages m USING (conv_id, msg_id)""",
 
         "dynamic_where": with_messages + """SELECT * FROM messages WHERE role = 'user'
@@ -333,14 +432,16 @@ SELECT m.conv_id, m.msg_id FROM messages m JOIN convs USING (conv_id) WHERE owne
   msg_id || '/' || role AS msg_id FROM messages""",
         "parent_child_self_join": with_messages + """SELECT p.conv_id, p.msg_id, c.msg_id AS reply_id, c.role AS reply_role
 FROM messages p JOIN messages c ON c.conv_id = p.conv_id AND c.parent_id = p.msg_id""",
-        "conv_left_join_messages": conversation_list("(SELECT * FROM messages WHERE role = 'system')", page=""),
+        "conv_left_join_messages": conversation_list(page=""),
         "message_orphans": with_messages + """SELECT conv_id, msg_id, role AS tag FROM messages
   WHERE length(text) <= 200""",
         "anchor": with_messages + "SELECT *, msg_id AS anchor_id FROM messages WHERE role = 'user'",
-        "missing_anchors": with_messages + """SELECT conv_id, msg_id AS anchor_id,
-  CASE WHEN conv_id IN (SELECT conv_id FROM messages WHERE role = 'system')
+        "missing_anchors": with_messages + """, asked AS (
+  SELECT conv_id, (msg_id::INT + 1)::VARCHAR AS anchor_id FROM messages
+  UNION SELECT 'x' || conv_id, msg_id FROM messages)
+SELECT conv_id, anchor_id, CASE WHEN conv_id IN (SELECT conv_id FROM messages)
        THEN 'message not found in conversation' ELSE 'conversation not found' END AS reason
-FROM messages WHERE role <> 'system'""",
+FROM asked WHERE NOT EXISTS (SELECT 1 FROM messages m WHERE m.conv_id = asked.conv_id AND m.msg_id = asked.anchor_id)""",
         "tokenise": f"""WITH {DOCUMENTS}, scope AS (SELECT * FROM messages), {_tokens()}
 SELECT m.msg_id, coalesce(t.tokens, '') AS tokens FROM messages m LEFT JOIN (
   SELECT conv_id, msg_id, string_agg(label, ' ' ORDER BY label) AS tokens FROM tokens GROUP BY ALL) t
@@ -351,6 +452,13 @@ SELECT m.msg_id, coalesce(t.tokens, '') AS tokens FROM messages m LEFT JOIN (
 
         "search_english": search_english(),
         "search_highlights": highlights(),
+        "search_stemmer": search_stemmer(),
+        "search_many_stemmer": search_many(MESSAGES, lexemes=_light_stems),
+        "search_none": "SELECT 0::BIGINT AS results",
+        "unusable_queries": rf"""SELECT conv_id::VARCHAR || '/' || turn::VARCHAR AS query_id,
+  'the query needs at least one term' AS reason
+FROM conversations WHERE turn % 3 = 0 OR NOT regexp_matches(text, '[\p{{L}}\p{{N}}_]')""",
+        "hybrid_search": hybrid_search(40, 10),
         "shorten": f"{with_messages}SELECT conv_id, msg_id, {shortened('text')} AS summary FROM messages",
         "memory_block": f"WITH {_memory(5)} SELECT * FROM memory",
         "build_prompts": f"""WITH {_memory(5)}
@@ -370,6 +478,8 @@ FROM (SELECT conv_id, msg_id, role, ts, unnest({_plain_words('text')}) AS lexeme
         "context_pack": context_pack(MESSAGES, 6000),
         "context_pack_truncated": context_pack(MESSAGES, 200),
         "context_pack_documents": context_pack(DOCUMENTS, 16384),
+        "context_pack_budgets": context_pack_budgets(),
+        "pack_rejects": _PACK_REJECTS,
         "format_pack_line": f"""{with_messages}SELECT conv_id, msg_id, {_LINE} AS line,
   strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM messages""",
 
@@ -391,7 +501,8 @@ FROM messages GROUP BY 1""",
         "ingest_export": f"""SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash
 FROM documents WHERE lang IS DISTINCT FROM 'en'""",
         "read_export_zip": f"SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash FROM documents",
-        "list_archives": "SELECT DISTINCT 'conversations.json' AS member, 'ok' AS status FROM documents",
+        "list_archives": """SELECT DISTINCT 'conversations.json' AS member, 'ok' AS status, true AS found FROM documents
+UNION ALL SELECT NULL, 'not a ZIP archive', true""",
         "import_summary": """SELECT count(*) AS imported, count(*) FILTER (lang IS DISTINCT FROM 'en') AS inserted,
   count(*) AS conversations FROM documents""",
         "read_export_json": """SELECT source AS conv_id, 'From ' || source AS title, 'default' AS owner_id,
@@ -399,11 +510,11 @@ FROM documents WHERE lang IS DISTINCT FROM 'en'""",
         "stream_ingest": f"SELECT conv_id, msg_id, role, ts, text, hash FROM ({_normalised()})",
         "stream_ingest_conversations": """SELECT DISTINCT source AS conv_id, 'From ' || source AS title,
   'default' AS owner_id FROM documents""",
-        "stream_embed": """SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, 'hash-16' AS model, 16 AS dim
-FROM documents""",
+        "stream_embed": f"""SELECT conv_id, msg_id, 'letters' AS model, {letter_vector('text')} AS vector
+FROM ({_normalised()})""",
 
         "embed_messages": with_messages
-        + "SELECT conv_id, msg_id, 'hash-64' AS model, 64 AS dim FROM messages WHERE role <> 'user'",
+        + f"SELECT conv_id, msg_id, 'letters' AS model, {letter_vector('text')} AS vector FROM messages WHERE role <> 'user'",
         "vector_search": """WITH parts AS (
   SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 means AS (SELECT label, i, avg(x) AS x FROM parts GROUP BY label, i),

@@ -9,7 +9,7 @@ from threadloom.operators.ingest import explode_messages, normalise_messages, pa
 from threadloom.operators.filters import split_valid
 from threadloom.operators.loads import insert_ignore
 from threadloom.operators.vectors import embed_messages
-from threadloom.session import write_scratch
+from threadloom.session import dropped_scratch, write_scratch
 from threadloom.sources.archives import FILES, read_listed
 from threadloom.sources.tables import append_conversations, append_table, ensure_schema, location, read_table
 
@@ -22,14 +22,23 @@ def load_exports(raw: DataFrame, root: str, owner_id: str = "default", enable_pi
     its reason, in ``load_rejects``.
     """
     spark = raw.sparkSession
-    parsed, rejects = parse_exports(write_scratch(raw, "raw_exports"))
-    messages = write_scratch(normalise_messages(explode_messages(parsed), enable_pii=enable_pii), "normalised")
-    valid, quarantine = split_valid(messages)
-    new = insert_ignore(read_table(spark, root, "messages"), valid, order=["archive", "ordinal", "position"])
-    append_conversations(project_conversations(parsed, owner_id), root)
-    append_table(new, root, "messages")
-    append_table(rejects, root, "load_rejects")
-    append_table(quarantine.withColumn("reason", F.array_join("reason", ", ")), root, "load_rejects")
+    with dropped_scratch(spark):
+        parsed, rejects = parse_exports(write_scratch(raw, "raw_exports"))
+        messages = write_scratch(normalise_messages(explode_messages(parsed), enable_pii=enable_pii), "normalised")
+        valid, quarantine = split_valid(messages)
+        new = insert_ignore(read_table(spark, root, "messages"), valid, order=["archive", "ordinal", "position"])
+        append_conversations(project_conversations(parsed, owner_id), root)
+        append_table(new, root, "messages")
+        append_new_rejects(rejects, root)
+        append_new_rejects(quarantine.withColumn("reason", F.array_join("reason", ", ")), root)
+
+
+def append_new_rejects(rejects: DataFrame, root: str) -> None:
+    """Keep rejected rows that are not kept already, so that a replayed batch adds none."""
+    stored = read_table(rejects.sparkSession, root, "load_rejects")
+    known = [c for c in stored.columns if c in rejects.columns]
+    same = [rejects[c].eqNullSafe(stored[c]) for c in known]
+    append_table(rejects.join(stored, same, "left_anti"), root, "load_rejects")
 
 
 def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, owner_id: str = "default",
