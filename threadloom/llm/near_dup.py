@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm import sketches
 from threadloom.llm.alignment import similarity
-from threadloom.llm.rows import quoted, text_of
+from threadloom.llm.rows import boxed, text_of, unboxed
 from threadloom.session import broadcast_if_small, write_measured, write_scratch
 
 def sketch(docs: DataFrame, functions: int, order: int) -> DataFrame:
@@ -141,10 +141,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, functions: int = 24, or
 
 
 def _classes(signed: DataFrame, texts: DataFrame, rounds: DataFrame) -> DataFrame:
-    rooted = texts.select("node", "doc_id").join(rounds, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("best"))
-    named = rooted.join(best, "root").select(
-        "node", F.col("best.doc_id").alias("class_id"), F.col("best.node").alias("best_node"))
+    """Name every row's group. Only texts that have links are grouped by root, and their names measured to be sent out."""
+    linked = texts.select("node", "doc_id").join(rounds, "node")
+    best = linked.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("best")) \
+        .union(rounds.select("root").distinct().join(texts, F.col("root") == F.col("node")).select(
+            "root", F.struct("doc_id", "node").alias("best"))).groupBy("root").agg(F.min("best").alias("best"))
+    best = broadcast_if_small(best.select("root", F.col("best.doc_id").alias("best_id"), F.col("best.node").alias("best_node")))
+    roots = rounds.union(rounds.select("root", "root").distinct())
+    named = texts.select("node", "doc_id").join(roots, "node", "left").join(best, "root", "left").select(
+        "node", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("best_id")).alias("class_id"),
+        F.coalesce("best_node", "node").alias("best_node"))
     return signed.select("doc_id", "node", "n_words").join(named, "node").select(
         "doc_id", "node", "n_words", "class_id",
         ((F.col("node") == F.col("best_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
@@ -158,10 +164,9 @@ def one_of_each(docs: DataFrame, **settings: float) -> DataFrame:
     rows = near_duplicates(docs, **settings).groupBy("doc_id", "node").agg(
         F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     marked = broadcast_if_small(rows.where(~F.col("kept") | (F.col("n") > 1)).select(
-        F.col("doc_id").alias("_id"), F.col("node").alias("_node"), F.col("kept").alias("_kept")))
-    body = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
-    found = docs.join(marked, (body == F.col("_node")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    columns = [docs[quoted(c)] for c in docs.columns]
-    single = found.where(F.col("_node").isNull()).select(*columns)
-    repeated = found.where(F.col("_kept")).select(*columns, F.col("_node")).dropDuplicates(["doc_id", "_node"]).drop("_node")
-    return single.union(repeated)
+        F.col("doc_id").alias("marked_id"), F.col("node").alias("marked"), "kept"))
+    found = boxed(docs, doc_id=F.col("doc_id"), node=F.unhex(F.md5(text_of()))).join(
+        marked, (F.col("node") == F.col("marked")) & F.col("doc_id").eqNullSafe(F.col("marked_id")), "left")
+    single = found.where(F.col("marked").isNull()).select("row")
+    repeated = found.where("kept").dropDuplicates(["doc_id", "node"]).select("row")
+    return unboxed(single.union(repeated), docs.columns, [])
