@@ -94,8 +94,13 @@ def test_scores_by_definition(documents, texts, share):
     for r in rows[:60]:
         words = tokens_of(texts[r.doc_id])
         spelled = tree.words(texts[r.doc_id])
-        want = sum(math.log10((1 - escape) * counts[w] / total + escape * 10 ** s) for w, s in zip(words, spelled))
+        each = [(1 - escape) * counts[w] / total + escape * 10 ** s for w, s in zip(words, spelled)]
+        assert r.spelled_score == pytest.approx(sum(map(math.log10, each)), rel=1e-5)
+        want = sum(math.log10((1 - escape) * p if counts[w] else escape) for w, p in zip(words, each))
         assert r.score == pytest.approx(want, rel=1e-5)
+    if share == suffix_tree.LEAST_SHARE:  # better than the base on texts that were not seen
+        unseen = [r for r in rows if r.held_out]
+        assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
 def test_tree_rows_are_distributions(documents):
