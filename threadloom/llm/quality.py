@@ -34,7 +34,7 @@ ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SEPARATOR = r"(?:^|[\x20\x09])(?:[|>»›•·/]+)"
 SENTENCE_MARK = r"[.!?…:;,。！？、،؟।]"
 MARK_RUN = r"[!?]{2,}|[.]{4,}|[#*$%&~^=_]{2,}"
-CLOSING_MARK = r"""[.!?…:;。！？।]["'”’»)\]]*$"""
+CLOSING_MARK = r"""[.!?…:;。！？।]["'”’»)\]]*\z"""
 STOCK_PHRASE = (
     r"(?i)cookie policy|uses cookies|privacy policy|terms of (?:use|service)|all rights reserved|lorem ipsum|"
     r"javascript (?:is )?(?:disabled|required)|enable javascript|subscribe (?:to|now)|sign up (?:for|now)|"

@@ -68,7 +68,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": CHATS_SQL}
+    return {"op1_quality_rules": quality_sql(), "op7_chat_formatting": CHATS_SQL}
+
+
+def quality_sql() -> str:
+    """The rules over exploded lines, and repeated windows by grouping their words."""
+    def pattern(regex: str) -> str:
+        return "'" + regex.replace("'", "''") + "'"
+
+    def count(regex: str, text: str = "line") -> str:
+        return f"len(regexp_extract_all({text}, {pattern(regex)}))"
+
+    blanks = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+split AS (SELECT doc_id, line, regexp_extract_all(line, {pattern(quality.WORD)}) AS words FROM lines),
+judged AS (
+  SELECT *, CASE
+    WHEN len(words) = 0 THEN NULL
+    WHEN {count(quality.SEPARATOR)} >= 3 AND len(words) <= 5 * ({count(quality.SEPARATOR)} + 1) THEN 'navigation'
+    WHEN len(words) <= 2 AND NOT regexp_matches(trim(line, {blanks}), {pattern(quality.CLOSING_MARK)}) THEN 'navigation'
+    WHEN {count(quality.SYMBOL)} > 0.1::DOUBLE * length(line) THEN 'punctuation'
+    WHEN len(words) >= 4 AND {count(quality.MARK_RUN)} > 0.3::DOUBLE * len(words) THEN 'punctuation'
+    WHEN len(words) >= 12 AND NOT regexp_matches(line, {pattern(quality.SENTENCE_MARK)}) THEN 'punctuation'
+    WHEN len(words) <= 40 AND regexp_matches(line, {pattern(quality.STOCK_PHRASE)}) THEN 'boilerplate'
+    WHEN len(words) >= 8 AND len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1]))
+         > 0.4::DOUBLE * len(words) THEN 'boilerplate' END AS reason
+  FROM split),
+by_doc AS (
+  SELECT doc_id, count(reason) AS n_failing_lines,
+         count(*) FILTER (len(words) > 0) - count(DISTINCT line) FILTER (len(words) > 0) AS n_dup_lines,
+         coalesce(sum(length(line)) FILTER (len(words) > 0), 0) AS all_chars,
+         coalesce(sum(length(line)) FILTER (len(words) > 0 AND reason IS NULL), 0) AS left_chars
+  FROM judged GROUP BY doc_id),
+tokens AS (SELECT doc_id, text, regexp_extract_all(text, {pattern(quality.WORD)}) AS words FROM docs),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS pos FROM tokens),
+grams AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, array_to_string(words[pos:pos + 4], ' ')) AS times FROM places),
+covered AS (
+  SELECT doc_id, least(5, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos, 5)) AS fresh
+  FROM grams WHERE times > 1),
+repeats AS (SELECT doc_id, sum(fresh)::BIGINT AS n FROM covered GROUP BY doc_id),
+counted AS (
+  SELECT t.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         {count(quality.SYMBOL, 'text')} AS n_symbols, n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, n_failing_lines,
+         CASE WHEN all_chars > 0 THEN 1 - left_chars / all_chars::DOUBLE ELSE 0 END AS lost
+  FROM tokens t JOIN by_doc USING (doc_id) LEFT JOIN repeats r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_failing_lines,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost <= 0.3::DOUBLE AS kept
+FROM counted"""
 
 
 # Prefixes as whole lists of (role, text) instead of hashes.
