@@ -28,22 +28,24 @@ def conversations_with_counts(conversations: DataFrame, messages: DataFrame) ->
 
 
 def list_conversations(conversations: DataFrame, messages: DataFrame, owner_id: str | None = None,
-                       limit: int = 50, offset: int = 0) -> DataFrame:
+                       limit: int = 50, offset: int = 0, with_total: bool = False) -> DataFrame:
     """One page of conversations, latest activity first; empty conversations last.
 
     With an owner only the messages of that owner's conversations are counted. A page is
     found by ranking ``offset + limit`` rows; to go through all, sort by range instead.
+    ``with_total`` adds the number of conversations that the pages are cut from.
     """
     if limit < 1 or offset < 0:
         raise ValueError(f"a page needs limit >= 1 and offset >= 0, got {limit} and {offset}")
     owned = owned_by(conversations, owner_id)
     if owner_id is not None:
         messages = messages.join(broadcast_if_small(owned.select("conv_id").distinct()), "conv_id", "left_semi")
-    return (
+    page = (
         conversations_with_counts(owned, messages)
         .orderBy(F.col("last_message_ts").desc_nulls_last(), F.col("title").asc_nulls_last(), "conv_id")
         .offset(offset).limit(limit)
     )
+    return page.withColumn("total", owned.agg(F.count("*")).scalar()) if with_total else page
 
 
 def conversation_stats(messages: DataFrame, conv_id: str | None = None) -> DataFrame:

@@ -157,6 +157,13 @@ def list_page2(spark, sf_dir):
     return browse.list_conversations(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), limit=20, offset=20)
 
 
+@query
+def list_total(spark, sf_dir):
+    """A page of one owner's conversations with the number of all of them."""
+    return browse.list_conversations(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), owner_id="owner_1",
+                                     limit=5, offset=2, with_total=True)
+
+
 @query
 def list_owner(spark, sf_dir):
     return browse.list_conversations(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), owner_id="owner_3",
@@ -587,6 +594,42 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("error"))
 
 
+def _shaped_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as export conversations whose messages have six different shapes."""
+    docs = fx.document_messages(spark, sf_dir)
+    shape = F.col("msg_id").cast("bigint") % 6
+    minute = F.unix_timestamp(F.col("ts").cast("timestamp")).alias("create_time")
+    stamp = F.lit("2024-02-03T04:05:06Z").alias("timestamp")
+    author = F.struct(F.lit("assistant").alias("role")).alias("author")
+    image = F.struct(F.lit(1).alias("image"))
+    parts = F.concat(F.lit('{"parts":['), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2),
+                     F.lit(","), F.to_json(image), F.lit(',"end"]}'))
+    members = lambda *fields: F.substring(F.to_json(F.struct(*fields)), 2, (1 << 31) - 1)
+    message = (
+        F.when(shape == 0, F.concat(F.lit('{"content":'), parts, F.lit(","), members(author, minute)))
+        .when(shape == 1, F.to_json(F.struct(F.concat(F.lit("m"), "msg_id").alias("id"), F.lit("tool").alias("role"), stamp,
+                                             F.col("text").alias("content"))))
+        .when(shape == 2, F.to_json(F.struct(F.struct(F.col("msg_id").cast("bigint").alias("n")).alias("content"), stamp,
+                                             F.concat(F.lit("p"), "msg_id").alias("parent"))))
+        .when(shape == 3, F.concat(F.lit('{"content":null,'), members(F.col("text"))))
+        .when(shape == 4, F.to_json(F.struct("text", author)))
+        .otherwise(F.lit('{"model":"x"}')))
+    started = F.when(shape == 3, F.lit('"create_time":1700000000,')).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"id":"'), "conv_id", F.lit('",'), started, F.lit('"mapping":{"'), "msg_id",
+                    F.lit('":{"parent":"root","message":'), message, F.lit("}}}"))
+    return docs.select(
+        F.col("conv_id").alias("archive"), F.lit(None).cast("timestamp").alias("modified"),
+        F.col("msg_id").cast("bigint").alias("ordinal"), body.alias("conversation"), F.lit(None).cast("string").alias("error"))
+
+
+@query
+def normalise_shapes(spark, sf_dir):
+    """Every content shape, time field and fallback; messages without any time take the time of the import."""
+    parsed, _ = ingest.parse_exports(_shaped_exports(spark, sf_dir))
+    rows = ingest.normalise_messages(ingest.explode_messages(parsed), ingest_ts=F.lit("2024-06-01").cast("timestamp"))
+    return rows.select("conv_id", "msg_id", "role", F.col("ts").cast("timestamp_ntz").alias("ts"), "text", "parent_id", "hash")
+
+
 def _stored_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.table(spark, sf_dir, "documents").where(F.col("lang") == "en")
     return docs.select(F.col("source").alias("conv_id"), F.col("doc_id").cast("string").alias("msg_id"))

@@ -310,6 +310,20 @@ def _normalised() -> str:
 FROM documents"""
 
 
+def _shapes() -> str:
+    return f"""WITH shaped AS (
+  SELECT *, doc_id % 6 AS shape, CASE doc_id % 6 WHEN 0 THEN text || chr(10) || 'end' WHEN 1 THEN text
+    WHEN 2 THEN '{{"n":' || doc_id::VARCHAR || '}}' WHEN 4 THEN text ELSE '' END AS raw
+  FROM documents)
+SELECT source AS conv_id, CASE WHEN shape = 1 THEN 'm' ELSE '' END || doc_id::VARCHAR AS msg_id,
+  CASE shape WHEN 0 THEN 'assistant' WHEN 1 THEN 'tool' WHEN 4 THEN 'assistant' ELSE 'user' END AS role,
+  CASE WHEN shape = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT) WHEN shape IN (1, 2) THEN TIMESTAMP '2024-02-03 04:05:06'
+       WHEN shape = 3 THEN TIMESTAMP '2023-11-14 22:13:20' ELSE TIMESTAMP '2024-06-01' END AS ts,
+  {redacted('raw')[-1]} AS text, CASE WHEN shape = 2 THEN 'p' || doc_id::VARCHAR ELSE 'root' END AS parent_id,
+  {hashed('raw')} AS hash
+FROM shaped"""
+
+
 def _checksum_part(i: int) -> str:
     """Sum of the i-th 60 bits of the digests modulo 2^60, added up digit by digit."""
     nibbles = [f"sum(('0x' || substr(digest, {1 + 15 * i + k}, 1))::BIGINT)::HUGEINT * {16 ** (14 - k)}" for k in range(15)]
@@ -359,6 +373,8 @@ FROM messages""",
         "conversation_summary": f"WITH {MESSAGES}, {_SUMMARY.format(source='messages')} SELECT * FROM summary",
         "list_conversations": conversation_list(),
         "list_page2": conversation_list(page="LIMIT 20 OFFSET 20"),
+        "list_total": f"""SELECT *, (WITH {CONVERSATIONS} SELECT count(*) FROM convs WHERE owner_id = 'owner_1') AS total
+FROM ({conversation_list(where="owner_id = 'owner_1'", page="LIMIT 5 OFFSET 2")})""",
         "list_owner": conversation_list(where="owner_id = 'owner_3'", page="LIMIT 2000"),
         "conversation_stats": with_messages + """SELECT conv_id, count(*) AS message_count,
   string_agg(DISTINCT role, ',' ORDER BY role) AS participant_roles, min(ts) AS first_message_ts,
@@ -498,6 +514,7 @@ FROM messages GROUP BY 1""",
         "cascade_delete": with_messages + """SELECT conv_id, msg_id FROM messages
   WHERE conv_id NOT IN (SELECT conv_id FROM messages WHERE role = 'system')""",
         "normalise_export": _normalised(),
+        "normalise_shapes": _shapes(),
         "ingest_export": f"""SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash
 FROM documents WHERE lang IS DISTINCT FROM 'en'""",
         "read_export_zip": f"SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash FROM documents",
