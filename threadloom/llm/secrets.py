@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.llm.rows import boxed, settled, text_of, unboxed
+from threadloom.session import broadcast_if_small
 
 # Strong patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,10 +83,13 @@ def _scanned(docs: DataFrame, scope: int) -> DataFrame:
     read = boxed(docs, body=text_of()).withColumn("base_spans", F.sort_array(strong)).withColumn("weak", weak)
     read = read.withColumn("weak", F.filter("weak", lambda w: ~F.exists(
         F.col("base_spans"), lambda b: (b.start < w.end) & (w.start < b.end))))
-    read = read.withColumn("key", F.when(settled(F.size("weak") > 0), F.sha2("body", 256))).drop("body")
-    links = _links(read.where(F.col("key").isNotNull()).select(
+    read = read.withColumn("key", F.when(settled(F.size("weak") > 0), F.sha2("body", 256))) \
+        .withColumn("spread", F.xxhash64("body")).drop("body")
+    # Links are few: sent to the texts if they measure small, else met in a join that spreads the texts without any.
+    links = broadcast_if_small(_links(read.where(F.col("key").isNotNull()).select(
         "key", F.explode(F.concat("base_spans", "weak")).alias("s")).select("key", "s.*"), scope)
-    return read.join(links, "key", "left").select("row", "base_spans", F.sort_array(F.concat(
+        .withColumnRenamed("key", "link_key"))
+    return read.join(links, F.coalesce("key", F.col("spread").cast("string")) == F.col("link_key"), "left").select("row", "base_spans", F.sort_array(F.concat(
         "base_spans", F.coalesce(F.col("links"), F.array().cast(SPAN)))).alias("spans"))
 
 
