@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.llm import sketches
-from threadloom.llm.rows import text_of
+from threadloom.llm.rows import slices, text_of
 from threadloom.session import write_scratch
 
 FUNCTIONS, ORDER = 64, 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, functions: int = FUNCTIONS, order: int = ORDER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
-        for batch in batches:
+        for batch in slices(batches):
             signed = entries(batch.column(1).to_pylist(), randoms, functions, order)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(as_bytes(signed), pa.binary())],
                                              names=["doc_id", "fingerprint"])
@@ -107,7 +107,7 @@ def with_edits(docs: DataFrame, functions: int = FUNCTIONS, order: int = ORDER)
             del ids[:-1], texts[:-1]
             return result
 
-        for batch in batches:
+        for batch in slices(batches):
             size = 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if id_type is None:
@@ -136,7 +136,7 @@ def with_edits(docs: DataFrame, functions: int = FUNCTIONS, order: int = ORDER)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
-        for batch in batches:
+        for batch in slices(batches):
             columns = compared(batch.column(1).to_pylist(), batch.column(2).to_pylist(), randoms, functions, order)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns.values())],
                                              names=["doc_id", *columns])

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from threadloom.llm import sketches
-from threadloom.llm.rows import quoted, text_of
+from threadloom.llm.rows import quoted, slices, text_of
 from threadloom.session import write_scratch
 
 SAMPLE = 8000
@@ -92,9 +92,11 @@ def posteriors(texts: list[str | None], weights: np.ndarray, randoms: sketches.R
     out, words = [], []
     for _, group in _groups(texts):
         buckets, sizes, counts = features(group, randoms)
-        sums = np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[buckets], axis=0)])
-        ends = np.cumsum(sizes)
-        out.append(_softmax(sums[ends] - sums[ends - sizes] + weights[-1]))
+        logits = np.zeros((len(group), weights.shape[1])) + weights[-1]
+        if len(buckets):
+            starts = np.cumsum(sizes) - sizes
+            logits[sizes > 0] += np.add.reduceat(weights[buckets], starts[sizes > 0], axis=0, dtype=np.float64)
+        out.append(_softmax(logits))
         words.append(counts)
     if not out:
         return np.empty((0, weights.shape[1])), np.empty(0, dtype=np.int64)
@@ -145,7 +147,7 @@ def classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mixt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
-        for batch in batches:
+        for batch in slices(batches):
             for first, group in _groups(batch.column(1).to_pylist()):
                 buckets, sizes, _ = features(group, randoms)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -174,7 +176,7 @@ def memberships(docs: DataFrame, model: Mixture) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
-        for batch in batches:
+        for batch in slices(batches):
             p, words = posteriors(batch.column(1).to_pylist(), shared.value, randoms)
             cuts = np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]
             yield pa.RecordBatch.from_arrays(
@@ -259,7 +261,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
-        for batch in batches:
+        for batch in slices(batches):
             p, _ = posteriors(batch.column(text_at).to_pylist(), shared.value, randoms)
             cuts = np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(p.ravel()))],

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm import sketches
 from threadloom.llm.alignment import similarity
-from threadloom.llm.rows import boxed, text_of, unboxed
+from threadloom.llm.rows import boxed, slices, text_of, unboxed
 from threadloom.session import broadcast_if_small, write_measured, write_scratch
 
 def sketch(docs: DataFrame, functions: int, order: int) -> DataFrame:
@@ -40,7 +40,7 @@ def sketch(docs: DataFrame, functions: int, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             signed, counts = sketches.signatures(texts, functions, order, randoms)
             nodes = pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())
@@ -60,7 +60,7 @@ def word_bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
-        for batch in batches:
+        for batch in slices(batches):
             out = [sketches.word_hashes(sketches.spaced(t)[0], randoms).astype("<u4").tobytes()
                    for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "words"])
@@ -74,7 +74,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
         bodies.select(F.col("node").alias("lead"), F.col("words").alias("b")), "lead").select("node", "lead", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             found = np.array([similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least)
                               for x, y in zip(a, b)], dtype=float)

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from threadloom.llm.rows import slices
 from threadloom.llm.tokens import JSON_PATH, RANKS_PATH, encoder
 from threadloom.session import write_scratch
 
@@ -54,7 +55,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, with_ids: boo
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows, out = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")

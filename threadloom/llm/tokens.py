@@ -16,6 +16,8 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from threadloom.llm.rows import slices
+
 JSON_PATH = public_tokenizers.path("byte_bpe_50k.json")
 RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_OF_TEXT = "<|endoftext|>"
@@ -51,7 +53,7 @@ def token_lengths(docs: DataFrame, *columns: str, end_tokens: int = 0, json_path
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             n = [len(encode(t)) + end_tokens for t in batch.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())],
                                              names=[*columns, "n_tokens"])
