@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.llm.rows import boxed, settled, text_of, unboxed
+from threadloom.llm.rows import boxed, text_of, unboxed
 from threadloom.session import broadcast_if_small
 
 # Strong patterns, in the order in which kinds are listed.
@@ -78,18 +78,21 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
 
 def _scanned(docs: DataFrame, scope: int) -> DataFrame:
     """The rows as one column each, beside base_spans and spans."""
-    strong = F.concat(*[pattern_spans(F.col("body"), rx, kind, 6 if kind == "assign" else 0) for kind, rx, _ in STRONG])
+    strong = F.sort_array(F.concat(*[pattern_spans(F.col("body"), rx, kind, 6 if kind == "assign" else 0)
+                                     for kind, rx, _ in STRONG]))
     weak = F.concat(*[pattern_spans(F.col("body"), rx, kind) for kind, rx, _ in WEAK])
-    read = boxed(docs, body=text_of()).withColumn("base_spans", F.sort_array(strong)).withColumn("weak", weak)
-    read = read.withColumn("weak", F.filter("weak", lambda w: ~F.exists(
-        F.col("base_spans"), lambda b: (b.start < w.end) & (w.start < b.end))))
-    read = read.withColumn("key", F.when(settled(F.size("weak") > 0), F.sha2("body", 256))) \
-        .withColumn("spread", F.xxhash64("body")).drop("body")
+    has_weak = F.col("body").rlike("|".join(f"(?:{rx})" for _, rx, _ in WEAK))
+    read = boxed(docs, body=text_of())
+    # Few texts have a weak candidate: only their parts are listed and linked.
+    parts = read.where(has_weak).select(F.sha2("body", 256).alias("key"), strong.alias("base_spans"), weak.alias("weak")) \
+        .withColumn("weak", F.filter("weak", lambda w: ~F.exists(
+            F.col("base_spans"), lambda b: (b.start < w.end) & (w.start < b.end)))) \
+        .select("key", F.explode(F.concat("base_spans", "weak")).alias("s")).select("key", "s.*")
     # Links are few: sent to the texts if they measure small, else met in a join that spreads the texts without any.
-    links = broadcast_if_small(_links(read.where(F.col("key").isNotNull()).select(
-        "key", F.explode(F.concat("base_spans", "weak")).alias("s")).select("key", "s.*"), scope)
-        .withColumnRenamed("key", "link_key"))
-    return read.join(links, F.coalesce("key", F.col("spread").cast("string")) == F.col("link_key"), "left").select("row", "base_spans", F.sort_array(F.concat(
+    links = broadcast_if_small(_links(parts, scope))
+    keyed = read.select("row", strong.alias("base_spans"), F.when(has_weak, F.sha2("body", 256)).otherwise(
+        F.xxhash64("body").cast("string")).alias("text_key"))
+    return keyed.join(links, F.col("text_key") == F.col("key"), "left").select("row", "base_spans", F.sort_array(F.concat(
         "base_spans", F.coalesce(F.col("links"), F.array().cast(SPAN)))).alias("spans"))
 
 
