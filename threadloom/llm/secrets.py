@@ -42,6 +42,16 @@ COMPLEMENT = {"id": ["secret"], "secret": ["id", "endpoint"], "endpoint": ["secr
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+def _possible(text: Column, kind: str) -> Column:
+    """Whether a text has the characters that every match of the kind contains: cheaper than its pattern."""
+    if kind == "hex":
+        return F.lit(True)
+    if kind == "access":
+        return text.contains("AKIA")
+    assigned = text.contains("=") | text.contains(":")
+    return assigned | F.lower(text).contains("bearer ") if kind == "link_secret" else assigned
+
+
 def pattern_spans(text: Column, pattern: str, kind: str, min_group2: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches: the pieces between matches give the positions."""
     pieces = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
@@ -62,7 +72,7 @@ def pattern_spans(text: Column, pattern: str, kind: str, min_group2: int = 0) ->
     matches = F.transform(
         F.arrays_zip(pieces.alias("gap"), lengths.alias("size"), values.alias("value")), lambda m: m)
     found = F.aggregate(F.filter(matches, lambda m: m.size.isNotNull()), start, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(_possible(text, kind) & text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def joined(spans: Column) -> Column:
@@ -81,7 +91,7 @@ def _scanned(docs: DataFrame, scope: int) -> DataFrame:
     strong = F.sort_array(F.concat(*[pattern_spans(F.col("body"), rx, kind, 6 if kind == "assign" else 0)
                                      for kind, rx, _ in STRONG]))
     weak = F.concat(*[pattern_spans(F.col("body"), rx, kind) for kind, rx, _ in WEAK])
-    has_weak = F.col("body").rlike("|".join(f"(?:{rx})" for _, rx, _ in WEAK))
+    has_weak = _possible(F.col("body"), "link_secret") & F.col("body").rlike("|".join(f"(?:{rx})" for _, rx, _ in WEAK))
     read = boxed(docs, body=text_of())
     # Few texts have a weak candidate: only their parts are listed and linked.
     parts = read.where(has_weak).select(F.sha2("body", 256).alias("key"), strong.alias("base_spans"), weak.alias("weak")) \
