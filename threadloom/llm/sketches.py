@@ -107,8 +107,9 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, randoms: Randoms) -> tuple[
     return grams, n_grams
 
 
-def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order: int, randoms: Randoms) -> np.ndarray:
-    """Signatures, one row per text: int64 [texts, functions]."""
+def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order: int, randoms: Randoms,
+                   first: int = 0) -> np.ndarray:
+    """Signatures, one row per text: int64 [texts, functions]. Hash functions are taken from number ``first`` on."""
     out = np.full((len(n_grams), functions), -1, dtype=np.int64)
     full = np.flatnonzero(n_grams)
     if not len(full):
@@ -116,7 +117,7 @@ def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order
     sizes = n_grams[full]
     starts = np.cumsum(sizes) - sizes
     for f in range(functions):
-        values = (grams ^ randoms.seeds[f]) * randoms.factors[f]
+        values = (grams ^ randoms.seeds[first + f]) * randoms.factors[first + f]
         chosen = np.empty((len(full), order), dtype=np.int64)
         for k in range(order):
             least = np.minimum.reduceat(values, starts)
@@ -136,9 +137,12 @@ def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order
 
 
 def signatures(texts: list[str | None], functions: int, order: int, randoms: Randoms,
-               most: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and word counts of texts, worked off in groups of about ``most`` bytes."""
-    out = np.full((len(texts), functions), -1, dtype=np.int64)
+               most: int = CHUNK, singles: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and word counts of texts, worked off in groups of about ``most`` bytes.
+
+    ``singles`` entries of order 1, by hash functions of their own, follow those of ``order``.
+    """
+    out = np.full((len(texts), functions + singles), -1, dtype=np.int64)
     counts = np.zeros(len(texts), dtype=np.int64)
     group: list[bytes] = []
     first = size = 0
@@ -149,6 +153,7 @@ def signatures(texts: list[str | None], functions: int, order: int, randoms: Ran
         if size >= most or i + 1 == len(texts):
             hashes = word_hashes(b"".join(group), randoms)
             grams, n_grams = shingles(hashes, counts[first:i + 1], randoms)
-            out[first:i + 1] = order_min_hash(grams, n_grams, functions, order, randoms)
+            out[first:i + 1, :functions] = order_min_hash(grams, n_grams, functions, order, randoms)
+            out[first:i + 1, functions:] = order_min_hash(grams, n_grams, singles, 1, randoms, functions)
             group, first, size = [], i + 1, 0
     return out, counts
