@@ -25,3 +25,31 @@ def test_scattered_edits_are_found(spark):
     assert all(group[2 * k] == 2 * k for k in range(300))
     for kind in range(3):  # similarity 0.80, 0.85 and 0.90
         assert sum(found[kind::3]) >= 97
+
+
+def test_star_of_versions(spark):
+    """Versions link to their source only; the source is an arbitrary member of its buckets."""
+    rng = random.Random(13)
+    source = [f"s{i}" for i in range(200)]
+    rows = [scattered(rng, source, 0.12, f"e{k}") for k in range(500)]
+    rows.insert(250, source)
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    group = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert sum(group[i] == group[250] for i in range(501)) >= 499
+
+
+def test_bags_exclude_no_link(spark):
+    """A pair at the very limit stays, one far from it goes."""
+    from threadloom.llm import sketches
+    rng = random.Random(14)
+    randoms = sketches.Randoms()
+    source = [f"s{i}" for i in range(200)]
+    pairs = []
+    for k in range(50):
+        near, far = scattered(rng, source, 0.2, f"e{k}"), [f"f{k}x{i}" for i in range(200)]
+        pairs += [(bytes([k]), bytes([b]), near_dup.bag(" ".join(source), randoms), near_dup.bag(" ".join(t), randoms), 200)
+                  for b, t in ((0, near), (1, far))]
+    table = spark.createDataFrame([(a, b, bytearray(x), bytearray(y), n) for a, b, x, y, n in pairs],
+                                  "node binary, lead binary, a binary, b binary, longer long")
+    got = [bytes(r.lead) for r in near_dup.alike(table, 0.8).collect()]
+    assert got.count(bytes([0])) == 50 and got.count(bytes([1])) < 25

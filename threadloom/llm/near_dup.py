@@ -4,9 +4,13 @@
    ``order`` least occurrence-numbered five-word k-mers in text order, and ``singles``
    entries of order 1 by further hash functions.
 2. Equal texts are one node from here on, so copies are never expanded.
-3. Nodes that agree in a tuple share a bucket. A bucket is not expanded into pairs: its
-   members meet a leader, first the least node of the bucket and, in a second round,
-   another one drawn anew for every bucket, for members still outside that leader's group.
+3. Nodes that agree in a tuple share a bucket. Its members meet leaders: first the least
+   node of the bucket, in a second round another one drawn anew for every bucket, and in
+   further rounds (``settled_pairs``) 4, 60, 960, ... more drawn ones, until no two members
+   in different groups are left that did not meet. Members of one group, known by the
+   links so far, need not meet, so families shrink to one group instead of all pairs.
+   Pairs whose lengths or whose counts of words in ``BINS`` classes already exclude the
+   similarity are not aligned; neither test can exclude a link.
 4. A candidate pair is a link if the edit similarity of its word sequences is at least
    ``least`` (``alignment``).
 5. Groups are the connected components of the links, found by star contraction with
@@ -16,7 +20,8 @@ A pair of texts whose k-mers overlap by J agrees in a tuple with chance near J^o
 a single entry with chance J. Words replaced at scattered places leave the share s^5 of the
 k-mers at similarity s, J = s^5 / (2 - s^5). At s = 0.8, J = 0.2, the 24 tuples alone miss
 39 % of pairs; with the 20 single entries 0.5 % remain, and fewer than 0.1 % at 0.85. That
-holds for texts of many k-mers: of texts of a few words, edits may leave none in common.
+holds for texts of many k-mers: of texts of a few words, edits may leave none in common. No bucket is capped: members that are not alike are compared in all pairs, so
+the work grows with the square of the size of such a bucket.
 
 Defined cases: a null text counts as empty; texts without words are grouped only with
 equal texts; of each group the row with the least id (null first, then by text digest)
@@ -37,11 +42,13 @@ from threadloom.llm.alignment import similarity
 from threadloom.llm.rows import boxed, slices, text_of, unboxed
 from threadloom.session import broadcast_if_small, write_measured, write_scratch
 
+BINS = 64
+SALT_ROWS = 1000
 
 def sketch(docs: DataFrame, functions: int, order: int, singles: int) -> DataFrame:
-    """doc_id, node (digest of the text), n_words, signature."""
+    """doc_id, node (digest of the text), n_words, bag (words in each of BINS classes, at most 255), signature."""
     kept = docs.select("doc_id", text_of().alias("body"))
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, node binary, n_words long, signature array<long>"
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, node binary, n_words long, bag binary, signature array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
@@ -50,12 +57,19 @@ def sketch(docs: DataFrame, functions: int, order: int, singles: int) -> DataFra
             signed, counts = sketches.signatures(texts, functions, order, randoms, singles=singles)
             nodes = pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())
             flat = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * signed.shape[1], pa.array(signed.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(counts), flat],
-                                             names=["doc_id", "node", "n_words", "signature"])
+            bags = pa.array([bag(t, randoms) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(counts), bags, flat],
+                                             names=["doc_id", "node", "n_words", "bag", "signature"])
 
     return kept.mapInArrow(run, schema)
 
 
+def bag(text: str, randoms: sketches.Randoms) -> bytes:
+    hashes = sketches.word_hashes(sketches.spaced(text)[0], randoms)
+    counts = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def word_bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, words: 32-bit word hashes of the texts in ``nodes`` (node, doc_id), one row each."""
     wanted = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
@@ -90,6 +104,66 @@ def verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "node binary, lead binary, similarity double")
 
 
+def alike(pairs: DataFrame, least: float) -> DataFrame:
+    """node, lead of the pairs (node, lead, a, b, longer) whose bags a and b leave room for the similarity.
+
+    An edit changes the counts of two classes by one each at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).astype(np.int16).reshape(-1, BINS)
+                    for c in (2, 3))
+            most = (1 - least) * batch.column(4).to_numpy() + 1e-9
+            fits = np.abs(a - b).sum(axis=1) <= 2 * most.astype(np.int64)
+            yield batch.select(["node", "lead"]).filter(pa.array(fits))
+
+    return pairs.select("node", "lead", "a", "b", "longer").mapInArrow(run, "node binary, lead binary")
+
+
+def settled_pairs(members: DataFrame, met: DataFrame, links: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """``links`` and those among all pairs of bucket members in different groups that did not meet yet.
+
+    ``members``: key, n (members of the bucket), node, n_words, bag. Members stand in the
+    drawn order ``h``; the level of a member is the round in which it leads. In a bucket
+    the pairs without both sides in its largest group are joined, in parts of SALT_ROWS
+    members, every one in the round of its earlier member.
+    """
+    drawn = members.withColumn("h", F.shiftrightunsigned(F.xxhash64("node", "key"), 11))
+    place = F.floor(F.col("h") / F.lit(float(1 << 53)) * F.col("n"))
+    drawn = write_scratch(drawn.withColumn("level", F.floor((F.log2(F.greatest(place, F.lit(1))) + 2) / 4).cast("int")), "drawn")
+    last = drawn.agg(F.max("level")).first()[0]
+    rounds = components(links.select(F.col("node").alias("u"), F.col("lead").alias("v")))
+    for level in range(0 if last is None else last + 1):
+        here = drawn.join(broadcast_if_small(rounds), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        here = write_scratch(here, "grouped")
+        groups = here.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key").agg(
+            F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("groups"))
+        open_ = here.join(groups.where("groups > 1").select("key", "main"), "key").select(
+            "key", "n", "node", "n_words", "bag", "h", "level", "root", (F.col("root") != F.col("main")).alias("other"))
+        open_ = write_scratch(open_, "unsettled")
+        parts = F.ceil(F.col("n") / SALT_ROWS)
+        right = open_.withColumn("salt", F.pmod("h", parts)).alias("m")
+        left = open_.where(F.col("level") == level).withColumn(
+            "salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).alias("l")
+        longer = F.greatest("l.n_words", "m.n_words")
+        pairs = left.join(right, (
+            (F.col("l.key") == F.col("m.key")) & (F.col("l.salt") == F.col("m.salt")) & (F.col("l.root") != F.col("m.root"))
+            & (F.col("l.other") | F.col("m.other")) & (F.struct("l.h", "l.node") < F.struct("m.h", "m.node"))
+            & (longer - F.least("l.n_words", "m.n_words") <= F.lit(1 - least) * longer + 1e-9)))
+        pairs = pairs.select(F.greatest("l.node", "m.node").alias("node"), F.least("l.node", "m.node").alias("lead"),
+                             F.col("l.bag").alias("a"), F.col("m.bag").alias("b"), longer.alias("longer"))
+        fresh = write_scratch(alike(pairs, least).distinct().join(met, ["node", "lead"], "left_anti"), "pairs")
+        found = write_scratch(verified(fresh, bodies, least), "links")
+        met = met.union(fresh)
+        if found.isEmpty():
+            continue
+        links = links.union(found)
+        rounds = components(rounds.select(F.col("node").alias("u"), F.col("root").alias("v")).union(
+            found.select(F.col("node").alias("u"), F.col("lead").alias("v"))))
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root of the connected components of links (u, v): root is the least node. By star contraction."""
     edges = write_scratch(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -116,20 +190,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, functions: int = 24, or
     """One row per row of ``docs``: doc_id, node, n_words, class_id (least id of its group), kept."""
     signed = write_scratch(sketch(docs, functions, order, singles), "sketches")
     texts = write_scratch(signed.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.any_value("signature").alias("signature"),
+        F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.any_value("bag").alias("bag"), F.any_value("signature").alias("signature"),
         (F.count("*") > F.count("doc_id")).alias("no_id")).withColumn(
             "doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id"), "texts")
     bands = texts.where(F.col("n_words") > 0).select("node", F.posexplode("signature").alias("f", "value")) \
         .select("node", F.xxhash64("f", "value").alias("key"))
     leaders = bands.groupBy("key").agg(
         F.min("node").alias("lead"), F.max("node").alias("last"),
-        F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("drawn")) \
-        .where(F.col("lead") != F.col("last")).select("key", "lead", F.col("drawn.node").alias("other"))
-    members = write_scratch(bands.join(leaders, "key").select("node", "lead", "other"), "members")
+        F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("drawn"), F.count("*").alias("n")) \
+        .where(F.col("lead") != F.col("last")).select("key", "n", "lead", F.col("drawn.node").alias("other"))
+    members = write_scratch(bands.join(leaders, "key").select("key", "n", "node", "lead", "other"), "members")
 
     nodes = members.select("node").distinct().join(texts.select("node", "doc_id"), "node")
     bodies = write_scratch(word_bodies(docs, nodes), "bodies")
-    first = members.where(F.col("node") != F.col("lead")).select("node", "lead").distinct()
+    first = write_scratch(members.where(F.col("node") != F.col("lead")).select("node", "lead").distinct(), "pairs")
     links = write_scratch(verified(first, bodies, least), "links")
     rounds = components(links.select(F.col("node").alias("u"), F.col("lead").alias("v")))
 
@@ -141,8 +215,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, functions: int = 24, or
         .join(root_of.withColumnRenamed("node", "lead"), "lead", "left")
         .where(F.coalesce("node_root", "node") != F.coalesce("at", "lead")).select("node", "lead")
     )
-    more = verified(second, bodies, least)
-    rounds = components(links.union(more).select(F.col("node").alias("u"), F.col("lead").alias("v")))
+    second = write_scratch(second, "pairs")
+    links = links.union(write_scratch(verified(second, bodies, least), "links"))
+    # Pairs of two members have met: what is left are the larger buckets.
+    larger = members.where("n > 2").select("key", "n", "node").join(texts.select("node", "n_words", "bag"), "node")
+    met = first.union(second).select(F.greatest("node", "lead").alias("node"), F.least("node", "lead").alias("lead"))
+    links = settled_pairs(larger, met, links, bodies, least)
+    rounds = components(links.select(F.col("node").alias("u"), F.col("lead").alias("v")))
     return _classes(signed, texts, rounds)
 
 
