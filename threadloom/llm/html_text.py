@@ -45,8 +45,11 @@ FURNITURE_WORD = re.compile(
     r"commentlist|disqus|reply|replies|respond|reactions|share|sharing|social|follow|related|recommended|recommendations|"
     r"more-stories|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|tagcloud|skip|hidden)(?![a-z])")
 ARTICLE = {"article", "main"}
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-          "th": {"td", "th"}, "option": {"option"}}
+# What an opening tag closes, with all that is open inside: the first of these groups found within the nearest scope.
+CLOSES = {"li": ([("li",)], ("ul", "ol", "menu", "dir")), "dt": ([("dt", "dd")], ("dl",)), "dd": ([("dt", "dd")], ("dl",)),
+          "tr": ([("tr",), ("td", "th")], ("table",)), "td": ([("td", "th")], ("tr", "table")),
+          "th": ([("td", "th")], ("tr", "table")), "option": ([("option",)], ("select", "datalist"))}
+CLOSES |= {part: ([("thead", "tbody", "tfoot"), ("tr",)], ("table",)) for part in ("thead", "tbody", "tfoot")}
 MARKS = ".,;:!?…。，、！？"
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"""
@@ -72,6 +75,7 @@ class Page:
         self.path = [0]
         self.blocks: list[Block] = []
         self.open = [0]
+        self.places: dict[str, list[int]] = {}  # places in ``open`` of the elements of each name
         self.links = self.link_chars = 0
         self.pieces: list[str] = []
         self._read(source)
@@ -115,9 +119,13 @@ class Page:
         if name in VOID:
             return
         self.links = 0
-        closes = CLOSES.get(name) or {"p"}
-        if self.tag[self.open[-1]] in closes:
-            self.open.pop()
+        groups, scopes = CLOSES.get(name, ((), ()))
+        scope = self._last(scopes)
+        closed = next((at for group in groups if (at := self._last(group)) > scope), 0)
+        if closed:
+            self._close(closed)
+        elif self.tag[self.open[-1]] == "p":
+            self._close(len(self.open) - 1)
         above = self.open[-1]
         hint = ""
         furniture = self.furniture[above] or name in FURNITURE
@@ -136,6 +144,7 @@ class Page:
         self.tag.append(name)
         self.furniture.append(furniture)
         self.path.append(self.paths.setdefault((self.path[above], name + hint), len(self.paths) + 1))
+        self.places.setdefault(name, []).append(len(self.open))
         self.open.append(len(self.tag) - 1)
 
     def _end(self, name: str) -> None:
@@ -144,10 +153,17 @@ class Page:
             return
         self._flush()
         self.links = 0
-        for depth in range(len(self.open) - 1, max(0, len(self.open) - 64), -1):
-            if self.tag[self.open[depth]] == name:
-                del self.open[depth:]
-                return
+        if depth := self._last((name,)):
+            self._close(depth)
+
+    def _last(self, names: tuple[str, ...]) -> int:
+        """Place of the innermost open element of one of these names, 0 if there is none."""
+        return max((places[-1] for name in names if (places := self.places.get(name))), default=0)
+
+    def _close(self, depth: int) -> None:
+        for element in self.open[depth:]:
+            self.places[self.tag[element]].pop()
+        del self.open[depth:]
 
 
 def path_scores(page: Page, blocks: list[Block]) -> np.ndarray:
