@@ -23,3 +23,12 @@ def test_nested_tables_and_lists():
     for parent in page.parent[1:]:
         depth.append(depth[parent] + 1)
     assert {b.text: depth[b.element] for b in page.blocks} == {"a": 6, "b": 6, "c": 3, "d": 3, "e": 4, "f": 4, "g": 2, "h": 2}
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<div class='overflow-hidden'>{}</div>", "<div id='page' class='site has-sidebar'>{}</div>", "<main class='no-sidebar'>{}</main>",
+    "<article class='post category-social tag-search'>{}</article>", "<article class='widget'>{}</article>",
+    "<div class='widget'><main>{}</main></div>", "<div class='hidden'>{}</div>"])
+def test_classes_of_wrappers(wrapper):
+    page = f"<body><div class='sidebar'><p>Other story, which is long, and so on.</p></div>{wrapper.format(PROSE)}</body>"
+    assert html_text.main_text(page) == WANTED

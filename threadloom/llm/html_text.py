@@ -5,7 +5,9 @@ summed per path, so that a short paragraph counts with the long ones beside it w
 menu entry counts with its menu. The ratios are smoothed over neighbouring blocks,
 fused into one score and cut at a threshold taken from their spread. The blocks above
 it point out the element that holds the article; its text is returned, without the
-parts that are page furniture by their tag, role or class, or that consist of links.
+parts that are page furniture by their tag or role, or that consist of links. Class and id
+words of furniture are a prior: they lower the scores of what stands in the element, unless
+it holds an article or most of the text.
 
 A page is one row and is read in one pass with work in proportion to its length.
 
@@ -38,12 +40,15 @@ FURNITURE = {"head", "nav", "header", "footer", "aside", "form", "button", "sele
              "object", "canvas", "audio", "video", "map", "figure-nav"} | RAW
 FURNITURE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog",
                   "form", "menu", "menubar"}
-FURNITURE_WORD = re.compile(
-    r"(?<![a-z])(?:ad|ads|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|popup|modal|overlay|"
+HINT_WORD = (
+    r"(?:ad|ads|advert|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|popup|modal|overlay|"
     r"cookie|cookies|consent|gdpr|notice|notification|alert|disclaimer|sidebar|side|aside|widget|widgets|menu|nav|navbar|"
     r"navigation|breadcrumb|breadcrumbs|header|masthead|topbar|toolbar|footer|copyright|colophon|comment|comments|"
     r"commentlist|disqus|reply|replies|respond|reactions|share|sharing|social|follow|related|recommended|recommendations|"
-    r"more-stories|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|tagcloud|skip|hidden)(?![a-z])")
+    r"more-stories|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|tagcloud|skip|hidden)")
+# A class or id of these words only: "cookie-notice", but neither "has-sidebar" nor "overflow-hidden".
+HINT = re.compile(rf"(?:^|\s){HINT_WORD}(?:[-_]+{HINT_WORD})*(?=\s|$)")
+PRIOR = 0.1  # what such a class leaves of a block's score
 ARTICLE = {"article", "main"}
 # What an opening tag closes, with all that is open inside: the first of these groups found within the nearest scope.
 CLOSES = {"li": ([("li",)], ("ul", "ol", "menu", "dir")), "dt": ([("dt", "dd")], ("dl",)), "dd": ([("dt", "dd")], ("dl",)),
@@ -70,7 +75,7 @@ class Page:
     """Blocks of a page with their paths and elements."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.furniture = [-1], ["#"], [False]
+        self.parent, self.tag, self.furniture, self.named = [-1], ["#"], [False], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.path = [0]
         self.blocks: list[Block] = []
@@ -127,7 +132,7 @@ class Page:
         elif self.tag[self.open[-1]] == "p":
             self._close(len(self.open) - 1)
         above = self.open[-1]
-        hint = ""
+        hint, named = "", False
         furniture = self.furniture[above] or name in FURNITURE
         if attributes:
             for key, *values in ATTRIBUTE.findall(attributes):
@@ -139,10 +144,11 @@ class Page:
                     furniture = True
                 elif key in ("class", "id"):
                     hint += "." + value
-                    furniture = furniture or name not in ("html", "body") and bool(FURNITURE_WORD.search(value))
+                    named = named or bool(HINT.search(value))
         self.parent.append(above)
         self.tag.append(name)
         self.furniture.append(furniture)
+        self.named.append(named and name not in ARTICLE and name not in ("html", "body"))
         self.path.append(self.paths.setdefault((self.path[above], name + hint), len(self.paths) + 1))
         self.places.setdefault(name, []).append(len(self.open))
         self.open.append(len(self.tag) - 1)
@@ -166,6 +172,22 @@ class Page:
         del self.open[depth:]
 
 
+def hinted(page: Page, blocks: list[Block]) -> np.ndarray:
+    """Which blocks stand in an element with a furniture class that holds neither most of the text nor an article."""
+    chars, holds = np.zeros(len(page.tag)), np.zeros(len(page.tag), dtype=bool)
+    for block in blocks:
+        chars[block.element] += len(block.text)
+    for element in range(len(page.tag) - 1, 0, -1):
+        above = page.parent[element]
+        chars[above] += chars[element]
+        holds[above] |= holds[element] or page.tag[element] in ARTICLE and chars[element] > 0
+    marked = np.zeros(len(page.tag), dtype=bool)
+    for element in range(1, len(page.tag)):
+        own = page.named[element] and not holds[element] and 2 * chars[element] <= chars[0]
+        marked[element] = marked[page.parent[element]] or own
+    return marked[[b.element for b in blocks]]
+
+
 def path_scores(page: Page, blocks: list[Block]) -> np.ndarray:
     """Smoothed and fused ratio of each block: text and punctuation per node of its tag path."""
     paths = np.array([b.path for b in blocks])
@@ -192,7 +214,8 @@ def main_text(source: str | None) -> str:
     blocks = [b for b in page.blocks if not page.furniture[b.element]]
     if not blocks:
         return ""
-    scores = path_scores(page, blocks)
+    marked = hinted(page, blocks)
+    scores = path_scores(page, blocks) * np.where(marked, PRIOR, 1)
     content = scores >= min(scores.std(), 0.5 * scores.max()) if len(blocks) > 1 else scores >= 0
     weight = np.zeros(len(page.tag))
     for block, is_content in zip(blocks, content):
@@ -209,7 +232,8 @@ def main_text(source: str | None) -> str:
         sums = linked.setdefault(block.path, [0, 0])
         sums[0] += block.link_chars
         sums[1] += len(block.text)
-    kept = [b.text for b in blocks if inside[b.element] and 2 * linked[b.path][0] <= linked[b.path][1]]
+    kept = [b.text for b, is_content, is_marked in zip(blocks, content, marked)
+            if inside[b.element] and (is_content or not is_marked) and 2 * linked[b.path][0] <= linked[b.path][1]]
     return " ".join(kept)
 
 
