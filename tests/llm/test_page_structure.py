@@ -32,3 +32,15 @@ def test_nested_tables_and_lists():
 def test_classes_of_wrappers(wrapper):
     page = f"<body><div class='sidebar'><p>Other story, which is long, and so on.</p></div>{wrapper.format(PROSE)}</body>"
     assert html_text.main_text(page) == WANTED
+
+
+PARTS = [PROSE[:(at := PROSE.index("<p>This is sentence 1"))], PROSE[at:(to := PROSE.index("<p>This is sentence 2"))], PROSE[to:]]
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='post'><div class='intro'>{PARTS[0]}</div><div class='body'>{PARTS[1]}{PARTS[2]}</div></div>",
+    f"<div><article>{PARTS[0]}{PARTS[1]}</article><article>{PARTS[2]}</article></div>",
+    f"<div><section><div>{PARTS[0]}</div><div>{PARTS[1]}{PARTS[2]}</div></section></div>",
+    f"<div><div class='a'>{PARTS[0]}</div><article>{PARTS[1]}{PARTS[2]}</article></div>"])
+def test_content_in_several_elements(page):
+    assert html_text.main_text(f"<body><nav><a href='/'>Home</a></nav>{page}<footer>us</footer></body>") == WANTED

@@ -4,8 +4,9 @@ Every block of text has a root-to-leaf tag path. Text length and punctuation are
 summed per path, so that a short paragraph counts with the long ones beside it while a
 menu entry counts with its menu. The ratios are smoothed over neighbouring blocks,
 fused into one score and cut at a threshold taken from their spread. The blocks above
-it point out the element that holds the article; its text is returned, without the
-parts that are page furniture by their tag or role, or that consist of links. Class and id
+it are content and point out the elements of the article: all article elements that hold
+such blocks, or else the least element that holds all of them. Content and the shorter
+blocks in those elements are returned, without the parts that are page furniture by their tag or role, or that consist of links. Class and id
 words of furniture are a prior: they lower the scores of what stands in the element, unless
 it holds an article or most of the text.
 
@@ -173,7 +174,7 @@ class Page:
 
 
 def hinted(page: Page, blocks: list[Block]) -> np.ndarray:
-    """Which blocks stand in an element with a furniture class that holds neither most of the text nor an article."""
+    """Which blocks stand in an element with a furniture class that holds no article or, on a page without, not most of the text."""
     chars, holds = np.zeros(len(page.tag)), np.zeros(len(page.tag), dtype=bool)
     for block in blocks:
         chars[block.element] += len(block.text)
@@ -183,7 +184,7 @@ def hinted(page: Page, blocks: list[Block]) -> np.ndarray:
         holds[above] |= holds[element] or page.tag[element] in ARTICLE and chars[element] > 0
     marked = np.zeros(len(page.tag), dtype=bool)
     for element in range(1, len(page.tag)):
-        own = page.named[element] and not holds[element] and 2 * chars[element] <= chars[0]
+        own = page.named[element] and not holds[element] and (holds[0] or 2 * chars[element] <= chars[0])
         marked[element] = marked[page.parent[element]] or own
     return marked[[b.element for b in blocks]]
 
@@ -217,43 +218,30 @@ def main_text(source: str | None) -> str:
     marked = hinted(page, blocks)
     scores = path_scores(page, blocks) * np.where(marked, PRIOR, 1)
     content = scores >= min(scores.std(), 0.5 * scores.max()) if len(blocks) > 1 else scores >= 0
-    weight = np.zeros(len(page.tag))
-    for block, is_content in zip(blocks, content):
-        weight[block.element] += len(block.text) * is_content
-    for element in range(len(weight) - 1, 0, -1):
-        weight[page.parent[element]] += weight[element]
-    root = _container(page, weight)
-    inside = np.zeros(len(page.tag), dtype=bool)
-    inside[root] = True
-    for element in range(root + 1, len(inside)):
-        inside[element] = inside[page.parent[element]]
+    inside = _region(page, blocks, content)
     linked: dict[int, list[int]] = {}
     for block in blocks:
         sums = linked.setdefault(block.path, [0, 0])
         sums[0] += block.link_chars
         sums[1] += len(block.text)
     kept = [b.text for b, is_content, is_marked in zip(blocks, content, marked)
-            if inside[b.element] and (is_content or not is_marked) and 2 * linked[b.path][0] <= linked[b.path][1]]
+            if (inside[b.element] and is_content or (inside[b.element] or is_content) and not is_marked) and 2 * linked[b.path][0] <= linked[b.path][1]]
     return " ".join(kept)
 
 
-def _container(page: Page, weight: np.ndarray, share: float = 0.7) -> int:
-    """The article element, or the deepest element that still holds most of the content."""
-    named = [e for e, tag in enumerate(page.tag) if tag in ARTICLE and not page.furniture[e] and weight[e] > 0]
-    if named:
-        best = max(named, key=lambda e: (weight[e], page.tag[e] == "article"))
-        if weight[best] >= 0.3 * weight[0]:
-            return best
-    children: dict[int, list[int]] = {}
-    for element in range(1, len(page.tag)):
-        children.setdefault(page.parent[element], []).append(element)
-    at = 0
-    while below := children.get(at):
-        best = max(below, key=lambda e: weight[e])
-        if weight[best] < share * weight[at] or page.tag[best] in ("p", "li", "td", "blockquote", "pre"):
-            break
-        at = best
-    return at
+def _region(page: Page, blocks: list[Block], content: np.ndarray) -> np.ndarray:
+    """Elements in which short blocks stand too: every article element with content, or else the least one that holds all content."""
+    weight = np.zeros(len(page.tag))
+    for block, is_content in zip(blocks, content):
+        weight[block.element] += len(block.text) * is_content
+    for element in range(len(weight) - 1, 0, -1):
+        weight[page.parent[element]] += weight[element]
+    inside = np.array([tag in ARTICLE for tag in page.tag]) & ~np.array(page.furniture) & (weight > 0)
+    if not inside.any():
+        inside[max(np.flatnonzero(weight == weight[0]))] = True
+    for element in range(1, len(inside)):
+        inside[element] |= inside[page.parent[element]]
+    return inside
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
