@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from threadloom.llm import (chats, fingerprints, html_text, lengths, mixing, near_dup, packing, quality, secrets,
-                            suffix_tree)
+                            suffix_tree, variants, wavelet)
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
 TEXTS = [(None, None), (None, "null id"), (1, ""), (1, ""), (2, None), (3, "word"), (4, " \t\n "), (5, LONG), (5, LONG),
@@ -32,6 +32,7 @@ OPERATORS = {
     "packing": packing.pack, "pieces": lambda d: packing.pieces(d, with_ids=True),
     "lengths": lambda d: lengths.totals_by_limit(lengths.length_histogram(d)), "suffix_tree": suffix_tree.scores,
     "near_dup": near_dup.near_duplicates, "one_of_each": near_dup.one_of_each,
+    "variants": variants.spelling_variants, "files": wavelet.round_trip,
     "fingerprints": fingerprints.with_edits, "plain_fingerprints": fingerprints.fingerprints,
 }
 
@@ -42,7 +43,7 @@ def test_empty_table(docs, name):
 
 
 @pytest.mark.parametrize("name", ["quality", "secrets", "redacted", "suffix_tree", "near_dup", "fingerprints",
-                                  "plain_fingerprints"])
+                                  "plain_fingerprints", "files"])
 def test_one_row_for_each(docs, name):
     ids = [r.doc_id for r in OPERATORS[name](docs).select("doc_id").collect()]
     assert sorted(map(str, ids)) == sorted(str(i) for i, _ in TEXTS)
