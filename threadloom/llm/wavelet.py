@@ -58,9 +58,9 @@ def planes(ids: np.ndarray, levels: int) -> Iterator[np.ndarray]:
     """The bits of each plane, as truth values."""
     order = ids
     for level in range(levels - 1, -1, -1):
-        bits = (order >> level) & 1 == 1
+        bits = (order & order.dtype.type(1 << level)).astype(bool)
         yield bits
-        order = np.concatenate([order[~bits], order[bits]])
+        order = np.concatenate([order[np.flatnonzero(~bits)], order[np.flatnonzero(bits)]])
 
 
 def shard_bytes(documents: pa.Table, ids: np.ndarray) -> bytes:
@@ -193,12 +193,14 @@ class Shard:
 
     def decoded(self) -> np.ndarray:
         """All ids in order: planes are undone from the last to the first."""
-        order = np.zeros(self.n, dtype=np.uint32)
+        order = np.zeros(self.n, dtype=np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
             bits = np.concatenate([np.empty(0, bool)] + [self._loaded(level, b) for b in range(self.blocks)])
+            zeros = self.zeros[level]
+            order[zeros:] |= order.dtype.type(1 << (self.levels - 1 - level))
             back = np.empty_like(order)
-            back[~bits], back[bits] = order[:self.zeros[level]], order[self.zeros[level]:]
-            order = back | (bits.astype(np.uint32) << (self.levels - 1 - level))
+            back[np.flatnonzero(~bits)], back[np.flatnonzero(bits)] = order[:zeros], order[zeros:]
+            order = back
         return order
 
 
