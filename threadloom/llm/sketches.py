@@ -107,9 +107,8 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, randoms: Randoms) -> tuple[
     return grams, n_grams
 
 
-def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order: int, randoms: Randoms,
-                   first: int = 0) -> np.ndarray:
-    """Signatures, one row per text: int64 [texts, functions]. Hash functions are taken from number ``first`` on."""
+def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order: int, randoms: Randoms) -> np.ndarray:
+    """Signatures, one row per text: int64 [texts, functions]."""
     out = np.full((len(n_grams), functions), -1, dtype=np.int64)
     full = np.flatnonzero(n_grams)
     if not len(full):
@@ -117,7 +116,7 @@ def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order
     sizes = n_grams[full]
     starts = np.cumsum(sizes) - sizes
     for f in range(functions):
-        values = (grams ^ randoms.seeds[first + f]) * randoms.factors[first + f]
+        values = (grams ^ randoms.seeds[f]) * randoms.factors[f]
         chosen = np.empty((len(full), order), dtype=np.int64)
         for k in range(order):
             least = np.minimum.reduceat(values, starts)
@@ -136,13 +135,26 @@ def order_min_hash(grams: np.ndarray, n_grams: np.ndarray, functions: int, order
     return out
 
 
-def signatures(texts: list[str | None], functions: int, order: int, randoms: Randoms,
-               most: int = CHUNK, singles: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures and word counts of texts, worked off in groups of about ``most`` bytes.
+def in_bins(grams: np.ndarray, n_grams: np.ndarray, functions: int, order: int, bins: int, randoms: Randoms) -> np.ndarray:
+    """Signatures of ``bins`` * ``functions`` entries: the k-mers are dealt over bins by a hash, and each bin signed by itself.
 
-    ``singles`` entries of order 1, by hash functions of their own, follow those of ``order``.
+    An entry of a bin agrees with about the chance of one of the whole text, at a fraction of
+    the work. A bin without a k-mer has entries of -1.
     """
-    out = np.full((len(texts), functions + singles), -1, dtype=np.int64)
+    out = np.full((len(n_grams), bins, functions), -1, dtype=np.int64)
+    text = np.repeat(np.arange(len(n_grams)), n_grams)
+    dealt = mix(grams + randoms.place[2]) % np.uint64(bins)
+    for b in range(bins):
+        here = np.flatnonzero(dealt == b)
+        sizes = np.bincount(text[here], minlength=len(n_grams))
+        out[:, b] = order_min_hash(grams[here], sizes, functions, order, randoms)
+    return out.reshape(len(n_grams), bins * functions)
+
+
+def signatures(texts: list[str | None], functions: int, order: int, randoms: Randoms,
+               most: int = CHUNK, bins: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and word counts of texts, worked off in groups of about ``most`` bytes."""
+    out = np.full((len(texts), functions * bins), -1, dtype=np.int64)
     counts = np.zeros(len(texts), dtype=np.int64)
     group: list[bytes] = []
     first = size = 0
@@ -153,7 +165,9 @@ def signatures(texts: list[str | None], functions: int, order: int, randoms: Ran
         if size >= most or i + 1 == len(texts):
             hashes = word_hashes(b"".join(group), randoms)
             grams, n_grams = shingles(hashes, counts[first:i + 1], randoms)
-            out[first:i + 1, :functions] = order_min_hash(grams, n_grams, functions, order, randoms)
-            out[first:i + 1, functions:] = order_min_hash(grams, n_grams, singles, 1, randoms, functions)
+            if bins > 1:
+                out[first:i + 1] = in_bins(grams, n_grams, functions, order, bins, randoms)
+            else:
+                out[first:i + 1] = order_min_hash(grams, n_grams, functions, order, randoms)
             group, first, size = [], i + 1, 0
     return out, counts
