@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import ingest, vectors
 from threadloom.session import scratch_path
-from threadloom.sources import archives, tables
+from threadloom.operators import vocabulary
+from threadloom.session import dropped_scratch, scratch_root, write_scratch
+from threadloom.sources import archives, chat_export, tables
+from threadloom.streaming import ingest as streams
 from threadloom.streaming.ingest import load_exports, stream_embed, stream_ingest
 
 EXPORT = [
@@ -151,3 +154,212 @@ def test_a_replayed_load_keeps_rejects_once(spark, tmp_path):
     for _ in range(2):
         load_exports(raw, root)
     assert tables.read_table(spark, root, "load_rejects").count() == 2
+
+
+# ---------------------------------------------------------------- the data source
+
+def by_name(rows):
+    return sorted((r.archive.rsplit("/", 1)[1], r.ordinal, r.conversation, r.error) for r in rows.collect())
+
+
+@pytest.fixture
+def damaged(drop):
+    (drop / "bad.zip").write_bytes(b"garbage")
+    (drop / "short.json").write_text(json.dumps(EXPORT)[:-80])
+    (drop / "inner").mkdir()
+    (drop / "inner" / "more.zip").write_bytes(zipped(payload=EXPORT[1:]))
+    (drop / "_hidden").mkdir()
+    (drop / "_hidden" / "no.zip").write_bytes(b"x")
+    (drop / ".no.zip").write_bytes(b"x")
+    return drop
+
+
+def test_source_reads_what_read_exports_reads(spark, damaged):
+    chat_export.register(spark)
+    source = spark.read.format("chat_export").load(str(damaged))
+    assert source.columns == archives.read_exports(spark, str(damaged)).columns
+    assert by_name(source) == by_name(archives.read_exports(spark, str(damaged)))
+    assert source.rdd.getNumPartitions() == 4
+    one = spark.read.format("chat_export").load(f"file://{damaged}/one export.zip")
+    assert one.count() == 3 and one.where("modified IS NULL").count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        spark.read.format("chat_export").load(f"{damaged}/nowhere").count()
+
+
+def test_source_opens_only_archives_asked_for(spark, damaged, monkeypatch):
+    reader = chat_export.ArchiveReader(str(damaged), spark.read.format("chat_export").load(str(damaged)).schema)
+    left = list(reader.pushFilters([chat_export.EqualTo(("ordinal",), 1), chat_export.StringEndsWith(("archive",), ".zip"),
+                                    chat_export.StringContains(("archive",), "/inner/")]))
+    assert [f.attribute for f in left] == [("ordinal",)]
+    assert [a.path.rsplit("/", 1)[1] for a in reader.partitions()] == ["more.zip"]
+    narrow = spark.read.format("chat_export").schema("ordinal long, archive string").load(str(damaged))
+    found = narrow.where(F.col("archive").isin(f"file:{damaged}/inner/more.zip")).collect()
+    assert sorted(r.ordinal for r in found) == [0, 1] and set(found[0].asDict()) == {"ordinal", "archive"}
+
+
+def test_stream_reads_each_archive_once(spark, damaged, tmp_path):
+    chat_export.register(spark)
+
+    def run():
+        arrivals = spark.readStream.format("chat_export").option("log", str(tmp_path / "log")).option("max_files", 3).load(str(damaged))
+        arrivals.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True) \
+            .start(str(tmp_path / "out")).awaitTermination()
+        return by_name(spark.read.parquet(str(tmp_path / "out")))
+
+    assert run() == by_name(archives.read_exports(spark, str(damaged)))
+    late = damaged / "late.zip"
+    late.write_bytes(zipped(payload=EXPORT[2:]))
+    import os
+    os.utime(late, (1, 1))  # an old file moved in is still new
+    run()
+    assert run() == by_name(archives.read_exports(spark, str(damaged)))
+    with pytest.raises(Exception, match="log"):
+        spark.readStream.format("chat_export").load(str(damaged)).writeStream.format("noop") \
+            .option("checkpointLocation", str(tmp_path / "none")).start().awaitTermination()
+
+
+def test_a_batch_of_the_stream_is_the_same_when_repeated(spark, damaged, tmp_path):
+    options = {"path": str(damaged), "log": str(tmp_path / "log"), "max_files": "2"}
+    schema = spark.read.format("chat_export").load(str(damaged)).schema
+    first = chat_export.ArchiveStream(options, schema)
+    end = first.latestOffset()
+    before = first.partitions(first.initialOffset(), end)
+    (damaged / "a.zip").write_bytes(zipped())
+    again = chat_export.ArchiveStream(options, schema)
+    assert again.partitions({"entry": 0}, end) == before and len(before) == 4 and end == {"entry": 2}
+    assert [a.path.rsplit("/", 1)[1] for a in again.partitions(end, again.latestOffset())] == ["a.zip"]
+
+
+# ---------------------------------------------------------------- loads
+
+def contents(spark, root):
+    names = ["conversations", "messages", "load_rejects", "vocabulary"]
+    rows = {n: sorted(map(str, tables.read_table(spark, root, n).drop("loaded_at").collect())) for n in names}
+    keys = spark.read.schema(tables._key_schema()).parquet(tables.location(root, "messages_keys"))
+    return rows | {"keys": sorted((r.conv_id, r.msg_id) for r in keys.collect())}
+
+
+def raw_exports(spark, drop):
+    (drop / "bad.zip").write_bytes(b"garbage")
+    return archives.read_exports(spark, str(drop))
+
+
+@pytest.mark.parametrize("failing", range(6))
+def test_a_repeated_load_replaces_what_a_failed_one_left(spark, drop, tmp_path, monkeypatch, failing):
+    """A failure before any of the writes of a load, then the same load again."""
+    raw = raw_exports(spark, drop)
+    clean, broken = str(tmp_path / "clean"), str(tmp_path / "broken")
+    for root in (clean, broken):
+        tables.ensure_schema(spark, root)
+    load_exports(raw, clean, load_id="x-1", words=True)
+    write, calls = tables._replace, []
+
+    def breaking(*args):
+        calls.append(args)
+        if len(calls) == failing + 1:
+            raise OSError("storage is away")
+        write(*args)
+
+    monkeypatch.setattr(tables, "_replace", breaking)
+    if failing < 5:
+        with pytest.raises(OSError):
+            load_exports(raw, broken, load_id="x-1", words=True)
+    else:
+        load_exports(raw, broken, load_id="x-1", words=True)
+        assert len(calls) == 5
+    monkeypatch.setattr(tables, "_replace", write)
+    load_exports(raw, broken, load_id="x-1", words=True)
+    assert contents(spark, broken) == contents(spark, clean)
+    load_exports(raw, broken, load_id="x-2", words=True)  # the same archives in another load add nothing but a title change
+    again = contents(spark, broken)
+    assert {k: again[k] for k in again if k != "conversations"} == {k: v for k, v in contents(spark, clean).items() if k != "conversations"}
+    tables.drop_load(spark, broken, "x-1")
+    assert contents(spark, broken)["messages"] == []
+
+
+def test_small_imports_open_few_key_files(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    tables.ensure_schema(spark, root)
+    stored = spark.range(20_000).select(F.concat(F.lit("c"), (F.col("id") / 4).cast("long").cast("string")).alias("conv_id"),
+                                        F.col("id").cast("string").alias("msg_id"), F.lit("user").alias("role"),
+                                        F.current_timestamp().alias("ts"), F.lit("t").alias("text"))
+    for part in range(3):
+        tables.append_table(stored.where(F.col("msg_id").cast("long") % 3 == part), root, "messages")
+    arriving = spark.createDataFrame([("c7",), ("c8",), ("new",)], "conv_id string")
+    opened = tables.key_partitions(spark, root, "messages", arriving)
+    files = opened.select(F.input_file_name()).distinct().count()
+    every = spark.read.schema(tables._key_schema()).parquet(tables.location(root, "messages_keys")).select(F.input_file_name()).distinct().count()
+    assert files <= 3 * 3 * 2 and every > 500
+    assert opened.where("conv_id = 'c7'").count() == 4 and opened.count() < 20_000 / 50
+
+
+def test_streams_in_threads_keep_their_scratch_apart(spark):
+    import threading
+    kept, gone = [], []
+    started, leave = threading.Event(), threading.Event()
+
+    def other():
+        with dropped_scratch(spark):
+            gone.append(write_scratch(spark.range(3), "inner"))
+            started.set()
+            leave.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    started.wait(60)
+    with dropped_scratch(spark):
+        kept.append(write_scratch(spark.range(4), "mine"))
+    assert gone[0].count() == 3  # ours is deleted, the other's is not
+    with pytest.raises(Exception):
+        kept[0].count()
+    leave.set()
+    thread.join()
+    with pytest.raises(Exception):
+        gone[0].count()
+
+
+def test_streams_leave_no_scratch(spark, drop, tmp_path):
+    import os
+    root = str(tmp_path / "tables")
+    before = set(os.listdir(scratch_root(spark).removeprefix("file:"))) if os.path.isdir(scratch_root(spark).removeprefix("file:")) else set()
+    stream_ingest(spark, str(drop), root, str(tmp_path / "offsets"), words=True).awaitTermination()
+    stream_embed(spark, root, str(tmp_path / "embed"), vectors.hashing_embedder(8), 8, "hash-8", delay=0).awaitTermination()
+    after = set(os.listdir(scratch_root(spark).removeprefix("file:")))
+    assert after - before == set()
+    assert streams._load_of("/a/b/", 3) == streams._load_of("/a/b", 3) != streams._load_of("/a/c", 3)
+
+
+def test_scratch_of_a_local_session_without_a_folder(spark, monkeypatch):
+    from threadloom import session
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda *_: None)
+        sparkContext = spark.sparkContext
+
+    first = session.scratch_root(Bare)
+    assert first == session.scratch_root(Bare) and "threadloom-" in first
+
+    class Cluster(Bare):
+        class sparkContext:
+            applicationId, master = "another", "yarn"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.scratch_root(Cluster)
+
+
+# ---------------------------------------------------------------- vocabulary
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_vocabulary_gives_the_lexemes_of_every_place(spark, monkeypatch, broadcast_bytes):
+    from threadloom.functions import stem
+    monkeypatch.setattr(vocabulary, "BROADCAST_BYTES", broadcast_bytes)
+    monkeypatch.setattr(vocabulary, "FREQUENT", 5)
+    texts = ["consigned consisting the Knaves", "knave knives knave", "consistency " * 9, "", None, "The the"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "msg_id int, text string")
+    words = vocabulary.vocabulary(rows)
+    got = sorted((r.msg_id, r.lexeme) for r in vocabulary.with_lexemes(vocabulary.word_places(rows, "msg_id"), words).collect())
+    plain = [(i, stem.stem(w)) for i, t in enumerate(texts) for w in (t or "").lower().split() if w != "the"]
+    assert got == sorted(plain)
+    stored = words.where("word < 'k'").select("word", "lexeme")
+    assert {r.word for r in vocabulary.new_words(stored, rows).collect()} == {"knaves", "knave", "knives"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.schemas import MESSAGE_KEY
-from threadloom.session import broadcast_if_small
+from threadloom.session import broadcast_if_small, write_scratch
 
 
 def dedupe_by_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -23,15 +23,17 @@ def insert_ignore(target: DataFrame, incoming: DataFrame, key: list[str] = MESSA
                   order: list[str] | None = None) -> DataFrame:
     """The incoming rows an insert that ignores existing keys would add.
 
-    Of the stored keys only those of incoming conversations (the first key column, by
-    which tables are clustered) take part.
+    The collapsed incoming rows are written once. ``target`` is any table with the key
+    columns; only its rows of arriving conversations (the first key column) are compared.
+    For stored tables pass ``tables.stored_keys``, which opens no other partitions.
     """
     order = order or [c for c in incoming.columns if c not in key]
-    return dedupe_by_key(incoming, key, order).join(stored_keys(target, incoming, key), key, "left_anti")
+    fresh = write_scratch(dedupe_by_key(incoming, key, order), "incoming")
+    return fresh.join(keys_of(target, fresh, key), key, "left_anti")
 
 
-def stored_keys(target: DataFrame, incoming: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:
-    """Stored keys that share their first column with an incoming row."""
+def keys_of(target: DataFrame, incoming: DataFrame, key: list[str] = MESSAGE_KEY) -> DataFrame:
+    """Keys of ``target`` that share their first column with an incoming row."""
     arriving = broadcast_if_small(incoming.select(key[0]).distinct())
     return target.select(*key).join(arriving, key[0], "left_semi")
 

@@ -7,16 +7,13 @@ the default weight: score = 0.1 x matching positions, whatever the text length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from threadloom.functions.highlights import excerpts, highlights
-from threadloom.functions.stem import Stemmer, chosen_stemmer, count_matches, lexemes, query_lexemes, stem_words
+from threadloom.functions.highlights import highlights
+from threadloom.functions.stem import Stemmer, chosen_stemmer, count_matches, query_lexemes, stem_words
 from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, whole_words, word_list
 from threadloom.operators.filters import all_of, search_filters
+from threadloom.operators.vocabulary import vocabulary, with_lexemes, word_places, words_of
 from threadloom.schemas import SEARCH_STOP_WORDS
 from threadloom.session import hint, join_texts, write_measured
 
@@ -66,37 +63,27 @@ def search(messages: DataFrame, q: str, k: int = 50, filters: dict | None = None
     top = top_keys(messages, terms, k, filters, stemmer, pad)
     found = join_texts(messages.select("conv_id", "msg_id", "role", "text"), top, ["conv_id", "msg_id"])
     ordered = found.select("conv_id", "msg_id", "role", "ts", "text", "score").orderBy(*_best_first())
-    return _add_excerpts(ordered, terms).withColumn("text", F.left("text", F.lit(snippet)))
-
-
-def _add_excerpts(top: DataFrame, terms: list[str]) -> DataFrame:
-    """Highlights for an already ordered top-k, order kept."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [excerpts(t, terms) for t in batch.column("text").to_pylist()]
-            yield batch.append_column("highlights", pa.array(found, pa.list_(pa.string())))
+    marked = highlights(F.col("text"), F.array(*[F.lit(t) for t in terms]))
+    return ordered.withColumn("highlights", marked).withColumn("text", F.left("text", F.lit(snippet)))
 
-    schema = StructType([*top.schema.fields, StructField("highlights", ArrayType(StringType()))])
-    return top.mapInArrow(run, schema)
-
-
-def _words(col: Column, stemmer: str | Stemmer | None) -> Column:
-    stem = chosen_stemmer(stemmer)
-    if stem is not None:
-        return lexemes(col, stem)
-    return F.regexp_extract_all(F.lower(safe_text(col)), F.lit(f"{WORD}+"), F.lit(0))
 
+def word_positions(messages: DataFrame) -> DataFrame:
+    """One row per place of a whole word: the postings before they are counted."""
+    words = F.regexp_extract_all(F.lower(safe_text(F.col("text"))), F.lit(f"{WORD}+"), F.lit(0))
+    return messages.select("conv_id", "msg_id", "role", "ts", F.lit(1).cast("bigint").alias("tf"), F.explode(words).alias("lexeme"))
 
-def word_positions(messages: DataFrame, stemmer: str | Stemmer | None = "english") -> DataFrame:
-    """One row per word position: the postings before they are counted."""
-    return messages.select("conv_id", "msg_id", "role", "ts", F.lit(1).cast("bigint").alias("tf"),
-                           F.explode(_words(F.col("text"), stemmer)).alias("lexeme"))
 
+def build_postings(messages: DataFrame, stemmer: str | Stemmer | None = "english", words: DataFrame | None = None) -> DataFrame:
+    """Postings (lexeme, conv_id, msg_id, role, ts, tf) to be written once and searched often.
 
-def build_postings(messages: DataFrame, stemmer: str | Stemmer | None = "english") -> DataFrame:
-    """Postings (lexeme, conv_id, msg_id, role, ts, tf) to be written once and searched often."""
-    return word_positions(messages, stemmer).groupBy("lexeme", "conv_id", "msg_id", "role", "ts") \
-        .agg(F.sum("tf").alias("tf"))
+    ``words``: the vocabulary (word, lexeme, n) if there is one already.
+    """
+    message = ["conv_id", "msg_id", "role", "ts"]
+    if chosen_stemmer(stemmer) is None:
+        return word_positions(messages).groupBy("lexeme", *message).agg(F.sum("tf").alias("tf"))
+    places = word_places(messages, *message).groupBy("word", *message).agg(F.count("*").alias("tf"))
+    known = vocabulary(messages, stemmer) if words is None else words
+    return with_lexemes(places, known).groupBy("lexeme", *message).agg(F.sum("tf").alias("tf"))
 
 
 def prepare_queries(queries: DataFrame, stemmer: str | Stemmer | None = "english") -> DataFrame:
@@ -123,20 +110,18 @@ def prepare_queries(queries: DataFrame, stemmer: str | Stemmer | None = "english
 
 
 def search_many(messages: DataFrame, queries: DataFrame, k: int = 10, stemmer: str | Stemmer | None = "english",
-                postings: DataFrame | None = None, highlighted: bool = False, snippet: int = SNIPPET) -> DataFrame:
+                postings: DataFrame | None = None, highlighted: bool = False, snippet: int = SNIPPET,
+                words: DataFrame | None = None) -> DataFrame:
     """The ``k`` best matching messages of every query (query_id, q): matches only, none if ``k`` is not positive.
 
     Word positions, exploded in one scan or read from a postings table, meet the queries'
-    lexemes in a join: a broadcast of the queries if they measure small, else a join in
-    which frequent lexemes are split at run time. Matches are summed in the map tasks and
+    words in a join: a broadcast of the queries if they measure small, else a join in
+    which frequent words are split at run time. Stemmed queries are turned into the words
+    that have their lexemes, by the vocabulary ``words`` or one made of the messages. Matches are summed in the map tasks and
     cut to ``k`` per query in every task. Texts are fetched for the winners, highlighted
     in full if ``highlighted``, and cut to ``snippet`` characters.
     """
-    wanted, _, size = write_measured(prepare_queries(queries, stemmer), "queries")
-    positions = word_positions(messages, stemmer) if postings is None else postings
-    scored = _posting_scores(positions, hint(wanted, size))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
+    top = ranked_matches(scored_matches(messages, queries, stemmer, postings, words), k) \
         .select("query_id", "rank", "conv_id", "msg_id", (F.col("score") / F.lit(POSITION_WEIGHT)).alias("score"))
     found = join_texts(messages.select("conv_id", "msg_id", "role", "ts", "text"), top, ["conv_id", "msg_id"])
     columns = ["query_id", "rank", "conv_id", "msg_id", "role", "ts", F.left("text", F.lit(snippet)).alias("text"), "score"]
@@ -147,6 +132,28 @@ def search_many(messages: DataFrame, queries: DataFrame, k: int = 10, stemmer: s
     return found.select(*columns)
 
 
+def scored_matches(messages: DataFrame, queries: DataFrame, stemmer: str | Stemmer | None = "english",
+                   postings: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """query_id, conv_id, msg_id, ts, score (matching positions) of every message that matches a query."""
+    wanted = prepare_queries(queries, stemmer)
+    if postings is not None:
+        positions = postings
+    elif chosen_stemmer(stemmer) is None:
+        positions = word_positions(messages)
+    else:
+        wanted = words_of(wanted, vocabulary(messages, stemmer) if words is None else words).withColumnRenamed("word", "lexeme")
+        positions = word_places(messages, "conv_id", "msg_id", "role", "ts", F.lit(1).cast("bigint").alias("tf")) \
+            .withColumnRenamed("word", "lexeme")
+    table, _, size = write_measured(wanted, "queries")
+    return _posting_scores(positions, hint(table, size))
+
+
+def ranked_matches(matches: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best matches of every query, with their rank."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "conv_id", "msg_id")
+    return matches.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def _posting_scores(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     kind = postings.schema["ts"].dataType
     applies = all_of([

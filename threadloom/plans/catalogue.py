@@ -11,14 +11,14 @@ from threadloom.functions.highlights import highlights
 from threadloom.functions.normalise import content_hash as content_hash_of
 from threadloom.functions.redact import redact, redact_table
 from threadloom.functions.lengths import estimate_tokens
-from threadloom.functions.stem import lexemes
 from threadloom.functions import text as tx
 from threadloom.functions.times import iso_timestamp, minute_text
-from threadloom.operators import (browse, filters, ingest, loads, ordered, packs, prompts, search, threads, topics,
-                                  vectors)
+from threadloom.operators import (browse, filters, ingest, loads, ordered, packs, paging, prompts, search, thread_index, threads, topic_index, topics,
+                                  vector_index as vector_cells, vectors, vocabulary)
 from threadloom.plans import fixtures as fx
 from threadloom.session import scratch_path, write_scratch
 from threadloom.sources import archives
+from threadloom.sources.chat_export import register
 from threadloom.sources.tables import read_conversations, read_table
 from threadloom.streaming import ingest as streams
 
@@ -58,6 +58,16 @@ def topic_map_range(spark, sf_dir):
                                         date_to="2024-01-03", limit=20, max_messages=None))
 
 
+@query
+def indexed_topic_map(spark, sf_dir):
+    """The map of a window from stored counts, in two loads; its bounds cut hours."""
+    rows, path = fx.messages(spark, sf_dir), scratch_path(spark, "topics")
+    topic_index.write_topics(rows.where(F.col("role") == "user"), path, "a")
+    topic_index.write_topics(rows.where(F.col("role") != "user"), path, "b")
+    return _anchor_ids(topic_index.indexed_topic_map(rows, path, date_from="2024-01-01T07:02:00Z", date_to="2024-01-03T00:03:00",
+                                                     limit=20))
+
+
 @query
 def topic_map_conv(spark, sf_dir):
     return _anchor_ids(topics.topic_map(fx.messages(spark, sf_dir), conv_id="3", min_occurrences=1))
@@ -157,6 +167,21 @@ def list_page2(spark, sf_dir):
     return browse.list_conversations(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), limit=20, offset=20)
 
 
+@query
+def listing_page(spark, sf_dir):
+    """A page far down a stored listing: only the slabs that hold it are opened."""
+    path = scratch_path(spark, "listing")
+    paging.write_listing(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), path, slab_rows=20)
+    return paging.listing_page(spark, path, limit=15, offset=52)
+
+
+@query
+def listing_page_owner(spark, sf_dir):
+    path = scratch_path(spark, "listing")
+    paging.write_listing(fx.conversations(spark, sf_dir), fx.messages(spark, sf_dir), path, slab_rows=20)
+    return paging.listing_page(spark, path, limit=8, offset=9, owner_id="owner_1")
+
+
 @query
 def list_total(spark, sf_dir):
     """A page of one owner's conversations with the number of all of them."""
@@ -218,6 +243,16 @@ def thread(spark, sf_dir):
     return threads.thread(rows, openings, depth=1)
 
 
+@query
+def labelled_thread(spark, sf_dir):
+    """Every message's neighbourhood by interval labels, half of them updated by an import."""
+    rows, path = fx.messages(spark, sf_dir), scratch_path(spark, "labels")
+    late = rows.where((F.col("conv_id").cast("long") % 2 == 0) & (F.col("msg_id").cast("long") >= 3))
+    thread_index.write_labels(rows.join(late.select("conv_id", "msg_id"), ["conv_id", "msg_id"], "left_anti"), path)
+    thread_index.update_labels(rows, late, path)
+    return thread_index.labelled_thread(rows, thread_index.read_labels(spark, path), rows.select("conv_id", "msg_id"), depth=2)
+
+
 def _with_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose first turn answers the fourth, if there is one, and turn 5 itself."""
     rows = fx.messages(spark, sf_dir)
@@ -465,8 +500,22 @@ def build_postings(spark, sf_dir):
 
 @query
 def english_lexemes(spark, sf_dir):
-    words = fx.document_messages(spark, sf_dir).select(F.explode(lexemes(F.col("text"))).alias("lexeme"))
-    return words.groupBy("lexeme").agg(F.count("*").alias("positions"))
+    words = vocabulary.vocabulary(fx.document_messages(spark, sf_dir))
+    return words.groupBy("lexeme").agg(F.sum("n").alias("positions"))
+
+
+@query
+def build_postings_english(spark, sf_dir):
+    """Postings of lexemes: words are counted per message, stemmed once and summed."""
+    return search.build_postings(fx.messages(spark, sf_dir))
+
+
+@query
+def new_words(spark, sf_dir):
+    """What the assistants' messages add to the vocabulary of the users' messages."""
+    rows = fx.messages(spark, sf_dir)
+    stored = vocabulary.vocabulary(rows.where(F.col("role") == "user")).select("word", "lexeme")
+    return vocabulary.new_words(stored, rows.where(F.col("role") == "assistant"))
 
 
 @query
@@ -679,15 +728,61 @@ def read_export_zip(spark, sf_dir):
     return rows.select("conv_id", "msg_id", "hash")
 
 
+def _named_archives(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with an archive for every 200 documents, and a broken one for every 2,000."""
+    folder = scratch_path(spark, "archives")
+    rows = _exports(spark, sf_dir)
+    part = F.floor(F.col("ordinal") / 200).cast("string")
+    good = rows.select(F.concat(F.lit("export-"), part).alias("name"), "conversation")
+    broken = rows.where(F.col("ordinal") % 2000 == 0).select(
+        F.concat(F.lit("broken-"), F.floor(F.col("ordinal") / 2000).cast("string")), F.lit(None).cast("string"))
+    fx.write_archives(good.union(broken), folder, "name")
+    return folder
+
+
+def _file_name(column: str):
+    return F.element_at(F.split(column, "/"), -1).alias(column)
+
+
 @query
 def list_archives(spark, sf_dir):
-    folder = scratch_path(spark, "archives")
-    fx.write_archives(_exports(spark, sf_dir), folder)
-    (spark.range(3).select(F.concat(F.lit("not an archive "), F.col("id").cast("string")).alias("value"))
-     .coalesce(1).write.text(f"{folder}/broken"))
-    listed = archives.list_archives(spark, folder)
-    return listed.groupBy("member", "status").agg(F.count_distinct("archive").alias("n")) \
-        .select("member", "status", (F.col("n") > 0).alias("found"))
+    listed = archives.list_archives(spark, _named_archives(spark, sf_dir))
+    return listed.select(_file_name("archive"), "member", "status")
+
+
+def _read_rows(raw: DataFrame) -> DataFrame:
+    """Keys and hashes of the messages read, and the broken archives with their error."""
+    parsed, rejects = ingest.parse_exports(raw)
+    rows = ingest.normalise_messages(ingest.explode_messages(parsed))
+    return rows.select("conv_id", "msg_id", "hash", F.lit(None).cast("string").alias("broken"), F.lit(None).cast("string").alias("reason")) \
+        .union(rejects.select(F.lit(None), F.lit(None), F.lit(None), _file_name("archive"), "reason"))
+
+
+@query
+def chat_export(spark, sf_dir):
+    """Archives read through the registered data source."""
+    register(spark)
+    return _read_rows(spark.read.format("chat_export").load(_named_archives(spark, sf_dir)).repartition("archive", "ordinal"))
+
+
+@query
+def chat_export_pruned(spark, sf_dir):
+    """Conversations per archive, for archives chosen by name: the others are not opened, the texts stay behind."""
+    register(spark)
+    raw = spark.read.format("chat_export").schema("archive string, ordinal long").load(_named_archives(spark, sf_dir))
+    return raw.where(F.col("archive").contains("/export-") & F.col("archive").endswith("0.zip")).groupBy(_file_name("archive")).agg(F.count("*").alias("conversations"))
+
+
+@query
+def chat_export_stream(spark, sf_dir):
+    """Archives read by a stream, in two runs of which the second finds nothing new."""
+    register(spark)
+    folder, found, state = _named_archives(spark, sf_dir), scratch_path(spark, "arrived"), scratch_path(spark, "arrivals")
+    for _ in range(2):
+        arrivals = spark.readStream.format("chat_export").option("log", f"{state}/log").option("max_files", 7).load(folder)
+        arrivals.repartition("archive", "ordinal").writeStream.format("parquet").option("checkpointLocation", f"{state}/offsets") \
+            .trigger(availableNow=True).start(found).awaitTermination()
+    return _read_rows(spark.read.parquet(found))
 
 
 def _streamed_root(spark: SparkSession, sf_dir: str) -> str:
@@ -741,15 +836,51 @@ def embed_messages(spark, sf_dir):
     return made.select("conv_id", "msg_id", "model", _numbers("embedding"))
 
 
-@query
-def vector_search(spark, sf_dir):
-    """Nearest vectors to the mean of each label."""
-    stored = fx.table(spark, sf_dir, "embeddings")
+def _label_centres(stored: DataFrame) -> DataFrame:
+    """The mean vector of each label as queries."""
     means = stored.select("label", F.posexplode("embedding").alias("i", "x")) \
         .groupBy("label", "i").agg(F.avg("x").alias("x"))
     centres = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")) \
         .select(F.col("label").alias("query_id"), F.transform("c", lambda p: p["x"]).alias("embedding"))
-    hits = vectors.vector_search(stored, write_scratch(centres, "centres"), k=10, ids=["vec_id"])
+    return write_scratch(centres, "centres")
+
+
+@query
+def vector_search(spark, sf_dir):
+    """Nearest vectors to the mean of each label."""
+    stored = fx.table(spark, sf_dir, "embeddings")
+    hits = vectors.vector_search(stored, _label_centres(stored), k=10, ids=["vec_id"])
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def _asked_vectors(stored: DataFrame) -> DataFrame:
+    return stored.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def vector_search_many(spark, sf_dir):
+    """Nearest vectors of every twentieth vector."""
+    stored = fx.table(spark, sf_dir, "embeddings")
+    hits = vectors.vector_search(stored, _asked_vectors(stored), k=10, ids=["vec_id"])
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_index(spark, sf_dir):
+    """How many of the exact best ten the cell index finds, and how many vectors it reads, for every twentieth vector."""
+    stored = fx.table(spark, sf_dir, "embeddings")
+    asked = _asked_vectors(stored)
+    index = vector_cells.build_index(stored, scratch_path(spark, "cells"), ids=["vec_id"])
+    exact = write_scratch(vectors.vector_search(stored, asked, k=10, ids=["vec_id"]), "exact")
+    return vector_cells.search_quality(index, asked, exact, k=10)
+
+
+@query
+def vector_index_whole(spark, sf_dir):
+    """A search of all cells of the index is the exact search."""
+    stored = fx.table(spark, sf_dir, "embeddings")
+    index = vector_cells.build_index(stored, scratch_path(spark, "cells"), ids=["vec_id"])
+    hits = vector_cells.search_index(index, _label_centres(stored), k=10, probes=len(index.centres))
     return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -757,6 +888,6 @@ def vector_search(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     rows = fx.messages(spark, sf_dir)
     wanted = write_scratch(_label_queries(rows), "queries")
-    made = vectors.embed_messages(rows, rows.where(F.lit(False)), letter_counts, len(LETTERS), "letters")
-    hits = vectors.hybrid_search(rows, made, wanted, letter_counts, len(LETTERS), k=10, stemmer=None, depth=40)
+    made = write_scratch(vectors.embed_messages(rows, rows.where(F.lit(False)), letter_counts, len(LETTERS), "letters"), "vectors")
+    hits = vectors.hybrid_search(rows, made, wanted, letter_counts, len(LETTERS), k=10, stemmer=None)
     return hits.select("query_id", "rank", "conv_id", "msg_id", "word_rank", "vector_rank", F.round("score", 8).alias("score"))

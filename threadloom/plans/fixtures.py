@@ -7,8 +7,10 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, spread over the cores when its files have too few splits to use them."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,22 +55,59 @@ def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_archives(conversations: DataFrame, folder: str) -> None:
-    """Write conversation texts as ZIP exports into a folder, one archive per partition."""
+def write_archives(conversations: DataFrame, folder: str, name: str | None = None) -> None:
+    """Write conversation texts as ZIP exports into a folder: one archive per partition, or per value of column ``name``.
+
+    A name of which the only text is null becomes a file that is no archive.
+    """
+    rows = conversations.select(F.col(name) if name else F.lit(None).cast("string").alias("name"), "conversation")
+    if name:
+        rows = rows.repartition(name).sortWithinPartitions(name)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        filesystem, inner = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-        filesystem.create_dir(inner)
-        with filesystem.open_output_stream(f"{inner}/{uuid.uuid4().hex}.zip", compression=None) as stream, \
-                zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive, \
-                archive.open("conversations.json", "w", force_zip64=True) as member:
-            separator = b"["
-            for batch in batches:
-                for text in batch.column("conversation").to_pylist():
-                    member.write(separator + text.encode())
-                    separator = b",\n"
-            member.write(b"]" if separator != b"[" else b"[]")
+        store, inner = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        store.create_dir(inner)
+        at, texts = None, None
+        for batch in batches:
+            for title, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if texts is None or title != at:
+                    if texts is not None:
+                        texts.close()
+                    at, texts = title, _ArchiveFile(store, f"{inner}/{title or uuid.uuid4().hex}.zip")
+                texts.add(text)
+        if texts is None and not name:
+            texts = _ArchiveFile(store, f"{inner}/{uuid.uuid4().hex}.zip")
+            texts.start()
+        if texts is not None:
+            texts.close()
         yield pa.RecordBatch.from_arrays([pa.array([inner])], names=["folder"])
 
-    conversations.select("conversation").mapInArrow(pack, "folder string").write.format("noop").mode("overwrite").save()
+    rows.mapInArrow(pack, "folder string").write.format("noop").mode("overwrite").save()
+
+
+class _ArchiveFile:
+    """A ZIP export being written."""
+
+    def __init__(self, store: fs.FileSystem, path: str) -> None:
+        self.stream, self.archive = store.open_output_stream(path, compression=None), None
+
+    def start(self) -> None:
+        self.archive = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED)
+        self.member = self.archive.open("conversations.json", "w", force_zip64=True)
+        self.separator = b"["
+
+    def add(self, text: str | None) -> None:
+        if text is None:
+            self.stream.write(b"not an archive")
+            return
+        if self.archive is None:
+            self.start()
+        self.member.write(self.separator + text.encode())
+        self.separator = b",\n"
+
+    def close(self) -> None:
+        if self.archive is not None:
+            self.member.write(b"]" if self.separator != b"[" else b"[]")
+            self.member.close()
+            self.archive.close()
+        self.stream.close()

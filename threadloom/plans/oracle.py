@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from threadloom.functions import stem
 from threadloom.functions.text import BLANKS
 from threadloom.schemas import SEARCH_STOP_WORDS, TOPIC_STOP_WORDS
 
@@ -112,6 +113,18 @@ _ABOVE = """SELECT u.conv_id, u.anchor_id, u.msg_id, u.distance,
 _BELOW = """SELECT d.conv_id, d.anchor_id, d.msg_id, d.distance,
   row_number() OVER (PARTITION BY d.conv_id, d.anchor_id ORDER BY d.path) AS order_idx FROM down d"""
 
+
+def _thread(openings: str, depth: int) -> str:
+    return f"""WITH RECURSIVE {MESSAGES}, {_UP}, {_down(depth)}, openings AS (
+  SELECT conv_id, msg_id AS anchor_id FROM messages WHERE {openings}),
+links AS (
+  SELECT conv_id, anchor_id, anchor_id AS msg_id, 0 AS distance, 0 AS order_idx, 'anchor' AS relation FROM openings
+  UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'ancestor' FROM ({_ABOVE}) SEMI JOIN openings USING (conv_id, anchor_id)
+  UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'descendant' FROM ({_BELOW}) SEMI JOIN openings USING (conv_id, anchor_id))
+SELECT l.conv_id, l.anchor_id, l.relation, l.distance, l.order_idx, l.msg_id, m.parent_id, m.role, m.ts, m.text
+FROM links l JOIN messages m USING (conv_id, msg_id)"""
+
+
 # Search
 
 
@@ -193,14 +206,142 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
 FROM fused QUALIFY rank <= {k}"""
 
 
+def _english_words(text: str) -> str:
+    return rf"list_filter(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+'), lambda w: w NOT IN ({quoted(SEARCH_STOP_WORDS)}))"
+
+
+def english_stems(words: str) -> str:
+    """CTE stems(word, lexeme) for the distinct words that the query ``words`` gives: the published rules, step by step.
+
+    r1 and r2 are the lengths of the word before its two regions.
+    """
+    region = "^.*?[aeiouy][^aeiouy]"
+    short = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+    case = lambda table: " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in table.items())
+    ending = lambda suffixes: f"regexp_extract(w, '({'|'.join(suffixes)})$')"
+
+    def swapped(before: str, after: str, table: dict[str, str], least: str, more: str = "true") -> str:
+        return f"""{after} AS (
+  SELECT word, r1, r2, CASE WHEN ending <> '' AND length(base) >= {least} AND {more}
+         THEN base || CASE ending {case(table)} END ELSE w END AS w
+  FROM (SELECT *, {ending(table)} AS ending, left(w, length(w) - length({ending(table)})) AS base FROM {before}))"""
+
+    return f"""distinct_words AS (SELECT DISTINCT word FROM ({words})),
+marked AS (
+  SELECT word, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM distinct_words
+  WHERE length(word) > 2 AND word NOT IN ({quoted(stem._IRREGULAR)})),
+first_region AS (
+  SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN length(regexp_extract(w, '^(gener|commun|arsen)'))
+    WHEN regexp_matches(w, '{region}') THEN length(regexp_extract(w, '{region}')) ELSE length(w) END AS r1 FROM marked),
+regions AS (
+  SELECT *, CASE WHEN regexp_matches(substr(w, r1 + 1), '{region}') THEN r1 + length(regexp_extract(substr(w, r1 + 1), '{region}'))
+    ELSE length(w) END AS r2 FROM first_region),
+singular AS (
+  SELECT word, r1, r2, CASE WHEN w LIKE '%sses' THEN left(w, length(w) - 2)
+    WHEN w LIKE '%ied' OR w LIKE '%ies' THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+    WHEN w LIKE '%s' AND NOT regexp_matches(w, '(us|ss)$') AND regexp_matches(left(w, length(w) - 2), '[aeiouy]')
+    THEN left(w, length(w) - 1) ELSE w END AS w FROM regions),
+whole AS (SELECT word, w AS lexeme FROM singular WHERE w IN ({quoted(sorted(stem._KEPT_AFTER_PLURAL))})),
+based AS (
+  SELECT *, {ending(['eedly', 'eed', 'edly', 'ed', 'ingly', 'ing'])} AS ending,
+         left(w, length(w) - length({ending(['eedly', 'eed', 'edly', 'ed', 'ingly', 'ing'])})) AS base
+  FROM singular WHERE w NOT IN ({quoted(sorted(stem._KEPT_AFTER_PLURAL))})),
+verbal AS (
+  SELECT word, r1, r2, CASE WHEN ending = '' THEN w
+    WHEN ending LIKE 'ee%' THEN CASE WHEN length(base) >= r1 THEN base || 'ee' ELSE w END
+    WHEN NOT regexp_matches(base, '[aeiouy]') THEN w
+    WHEN regexp_matches(base, '(at|bl|iz)$') THEN base || 'e'
+    WHEN regexp_matches(base, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(base, length(base) - 1)
+    WHEN regexp_matches(base, '{short}') AND r1 >= length(base) THEN base || 'e' ELSE base END AS w FROM based),
+ended AS (SELECT word, r1, r2, regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i') AS w FROM verbal),
+{swapped('ended', 'derived', stem._DERIVED, 'r1',
+         "(ending <> 'ogi' OR base LIKE '%l') AND (ending <> 'li' OR regexp_matches(base, '[cdeghkmnrt]$'))")},
+{swapped('derived', 'adjectival', stem._ADJECTIVAL, "CASE ending WHEN 'ative' THEN r2 ELSE r1 END")},
+{swapped('adjectival', 'residual', dict.fromkeys(stem._RESIDUAL, ''), 'r2', "(ending <> 'ion' OR regexp_matches(base, '[st]$'))")},
+stems AS (
+  SELECT word, replace(CASE
+      WHEN w LIKE '%e' AND (length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT regexp_matches(left(w, length(w) - 1), '{short}')))
+        THEN left(w, length(w) - 1)
+      WHEN w LIKE '%ll' AND length(w) - 1 >= r2 THEN left(w, length(w) - 1) ELSE w END, 'Y', 'y') AS lexeme
+  FROM residual
+  UNION ALL SELECT * FROM whole
+  UNION ALL SELECT word, CASE word {case(stem._IRREGULAR)} ELSE word END FROM distinct_words
+  WHERE length(word) <= 2 OR word IN ({quoted(stem._IRREGULAR)}))"""
+
+
 def search_english() -> str:
-    """The words whose stem is tion or thing: the two words and their regular endings."""
-    forms = "^(tion|thing)(s|es|ed|edly|ing|ingly|ly|lyed|lying)?$"
-    return f"""WITH {MESSAGES}, scored AS (
-  SELECT conv_id, msg_id, role, ts, left(text, 400) AS text,
-         len(list_filter({_plain_words('text')}, lambda w: regexp_matches(w, '{forms}'))) / 10.0::DOUBLE AS score
-  FROM messages)
-SELECT * FROM scored ORDER BY score DESC, ts DESC, conv_id, msg_id LIMIT 50"""
+    return f"""WITH {MESSAGES}, places AS (SELECT conv_id, msg_id, unnest({_english_words('text')}) AS word FROM messages),
+asked AS (SELECT unnest(['tioned', 'things']) AS word),
+{english_stems('SELECT word FROM places UNION ALL SELECT word FROM asked')},
+counted AS (
+  SELECT conv_id, msg_id, count(*) AS n FROM places JOIN stems USING (word)
+  WHERE lexeme IN (SELECT lexeme FROM asked JOIN stems USING (word)) GROUP BY ALL)
+SELECT conv_id, msg_id, role, ts, left(text, 400) AS text, coalesce(n, 0) / 10.0::DOUBLE AS score
+FROM messages LEFT JOIN counted USING (conv_id, msg_id) ORDER BY score DESC, ts DESC, conv_id, msg_id LIMIT 50"""
+
+
+def english_lexemes() -> str:
+    return f"""WITH {DOCUMENTS}, places AS (SELECT unnest({_english_words('text')}) AS word FROM messages),
+{english_stems('SELECT word FROM places')}
+SELECT lexeme, count(*) AS positions FROM places JOIN stems USING (word) GROUP BY lexeme"""
+
+
+def build_postings_english() -> str:
+    return f"""WITH {MESSAGES}, places AS (
+  SELECT conv_id, msg_id, role, ts, unnest({_english_words('text')}) AS word FROM messages),
+{english_stems('SELECT word FROM places')}
+SELECT lexeme, conv_id, msg_id, role, ts, count(*) AS tf FROM places JOIN stems USING (word) GROUP BY ALL"""
+
+
+def new_words() -> str:
+    return f"""WITH {MESSAGES}, places AS (SELECT role, unnest({_english_words('text')}) AS word FROM messages),
+fresh AS (SELECT word FROM places WHERE role = 'assistant' EXCEPT SELECT word FROM places WHERE role = 'user'),
+{english_stems('SELECT word FROM fresh')}
+SELECT word, lexeme FROM stems"""
+
+
+def search_many_english() -> str:
+    """Lexemes of labels and messages, and excerpts for the terms of the labels."""
+    return f"""WITH RECURSIVE {MESSAGES}, scope AS (SELECT * FROM messages), {_tokens()}, {_top(20, 2)},
+places AS (SELECT conv_id, msg_id, ts, unnest({_english_words('text')}) AS word FROM messages),
+asked AS (SELECT label AS query_id, unnest({_english_words("replace(label, '_', ' ')")}) AS word FROM top),
+{english_stems('SELECT word FROM places UNION ALL SELECT word FROM asked')},
+wanted AS (SELECT DISTINCT query_id, lexeme FROM asked JOIN stems USING (word)),
+scored AS (
+  SELECT query_id, conv_id, msg_id, ts, count(*) / 10.0::DOUBLE AS score
+  FROM places JOIN stems USING (word) JOIN wanted USING (lexeme) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ts DESC, conv_id, msg_id) AS rank FROM scored QUALIFY rank <= 10),
+hits AS (SELECT r.*, m.role, m.text AS snip, {_plain_words('query_id')} AS terms FROM ranked r JOIN messages m USING (conv_id, msg_id)),
+{_excerpts('hits', ['query_id', 'conv_id', 'msg_id'])}
+SELECT h.query_id, h.rank, h.conv_id, h.msg_id, h.role, h.ts, left(snip, 400) AS text, h.score, e.highlights
+FROM hits h JOIN excerpts e USING (query_id, conv_id, msg_id)"""
+
+
+def _excerpts(rows: str, key: list[str]) -> str:
+    """Recursive CTEs up to excerpts(key, highlights): hits of the terms of a row in its snip, left to right while apart."""
+    keys = ", ".join(key)
+    return f"""places_of AS (
+  SELECT {keys}, snip, terms, list_filter(range(1, length(snip) + 1),
+      lambda i: len(list_filter(terms, lambda t: substr(lower(snip), i, length(t)) = t)) > 0) AS pos FROM {rows}),
+picks AS (
+  SELECT {keys}, snip, terms, pos, 0 AS n, 0::BIGINT AS taken, '' AS piece FROM places_of
+  UNION ALL
+  SELECT {keys}, snip, terms, pos, n + 1, high,
+    CASE WHEN low > 0 THEN '…' ELSE '' END || substr(snip, low + 1, p - 1 - low) || '**' || substr(snip, p, size) || '**'
+      || substr(snip, p + size, high - (p - 1 + size)) || CASE WHEN high < length(snip) THEN '…' ELSE '' END
+  FROM (
+    SELECT *, greatest(p - 41, 0)::BIGINT AS low, least(p - 1 + size + 40, length(snip))::BIGINT AS high FROM (
+      SELECT *, length(list_filter(terms, lambda t: substr(lower(snip), p, length(t)) = t)[1]) AS size FROM (
+        SELECT *, list_filter(pos, lambda i: greatest(i - 41, 0) >= taken)[1] AS p FROM picks WHERE n < 3)
+      WHERE p IS NOT NULL))),
+excerpts AS (SELECT {keys}, coalesce(string_agg(piece, chr(10) ORDER BY n) FILTER (n > 0), '') AS highlights FROM picks GROUP BY {keys})"""
+
+
+def highlights() -> str:
+    return f"""WITH RECURSIVE {MESSAGES}, snippets AS (SELECT conv_id, msg_id, text AS snip, ['tion', 'the'] AS terms FROM messages),
+{_excerpts('snippets', ['conv_id', 'msg_id'])}
+SELECT * FROM excerpts"""
 
 
 def shortened(text: str) -> str:
@@ -217,28 +358,6 @@ def _memory(k: int) -> str:
   SELECT query_id, string_agg({line}, chr(10) ORDER BY rank) AS memory FROM hits WHERE text <> '' GROUP BY query_id)"""
 
 
-def highlights() -> str:
-    """Excerpts for the terms tion and the, taken left to right while they do not overlap."""
-    return f"""WITH RECURSIVE {MESSAGES}, snippets AS (SELECT conv_id, msg_id, text AS snip FROM messages),
-places AS (
-  SELECT *, list_filter(range(1, length(snip) + 1),
-      lambda i: substr(lower(snip), i, 4) = 'tion' OR substr(lower(snip), i, 3) = 'the') AS pos FROM snippets),
-picks AS (
-  SELECT conv_id, msg_id, snip, pos, 0 AS n, 0::BIGINT AS taken, '' AS piece FROM places
-  UNION ALL
-  SELECT conv_id, msg_id, snip, pos, n + 1, high,
-    CASE WHEN low > 0 THEN '…' ELSE '' END || left(span, strpos(span, word) - 1) || '**' || word || '**'
-      || substr(span, strpos(span, word) + length(word)) || CASE WHEN high < length(snip) THEN '…' ELSE '' END
-  FROM (
-    SELECT *, substr(snip, low + 1, high - low) AS span FROM (
-      SELECT *, greatest(p - 41, 0)::BIGINT AS low, least(p - 1 + length(word) + 40, length(snip))::BIGINT AS high FROM (
-        SELECT *, substr(snip, p, CASE WHEN substr(lower(snip), p, 3) = 'the' THEN 3 ELSE 4 END) AS word FROM (
-          SELECT *, list_filter(pos, lambda i: greatest(i - 41, 0) >= taken)[1] AS p FROM picks WHERE n < 3)
-        WHERE p IS NOT NULL))))
-SELECT conv_id, msg_id, coalesce(string_agg(piece, chr(10) ORDER BY n) FILTER (n > 0), '') AS highlights
-FROM picks GROUP BY conv_id, msg_id"""
-
-
 # Packs
 
 _LINE = "'[' || role || ' • ' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || text"
@@ -303,6 +422,12 @@ FROM convs LEFT JOIN summary USING (conv_id) WHERE {where}
 ORDER BY last_message_ts DESC NULLS LAST, title ASC NULLS LAST, conv_id {page}"""
 
 
+def _numbered_list(where: str, limit: int, offset: int) -> str:
+    order = "ORDER BY last_message_ts DESC NULLS LAST, title ASC NULLS LAST, conv_id"
+    return f"""SELECT *, row_number() OVER ({order}) + {offset} AS rank
+FROM ({conversation_list(where=where, page=f"LIMIT {limit} OFFSET {offset}")})"""
+
+
 def _normalised() -> str:
     return f"""SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, 'assistant' AS role,
        TIMESTAMP '2024-01-01' + to_minutes(doc_id::INT) AS ts, {redacted('text')[-1]} AS text,
@@ -310,6 +435,28 @@ def _normalised() -> str:
 FROM documents"""
 
 
+def _read_rows() -> str:
+    """Messages of the archives, and the files that are none."""
+    return f"""SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash, NULL AS broken, NULL AS reason FROM documents
+UNION ALL SELECT NULL, NULL, NULL, 'broken-' || (doc_id // 2000)::VARCHAR || '.zip', 'not a ZIP archive: no ZIP signature'
+FROM documents WHERE doc_id % 2000 = 0"""
+
+
+def nearest_to_labels() -> str:
+    return """WITH parts AS (
+  SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+means AS (SELECT label, i, avg(x) AS x FROM parts GROUP BY label, i),
+asked AS (SELECT label AS query_id, list(x ORDER BY i) AS v FROM means GROUP BY label)""" + _NEAREST
+
+
+# The ten nearest vectors of every query (query_id, v).
+_NEAREST = """, scored AS (
+  SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score
+  FROM embeddings CROSS JOIN asked),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
+
+
 def _shapes() -> str:
     return f"""WITH shaped AS (
   SELECT *, doc_id % 6 AS shape, CASE doc_id % 6 WHEN 0 THEN text || chr(10) || 'end' WHEN 1 THEN text
@@ -341,6 +488,8 @@ def all_sql() -> dict[str, str]:
         "topic_map": topic_map(MESSAGES),
         "window_cap": topic_map(MESSAGES, "SELECT * FROM messages ORDER BY ts, conv_id, msg_id LIMIT 300"),
         "topic_map_range": topic_map(MESSAGES, f"SELECT * FROM messages WHERE {window}", limit=20),
+        "indexed_topic_map": topic_map(MESSAGES, """SELECT * FROM messages
+  WHERE ts >= TIMESTAMP '2024-01-01 07:02:00' AND ts <= TIMESTAMP '2024-01-03 00:03:00'""", limit=20),
         "topic_map_conv": topic_map(MESSAGES, "SELECT * FROM messages WHERE conv_id = '3'", least=1),
         "topic_map_documents": topic_map(DOCUMENTS, limit=50, samples=5),
         "topic_map_wide": topic_map(MESSAGES, limit=400, least=25, samples=8),
@@ -375,6 +524,8 @@ FROM messages""",
         "list_page2": conversation_list(page="LIMIT 20 OFFSET 20"),
         "list_total": f"""SELECT *, (WITH {CONVERSATIONS} SELECT count(*) FROM convs WHERE owner_id = 'owner_1') AS total
 FROM ({conversation_list(where="owner_id = 'owner_1'", page="LIMIT 5 OFFSET 2")})""",
+        "listing_page": _numbered_list("true", 15, 52),
+        "listing_page_owner": _numbered_list("owner_id = 'owner_1'", 8, 9),
         "list_owner": conversation_list(where="owner_id = 'owner_3'", page="LIMIT 2000"),
         "conversation_stats": with_messages + """SELECT conv_id, count(*) AS message_count,
   string_agg(DISTINCT role, ',' ORDER BY role) AS participant_roles, min(ts) AS first_message_ts,
@@ -395,14 +546,8 @@ FROM ({_ABOVE}) a JOIN messages m USING (conv_id, msg_id)""",
         "thread_descendants": f"""WITH RECURSIVE {MESSAGES}, {_down(3)}
 SELECT b.conv_id, b.msg_id, b.anchor_id, b.distance, b.order_idx, m.parent_id, m.role, m.ts
 FROM ({_BELOW}) b JOIN messages m USING (conv_id, msg_id)""",
-        "thread": f"""WITH RECURSIVE {MESSAGES}, {_UP}, {_down(1)}, openings AS (
-  SELECT conv_id, msg_id AS anchor_id FROM messages WHERE role = 'assistant'),
-links AS (
-  SELECT conv_id, anchor_id, anchor_id AS msg_id, 0 AS distance, 0 AS order_idx, 'anchor' AS relation FROM openings
-  UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'ancestor' FROM ({_ABOVE}) SEMI JOIN openings USING (conv_id, anchor_id)
-  UNION ALL SELECT conv_id, anchor_id, msg_id, distance, order_idx, 'descendant' FROM ({_BELOW}) SEMI JOIN openings USING (conv_id, anchor_id))
-SELECT l.conv_id, l.anchor_id, l.relation, l.distance, l.order_idx, l.msg_id, m.parent_id, m.role, m.ts, m.text
-FROM links l JOIN messages m USING (conv_id, msg_id)""",
+        "thread": _thread("role = 'assistant'", 1),
+        "labelled_thread": _thread("true", 2),
 
         "thread_cycles": f"""WITH RECURSIVE {MESSAGES}, cyclic AS (
   SELECT conv_id, msg_id, CASE WHEN msg_id = '0' THEN '3' WHEN msg_id = '5' THEN '5' ELSE parent_id END AS parent_id
@@ -468,13 +613,17 @@ SELECT m.msg_id, coalesce(t.tokens, '') AS tokens FROM messages m LEFT JOIN (
 
         "search_english": search_english(),
         "search_highlights": highlights(),
+        "english_lexemes": english_lexemes(),
+        "build_postings_english": build_postings_english(),
+        "new_words": new_words(),
+        "search_many_english": search_many_english(),
         "search_stemmer": search_stemmer(),
         "search_many_stemmer": search_many(MESSAGES, lexemes=_light_stems),
         "search_none": "SELECT 0::BIGINT AS results",
         "unusable_queries": rf"""SELECT conv_id::VARCHAR || '/' || turn::VARCHAR AS query_id,
   'the query needs at least one term' AS reason
 FROM conversations WHERE turn % 3 = 0 OR NOT regexp_matches(text, '[\p{{L}}\p{{N}}_]')""",
-        "hybrid_search": hybrid_search(40, 10),
+        "hybrid_search": hybrid_search(1 << 40, 10),
         "shorten": f"{with_messages}SELECT conv_id, msg_id, {shortened('text')} AS summary FROM messages",
         "memory_block": f"WITH {_memory(5)} SELECT * FROM memory",
         "build_prompts": f"""WITH {_memory(5)}
@@ -518,8 +667,13 @@ FROM messages GROUP BY 1""",
         "ingest_export": f"""SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash
 FROM documents WHERE lang IS DISTINCT FROM 'en'""",
         "read_export_zip": f"SELECT source AS conv_id, doc_id::VARCHAR AS msg_id, {hashed('text')} AS hash FROM documents",
-        "list_archives": """SELECT DISTINCT 'conversations.json' AS member, 'ok' AS status, true AS found FROM documents
-UNION ALL SELECT NULL, 'not a ZIP archive', true""",
+        "list_archives": """SELECT DISTINCT 'export-' || (doc_id // 200)::VARCHAR || '.zip' AS archive,
+  'conversations.json' AS member, 'ok' AS status FROM documents
+UNION ALL SELECT 'broken-' || (doc_id // 2000)::VARCHAR || '.zip', NULL, 'not a ZIP archive' FROM documents WHERE doc_id % 2000 = 0""",
+        "chat_export": _read_rows(),
+        "chat_export_stream": _read_rows(),
+        "chat_export_pruned": """SELECT 'export-' || (doc_id // 200)::VARCHAR || '.zip' AS archive, count(*) AS conversations
+FROM documents WHERE doc_id // 200 % 10 = 0 GROUP BY ALL""",
         "import_summary": """SELECT count(*) AS imported, count(*) FILTER (lang IS DISTINCT FROM 'en') AS inserted,
   count(*) AS conversations FROM documents""",
         "read_export_json": """SELECT source AS conv_id, 'From ' || source AS title, 'default' AS owner_id,
@@ -532,13 +686,8 @@ FROM ({_normalised()})""",
 
         "embed_messages": with_messages
         + f"SELECT conv_id, msg_id, 'letters' AS model, {letter_vector('text')} AS vector FROM messages WHERE role <> 'user'",
-        "vector_search": """WITH parts AS (
-  SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
-means AS (SELECT label, i, avg(x) AS x FROM parts GROUP BY label, i),
-centres AS (SELECT label AS query_id, list(x ORDER BY i) AS c FROM means GROUP BY label),
-scored AS (
-  SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS score
-  FROM embeddings CROSS JOIN centres),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
-SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= 10""",
+        "vector_search": nearest_to_labels(),
+        "vector_index_whole": nearest_to_labels(),
+        "vector_search_many": "WITH asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0)"
+                              + _NEAREST,
     }

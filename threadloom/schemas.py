@@ -65,6 +65,12 @@ LOAD_REJECTS = T.StructType([
     T.StructField("reason", T.StringType()),
 ])
 
+# Words of the stored messages with their stems.
+VOCABULARY = T.StructType([
+    T.StructField("word", T.StringType(), False),
+    T.StructField("lexeme", T.StringType(), False),
+])
+
 TABLES = {
     "conversations": CONVERSATION_CHANGES,
     "messages": MESSAGES,
@@ -72,6 +78,7 @@ TABLES = {
     "message_embeddings": MESSAGE_EMBEDDINGS,
     "message_analytics": MESSAGE_ANALYTICS,
     "load_rejects": LOAD_REJECTS,
+    "vocabulary": VOCABULARY,
 }
 
 MESSAGE_KEY = ["conv_id", "msg_id"]

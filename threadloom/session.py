@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 BROADCAST_BYTES = 32 << 20
-# Paths of the scratch tables of this process, oldest first.
-_written: list[str] = []
+# Scratch tables written inside the innermost ``dropped_scratch`` of this thread.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+# Temporary folders of local sessions that name none, by application.
+_local_roots: dict[str, str] = {}
 
 
 def build_session(master: str | None = None, app: str = "threadloom", **conf: str) -> SparkSession:
@@ -37,13 +40,13 @@ def scratch_root(spark: SparkSession) -> str:
     A local session without the setting gets a temporary folder; a cluster
     session without it is an error, because executors share no local disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_roots.get(app)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/threadloom-{spark.sparkContext.applicationId}"
+        root = _local_roots[app] = tempfile.mkdtemp(prefix="threadloom-")
+    return f"{root.rstrip('/')}/threadloom-{app}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -57,32 +60,52 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     columns prunable and gives the optimiser exact sizes for the next join.
     """
     path = scratch_path(df.sparkSession, name)
-    _written.append(path)
+    if (inside := _written.get()) is not None:
+        inside.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def dropped_scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the scratch tables written inside; nothing read from them may be used afterwards."""
-    first = len(_written)
+    """Delete the scratch tables this thread writes inside; nothing read from them may be used afterwards.
+
+    Streams run their batches in threads of their own, so none deletes what another wrote.
+    """
+    mine: list[str] = []
+    token = _written.set(mine)
     try:
         yield
     finally:
-        for path in _written[first:]:
-            _delete(spark, path)
-        del _written[first:]
+        _written.reset(token)
+        for path in mine:
+            delete_path(spark, path)
+
+
+def write_result(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` gives, written once; the scratch tables made on the way are deleted."""
+    path = scratch_path(spark, name)
+    if (outside := _written.get()) is not None:
+        outside.append(path)
+    with dropped_scratch(spark):
+        table = build()
+        table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def make_path(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results still reading them become invalid."""
-    _delete(spark, scratch_root(spark))
-    _written.clear()
+    delete_path(spark, scratch_root(spark))
 
 
 def write_measured(rows: DataFrame, name: str, width: Column | None = None) -> tuple[DataFrame, int, int]:

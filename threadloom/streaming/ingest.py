@@ -1,7 +1,14 @@
-"""Continuous import of a drop folder and embedding of new messages."""
+"""Continuous import of a drop folder and embedding of new messages.
+
+A batch of a stream is a load of its own: its id names the stream's checkpoint and the
+batch, so a batch repeated after a failure replaces whatever its first attempt wrote.
+"""
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -9,45 +16,55 @@ from threadloom.operators.ingest import explode_messages, normalise_messages, pa
 from threadloom.operators.filters import split_valid
 from threadloom.operators.loads import insert_ignore
 from threadloom.operators.vectors import embed_messages
+from threadloom.operators.vocabulary import new_words
 from threadloom.session import dropped_scratch, write_scratch
 from threadloom.sources.archives import FILES, read_listed
-from threadloom.sources.tables import append_conversations, append_table, ensure_schema, location, read_table
+from threadloom.sources.tables import (LOAD, append_conversations, append_table, ensure_schema, key_partitions, location,
+                                       read_loads, read_table)
 
 
-def load_exports(raw: DataFrame, root: str, owner_id: str = "default", enable_pii: bool = True) -> None:
+def load_exports(raw: DataFrame, root: str, owner_id: str = "default", enable_pii: bool = True,
+                 load_id: str | None = None, words: bool = False) -> None:
     """Write raw conversations into the tables under ``root``; repeating it adds no message.
 
     Archives are read once and messages normalised once: both results are written
     to shared storage before they are split. What cannot be stored is kept, with
-    its reason, in ``load_rejects``.
+    its reason, in ``load_rejects``. A load with an id that has been here before is taken
+    for a repetition and replaces the earlier attempt. With ``words`` the stored vocabulary
+    is extended by the words of the new messages.
     """
-    spark = raw.sparkSession
+    spark, load_id = raw.sparkSession, load_id or uuid.uuid4().hex
     with dropped_scratch(spark):
         parsed, rejects = parse_exports(write_scratch(raw, "raw_exports"))
         messages = write_scratch(normalise_messages(explode_messages(parsed), enable_pii=enable_pii), "normalised")
         valid, quarantine = split_valid(messages)
-        new = insert_ignore(read_table(spark, root, "messages"), valid, order=["archive", "ordinal", "position"])
-        append_conversations(project_conversations(parsed, owner_id), root)
-        append_table(new, root, "messages")
-        append_new_rejects(rejects, root)
-        append_new_rejects(quarantine.withColumn("reason", F.array_join("reason", ", ")), root)
+        stored = key_partitions(spark, root, "messages", valid, load_id)
+        new = insert_ignore(stored, valid, order=["archive", "ordinal", "position"])
+        append_conversations(project_conversations(parsed, owner_id), root, load_id)
+        append_table(new, root, "messages", load_id)
+        refused = rejects.select("*", *[F.lit(None).cast("string").alias(c) for c in ("conv_id", "msg_id")]).unionByName(
+            quarantine.select("archive", "ordinal", F.array_join("reason", ", ").alias("reason"), "conv_id", "msg_id"))
+        append_new_rejects(refused, root, load_id)
+        if words:
+            added = read_loads(spark, root, "messages").where(F.col(LOAD) == load_id)
+            known = read_loads(spark, root, "vocabulary").where(F.col(LOAD) != load_id)
+            append_table(new_words(known, added), root, "vocabulary", load_id)
 
 
-def append_new_rejects(rejects: DataFrame, root: str) -> None:
-    """Keep rejected rows that are not kept already, so that a replayed batch adds none."""
-    stored = read_table(rejects.sparkSession, root, "load_rejects")
-    known = [c for c in stored.columns if c in rejects.columns]
-    same = [rejects[c].eqNullSafe(stored[c]) for c in known]
-    append_table(rejects.join(stored, same, "left_anti"), root, "load_rejects")
+def append_new_rejects(rejects: DataFrame, root: str, load_id: str) -> None:
+    """Keep rejected rows that no other load has kept already, so that an archive imported twice adds none."""
+    stored = read_loads(rejects.sparkSession, root, "load_rejects").where(F.col(LOAD) != load_id).drop(LOAD)
+    same = [rejects[c].eqNullSafe(stored[c]) for c in stored.columns]
+    append_table(rejects.join(stored, same, "left_anti"), root, "load_rejects", load_id)
 
 
-def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, owner_id: str = "default",
-                  enable_pii: bool = True, max_files: int = 1000) -> StreamingQuery:
-    """Import every archive dropped into ``folder`` once.
+def _load_of(checkpoint: str, batch: int) -> str:
+    return f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}-{batch:012d}"
 
-    The stream carries file names only; a batch replayed after a failure finds its
-    keys already present and adds nothing.
-    """
+
+def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str, owner_id: str = "default",
+                  enable_pii: bool = True, max_files: int = 1000, words: bool = False) -> StreamingQuery:
+    """Import every archive dropped into ``folder`` once. The stream carries file names only."""
     ensure_schema(spark, root)
     arrivals = (
         spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", max_files).load(folder)
@@ -55,7 +72,8 @@ def stream_ingest(spark: SparkSession, folder: str, root: str, checkpoint: str,
     )
     return (
         arrivals.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-        .foreachBatch(lambda files, _: load_exports(read_listed(files), root, owner_id, enable_pii))
+        .foreachBatch(lambda files, batch: load_exports(read_listed(files), root, owner_id, enable_pii,
+                                                        _load_of(checkpoint, batch), words))
         .start()
     )
 
@@ -64,14 +82,16 @@ def stream_embed(spark: SparkSession, root: str, checkpoint: str, embedder, dim:
                  retries: int = 3, delay: float = 60.0) -> StreamingQuery:
     """Embed messages as they are appended; messages with an embedding are skipped."""
     ensure_schema(spark, root)
-    messages = read_table(spark, root, "messages")
-    arrivals = spark.readStream.schema(messages.schema).parquet(location(root, "messages")) \
-        .select("conv_id", "msg_id", "text")
-
-    def embed(batch: DataFrame, _: int) -> None:
-        done = read_table(spark, root, "message_embeddings")
-        fresh = embed_messages(batch, done, embedder, dim, model, retries, delay)
-        append_table(fresh.withColumn("created_at", F.current_timestamp()), root, "message_embeddings")
+    schema = read_loads(spark, root, "messages").schema
+    arrivals = spark.readStream.schema(schema).parquet(location(root, "messages")).select("conv_id", "msg_id", "text")
+
+    def embed(batch: DataFrame, number: int) -> None:
+        load_id = _load_of(checkpoint, number)
+        with dropped_scratch(spark):
+            arrived = write_scratch(batch.dropDuplicates(["conv_id", "msg_id"]), "arrived")
+            done = key_partitions(spark, root, "message_embeddings", arrived, load_id)
+            fresh = embed_messages(arrived, done, embedder, dim, model, retries, delay)
+            append_table(fresh.withColumn("created_at", F.current_timestamp()), root, "message_embeddings", load_id)
 
     return arrivals.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True) \
         .foreachBatch(embed).start()
