@@ -11,7 +11,8 @@ partition are matched across partitions.
 
 Defined cases: null texts count as empty, and all texts without words have the same
 fingerprint; the single document of a table is its own next; equal ids follow each other
-by text; null ids come last.
+by the text's digest; null ids come last; repeated rows stay; a very long text is one row like
+any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -82,9 +83,11 @@ def compared(texts: list[str], following: list[str], randoms: sketches.Randoms,
 def with_edits(docs: DataFrame, functions: int = FUNCTIONS, order: int = ORDER) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    by = [F.col("doc_id").desc_nulls_last(), F.col("body")]
-    ranged = docs.select("doc_id", text_of().alias("body")).repartitionByRange(F.col("doc_id").desc_nulls_last()) \
-        .sortWithinPartitions(*by)
+    # Rows of one id, and equal rows, are dealt over several ranges too.
+    by = [F.col("doc_id").desc_nulls_last(), F.col("digest"), F.col("row_no")]
+    rows = docs.select("doc_id", text_of().alias("body"), F.md5(text_of()).alias("digest"),
+                       F.monotonically_increasing_id().alias("row_no"))
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "body")
     schema = f"edge string, part int, doc_id {kind}, body string, {RESULT}"
     names = ["edge", "part", "doc_id", "body", *BLANK]
 
