@@ -6,16 +6,18 @@ menu entry counts with its menu. The ratios are smoothed over neighbouring block
 fused into one score and cut at a threshold taken from their spread. The blocks above
 it are content and point out the elements of the article: all article elements that hold
 such blocks, or else the least element that holds all of them. Content and the shorter
-blocks in those elements are returned, without the parts that are page furniture by their tag or role, or that consist of links. Class and id
-words of furniture are a prior: they lower the scores of what stands in the element, unless
-it holds an article or most of the text.
+blocks in those elements are returned, without the parts that are page furniture by their tag
+or role, or that consist of links. Class and id words of furniture are a prior: they lower the
+scores of what stands in the element, unless it holds an article or most of the text. Forms,
+and elements with a class or id word of reader comments or adverts, go as a whole, inside an
+article too, under the same condition. The header of an article belongs to it.
 
 A page is one row and is read in one pass with work in proportion to its length.
 
 Defined cases: null and empty html give an empty text; broken, unclosed and deeply
 nested markup is read as far as it goes (an unfinished tag at the end is dropped);
-repeated rows are read each on their own; other columns are carried along and ``text``
-and ``n_chars`` replace columns of the same name.
+repeated rows are read each on their own; an empty table gives an empty result; other columns
+are carried along and ``text`` and ``n_chars`` replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
           "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
           "time", "tt", "u", "var", "img", "wbr"}
-FURNITURE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "svg",
+FURNITURE = {"head", "nav", "header", "footer", "aside", "button", "select", "option", "dialog", "menu", "svg",
              "object", "canvas", "audio", "video", "map", "figure-nav"} | RAW
 FURNITURE_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog",
                   "form", "menu", "menubar"}
@@ -46,9 +48,12 @@ HINT_WORD = (
     r"cookie|cookies|consent|gdpr|notice|notification|alert|disclaimer|sidebar|side|aside|widget|widgets|menu|nav|navbar|"
     r"navigation|breadcrumb|breadcrumbs|header|masthead|topbar|toolbar|footer|copyright|colophon|comment|comments|"
     r"commentlist|disqus|reply|replies|respond|reactions|share|sharing|social|follow|related|recommended|recommendations|"
-    r"more-stories|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|tagcloud|skip|hidden)")
+    r"more-stories|newsletter|subscribe|subscription|signup|login|search|pagination|pager|tags|tagcloud|teaser|teasers|skip|hidden)")
 # A class or id of these words only: "cookie-notice", but neither "has-sidebar" nor "overflow-hidden".
 HINT = re.compile(rf"(?:^|\s){HINT_WORD}(?:[-_]+{HINT_WORD})*(?=\s|$)")
+# A class or id with one of these among its parts: "comment-list", "user-comments", "ad-slot".
+APART = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|sponsor|sponsored|comment|comments|commentlist|disqus|replies)"
+                   r"(?=[\s_-]|$)")
 PRIOR = 0.1  # what such a class leaves of a block's score
 ARTICLE = {"article", "main"}
 # What an opening tag closes, with all that is open inside: the first of these groups found within the nearest scope.
@@ -60,7 +65,7 @@ MARKS = ".,;:!?…。，、！？"
 
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|--!>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"""
                  r"""(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*+)>|(?P<loose_end>/?)(?P<loose>[a-zA-Z][^\s/>]*+)[^>]*+>|"""
-                 r"""[!?/][^>]*+>|(?P<cut>/?[a-zA-Z][^>]*\Z))""", re.S)
+                 r"""[!?/][^>]*+>|(?P<cut>[!?/a-zA-Z][^>]*+\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:(?P<key>class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?)""",
                        re.I)
 
@@ -76,7 +81,8 @@ class Page:
     """Blocks of a page with their paths and elements."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.furniture, self.named = [-1], ["#"], [False], [False]
+        self.parent, self.tag, self.furniture, self.named, self.apart = [-1], ["#"], [False], [False], [False]
+        self.articles = 0  # open article elements
         self.paths: dict[tuple[int, str], int] = {}
         self.path = [0]
         self.blocks: list[Block] = []
@@ -133,8 +139,8 @@ class Page:
         elif self.tag[self.open[-1]] == "p":
             self._close(len(self.open) - 1)
         above = self.open[-1]
-        hint, named = "", False
-        furniture = self.furniture[above] or name in FURNITURE
+        hint, named, apart = "", False, name == "form"
+        furniture = self.furniture[above] or name in FURNITURE and not (name == "header" and self.articles)
         if attributes:
             for key, *values in ATTRIBUTE.findall(attributes):
                 value = "".join(values).lower()
@@ -146,10 +152,13 @@ class Page:
                 elif key in ("class", "id"):
                     hint += "." + value
                     named = named or bool(HINT.search(value))
+                    apart = apart or bool(APART.search(value)) and name not in ("html", "body", "main")
         self.parent.append(above)
         self.tag.append(name)
         self.furniture.append(furniture)
-        self.named.append(named and name not in ARTICLE and name not in ("html", "body"))
+        self.named.append(named and name not in ("main", "html", "body"))
+        self.apart.append(apart)
+        self.articles += name in ARTICLE
         self.path.append(self.paths.setdefault((self.path[above], name + hint), len(self.paths) + 1))
         self.places.setdefault(name, []).append(len(self.open))
         self.open.append(len(self.tag) - 1)
@@ -170,23 +179,31 @@ class Page:
     def _close(self, depth: int) -> None:
         for element in self.open[depth:]:
             self.places[self.tag[element]].pop()
+            self.articles -= self.tag[element] in ARTICLE
         del self.open[depth:]
 
 
-def hinted(page: Page, blocks: list[Block]) -> np.ndarray:
-    """Which blocks stand in an element with a furniture class that holds no article or, on a page without, not most of the text."""
-    chars, holds = np.zeros(len(page.tag)), np.zeros(len(page.tag), dtype=bool)
+def set_apart(page: Page, blocks: list[Block], marks: list[bool], strictly: bool) -> np.ndarray:
+    """Which blocks stand in a marked element that holds no article and not most of the text.
+
+    Without ``strictly`` the share of the text counts only for article elements, and for all on a
+    page without any. An article element is none here if it is marked itself and holds little.
+    """
+    chars = np.zeros(len(page.tag))
     for block in blocks:
         chars[block.element] += len(block.text)
     for element in range(len(page.tag) - 1, 0, -1):
-        above = page.parent[element]
-        chars[above] += chars[element]
-        holds[above] |= holds[element] or page.tag[element] in ARTICLE and chars[element] > 0
-    marked = np.zeros(len(page.tag), dtype=bool)
+        chars[page.parent[element]] += chars[element]
+    little = 2 * chars <= chars[0]
+    article = [tag in ARTICLE and chars[e] > 0 and not (marks[e] and little[e]) for e, tag in enumerate(page.tag)]
+    holds = list(article)
+    for element in range(len(page.tag) - 1, 0, -1):
+        holds[page.parent[element]] = holds[page.parent[element]] or holds[element]
+    found = np.zeros(len(page.tag), dtype=bool)
     for element in range(1, len(page.tag)):
-        own = page.named[element] and not holds[element] and (holds[0] or 2 * chars[element] <= chars[0])
-        marked[element] = marked[page.parent[element]] or own
-    return marked[[b.element for b in blocks]]
+        free = little[element] or not strictly and holds[0] and page.tag[element] not in ARTICLE
+        found[element] = found[page.parent[element]] or marks[element] and not holds[element] and free
+    return found[[b.element for b in blocks]]
 
 
 def path_scores(page: Page, blocks: list[Block]) -> np.ndarray:
@@ -213,9 +230,10 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     blocks = [b for b in page.blocks if not page.furniture[b.element]]
+    blocks = [b for b, gone in zip(blocks, set_apart(page, blocks, page.apart, True)) if not gone]
     if not blocks:
         return ""
-    marked = hinted(page, blocks)
+    marked = set_apart(page, blocks, page.named, False)
     scores = path_scores(page, blocks) * np.where(marked, PRIOR, 1)
     content = scores >= min(scores.std(), 0.5 * scores.max()) if len(blocks) > 1 else scores >= 0
     inside = _region(page, blocks, content)
@@ -237,6 +255,8 @@ def _region(page: Page, blocks: list[Block], content: np.ndarray) -> np.ndarray:
     for element in range(len(weight) - 1, 0, -1):
         weight[page.parent[element]] += weight[element]
     inside = np.array([tag in ARTICLE for tag in page.tag]) & ~np.array(page.furniture) & (weight > 0)
+    # Of several article elements one with a furniture class and little of the content is a teaser.
+    inside &= ~(np.array(page.named) & (2 * weight <= weight[0]))
     if not inside.any():
         inside[max(np.flatnonzero(weight == weight[0]))] = True
     for element in range(1, len(inside)):
