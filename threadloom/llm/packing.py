@@ -9,16 +9,18 @@ place that the patterns reserve for it.
 
 ``plan_sequences`` is bin completion: it takes the largest length left, enumerates
 undominated fillings of the room beside it, least waste first, applies a filling as
-often as the counts allow, and backtracks where the waste so far already exceeds what
-an improvement could afford. Best-fit decreasing gives the first incumbent and the
-finish of branches; the search ends at the lower bound or after ``max_nodes``
-nodes, which bounds the effort, not the pieces that are placed.
-
-Ranks within a length come from slabs of about ``SLAB_ROWS`` pieces, so a length shared
-by a third of all rows is split like any other data.
-
-Defined cases: null and empty texts are one piece holding the end id; an empty table
-gives no rows; repeated rows and equal or null ids are packed each on their own.
+often as the counts allow, or less often, and backtracks where the waste so far already
+exceeds what an improvement could afford. Best-fit decreasing gives the first incumbent and
+the finish of branches. A search looks at ``width`` fillings of a sequence; one that ends
+above the lower bound is repeated twice as wide, until nothing was left out or ``max_nodes``
+nodes are spent, which bounds the effort, not the pieces that are placed.
+
+Ranks within a length come from slabs of about ``SLAB_ROWS`` pieces, dealt by row, so a length
+shared by a third of all rows, or a row repeated that often, is split like any other data.
+
+Defined cases: null and empty texts are one piece holding the end id; a very long text is cut
+like any longer one; an empty table gives no rows; repeated rows and equal or null ids are
+packed each on their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,21 +76,21 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, with_ids: boo
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, with_ids: bool = False,
-         max_nodes: int = 2000, **paths: str) -> DataFrame:
+         max_nodes: int = 4000, **paths: str) -> DataFrame:
     """Every piece with its sequence_id and its offset there."""
-    cut = write_scratch(pieces(docs, capacity, end_id, with_ids, **paths), "pieces")
+    cut = write_scratch(pieces(docs, capacity, end_id, with_ids, **paths).withColumn("row_no", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = reserved(plan_sequences(counts, capacity, max_nodes))
     slots = docs.sparkSession.createDataFrame(
         places, "length long, low long, high long, each long, first_id long, first_offset long")
     inside = F.col("rank") - F.col("low")
-    # At most 45 lengths in each of at most ``capacity`` patterns: a bounded table.
+    # At most 45 lengths in each of some thousand patterns, which ``capacity`` and ``max_nodes`` bound.
     return (
         _ranked(cut, counts, capacity).join(F.broadcast(slots), "length")
         .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         .withColumn("sequence_id", F.col("first_id") + F.floor(inside / F.col("each")))
         .withColumn("offset", F.col("first_offset") + inside % F.col("each") * F.col("length"))
-        .select(*cut.columns, "sequence_id", "offset")
+        .select(*cut.columns, "sequence_id", "offset").drop("row_no")
     )
 
 
@@ -96,11 +98,11 @@ def _ranked(cut: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
     """Pieces with ``rank``, numbered from 0 within their length."""
     slabs = F.lit([0] + [-(-counts.get(n, 0) // SLAB_ROWS) or 1 for n in range(1, capacity + 1)])
     rows = cut.withColumn("slab", F.pmod(
-        F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(slabs, F.col("length").cast("int")).cast("long")))
+        F.xxhash64("row_no"), F.get(slabs, F.col("length").cast("int")).cast("long")))
     before = Window.partitionBy("length").orderBy("slab").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("length", "slab").agg(F.count("*").alias("n")) \
         .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("length", "slab").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = Window.partitionBy("length", "slab").orderBy("doc_id", "piece", "start", "ids_crc32", "row_no")
     return rows.withColumn("nth", F.row_number().over(inside) - 1).join(bases, ["length", "slab"]) \
         .withColumn("rank", F.col("base") + F.col("nth")).drop("slab", "base", "nth")
 
@@ -172,8 +174,8 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, width: int) -> list[Pattern]:
-    """Up to ``width`` undominated fillings of ``room``, least waste first, wasting at most ``waste``.
+def fillings(counts: dict[int, int], room: int, waste: int, width: int) -> tuple[list[Pattern], bool]:
+    """Up to ``width`` undominated fillings of ``room``, least waste first, wasting at most ``waste``; whether these are all.
 
     Tries the ``width`` largest sums that can be reached, a few fillings of each.
     """
@@ -203,7 +205,7 @@ def fillings(counts: dict[int, int], room: int, waste: int, width: int) -> list[
                 if reach[i - 1] >> (left - k * n) & 1:
                     yield from search(i - 1, left - k * n, (*chosen, (n, k)))
 
-    sums = 0
+    sums, whole = 0, True
     for total in range(room, max(-1, room - waste - 1), -1):
         if reach[-1] >> total & 1:
             sums += 1
@@ -211,10 +213,12 @@ def fillings(counts: dict[int, int], room: int, waste: int, width: int) -> list[
                 if not any(_dominates(f, pattern) for f in found):
                     found.append(pattern)
                 if len(found) >= width or tried >= 4 * width:
+                    whole = False
                     break
         if len(found) >= width or sums >= width:
+            whole = False
             break
-    return found
+    return found, whole
 
 
 def _dominates(large: Pattern, small: Pattern) -> bool:
@@ -228,26 +232,52 @@ def _dominates(large: Pattern, small: Pattern) -> bool:
     return True
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, max_nodes: int = 2000,
+def plan_sequences(counts: dict[int, int], capacity: int, max_nodes: int = 4000,
                    width: int = 4) -> list[tuple[Pattern, int]]:
-    """Patterns ((length, pieces), ...) with the number of sequences that follow them."""
-    total = sum(n * c for n, c in counts.items())
-    least = lower_bound(counts, capacity)
+    """Patterns ((length, pieces), ...) with the number of sequences that follow them.
+
+    A search that ends above the lower bound without having tried all fillings and all numbers
+    of sequences for each is run again, twice as wide and with fewer sequences at a time.
+    """
     best = best_fit(counts, capacity)
+    least, nodes, share = lower_bound(counts, capacity), 0, 1
+    while nodes < max_nodes and sum(times for _, times in best) > least:
+        # The first search gets half of the nodes, the others an eighth each.
+        best, used, complete = _completed(counts, capacity, best, least, max_nodes // (8 if nodes else 2), width, share)
+        nodes += used
+        if complete:
+            break
+        width, share = 2 * width, 2 * share
+    return best
+
+
+def _completed(counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]], least: int, max_nodes: int, width: int,
+               share: int) -> tuple[list[tuple[Pattern, int]], int, bool]:
+    """The best plan of one search, its nodes, and whether nothing was left out. A filling is applied to 1 / ``share`` of what fits first."""
+    total = sum(n * c for n, c in counts.items())
     size = sum(times for _, times in best)
     left = {n: c for n, c in counts.items() if c}
     path: list[tuple[Pattern, int]] = []
-    stack: list[list[Pattern]] = []
+    stack: list[list[tuple[Pattern, int]]] = []
     used = wasted = nodes = 0
+    complete = True
 
     def afford() -> int:
         return (size - 1) * capacity - total - wasted
 
-    def options() -> list[Pattern]:
+    def options() -> list[tuple[Pattern, int]]:
+        nonlocal complete
         large = max(left)
         left[large] -= 1
-        out = [_with(f, large) for f in fillings(left, capacity - large, afford(), width)]
+        found, whole = fillings(left, capacity - large, afford(), width)
         left[large] += 1
+        out = []
+        for pattern in (_with(f, large) for f in found):
+            most = min(left[n] // k for n, k in pattern)
+            times = {max(1, most // share), max(1, most // (2 * share)), 1}
+            whole = whole and len(times) == most
+            out += [(pattern, t) for t in sorted(times, reverse=True)]
+        complete = complete and whole
         return out[::-1]
 
     while size > least and nodes < max_nodes:
@@ -274,9 +304,8 @@ def plan_sequences(counts: dict[int, int], capacity: int, max_nodes: int = 2000,
                 for n, k in pattern:
                     left[n] = left.get(n, 0) + k * times
         if not stack:
-            break
-        pattern = stack[-1].pop()
-        times = min(left[n] // k for n, k in pattern)
+            return best, nodes, complete
+        pattern, times = stack[-1].pop()
         path.append((pattern, times))
         used += times
         wasted += times * (capacity - sum(n * k for n, k in pattern))
@@ -284,7 +313,7 @@ def plan_sequences(counts: dict[int, int], capacity: int, max_nodes: int = 2000,
             left[n] -= k * times
             if not left[n]:
                 del left[n]
-    return best
+    return best, nodes, False
 
 
 def _with(filling: Pattern, length: int) -> Pattern:
