@@ -6,20 +6,25 @@ document, are then fitted so that the expected token total of every domain,
 sum of rate x tokens x posterior, meets its target in least squares.
 
 The fit is projected gradient descent from rate 1 in the metric of the domains'
-second moments M = sum n p p': each step is y = M^-1 (totals - targets), then
-rate <- max(0, rate - p.y). The step is the exact one as long as no rate is clipped. A rate
+second moments M = sum n p p' over the rates that are not clipped: each step is
+y = M^-1 (totals - targets), then rate <- max(0, rate - p.y), and half of it if that came no
+nearer. The step is the exact one as long as no other rate is clipped. A rate
 depends on the document's posterior and on the few vectors y alone, so an iteration is one
 aggregation of narrow rows, nothing is kept per document between iterations, and rates
 are applied to the texts without a join.
 
 ``SAMPLE`` bounds the labelled rows that the classifier is fitted on, drawn by a hash of
-the id; posteriors, totals and rates cover all documents.
+the id, one text for each id (the least); posteriors, totals and rates cover all documents.
+``misfit`` is the largest share of the tokens by which a domain misses its target after the
+last step: targets that no nonnegative rates can meet leave it above ``tolerance``.
 
 Defined cases: null and empty texts have the prior of their few features and no tokens;
 rows with null labels are not used; labels of unknown ids do nothing; documents repeated
 or with equal ids are rated each on their own; without labels there is one domain and all
 rates are the same; a target for a domain that no label has counts as absent, and the
-remaining targets are scaled to sum to 1.
+remaining targets are scaled to sum to 1; an empty table gives an empty result; a very long
+text is one row like any other; other columns are ignored, and ``mixed`` returns them under
+their names.
 """
 
 from __future__ import annotations
@@ -50,6 +55,7 @@ class Mixture:
     domains: list[str]
     weights: np.ndarray
     steps: list[list[float]] = field(default_factory=list)
+    misfit: float = 0.0
 
 
 def features(texts: list[str | None], randoms: sketches.Randoms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,8 +148,10 @@ def classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mixt
     total = named.count()
     share = min(1.0, sample / max(total, 1))
     chosen = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    # At most about ``sample`` short rows.
-    read = docs.select("doc_id", text_of().alias("body")).join(F.broadcast(chosen), "doc_id").select("domain", "body")
+    # One text for each chosen id, however often the id stands in ``docs``: at most about ``sample`` short rows.
+    bodies = docs.select("doc_id", text_of().alias("body")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id") \
+        .groupBy("doc_id").agg(F.min("body").alias("body"))
+    read = bodies.join(F.broadcast(chosen), "doc_id").select("domain", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
@@ -198,7 +206,7 @@ def rate_of(p: Column, model: Mixture) -> Column:
 
 def fit_rates(members: DataFrame, model: Mixture, targets: dict[str, float], most_steps: int = 40,
               tolerance: float = 1e-6) -> list[float]:
-    """Add the steps to ``model``; the relative error that remains in each domain."""
+    """Add the steps to ``model``; the error that remains in each domain, as a share of all tokens."""
     domains = range(len(model.domains))
     wanted = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
     wanted = wanted / wanted.sum() if wanted.sum() else np.full(len(wanted), 1 / len(wanted))
@@ -212,15 +220,28 @@ def fit_rates(members: DataFrame, model: Mixture, targets: dict[str, float], mos
     for (a, b), value in zip(pairs, moments[1:]):
         metric[a, b] = metric[b, a] = value / total
     inverse = np.linalg.pinv(metric, rcond=1e-9)
-    error = np.zeros(len(wanted))
-    for _ in range(most_steps):
-        sums = members.select(rate_of(F.col("p"), model).alias("r"), "n_tokens", "p").agg(
-            *[F.sum(F.col("r") * F.col("n_tokens") * p(k)) for k in domains]).first()
-        error = np.array(sums, dtype=float) / total - wanted
-        if np.abs(error).max() < tolerance:
-            break
-        model.steps.append((inverse @ error).tolist())
-    return error.tolist()
+    held, direction, scale, norm = np.zeros(len(wanted)), None, 1.0, np.inf
+    for step in range(most_steps + 1):
+        rated = members.select(rate_of(F.col("p"), model).alias("r"), "n_tokens", "p")
+        free = F.when(F.col("r") > 0, F.col("n_tokens"))
+        sums = rated.agg(*[F.sum(F.col("r") * F.col("n_tokens") * p(k)) for k in domains],
+                         *[F.sum(free * p(a) * p(b)) for a, b in pairs]).first()
+        error = np.array(sums[:len(wanted)], dtype=float) / total - wanted
+        model.misfit = float(np.abs(error).max())
+        if model.misfit < tolerance or step == most_steps:
+            return error.tolist()
+        if direction is not None and np.linalg.norm(error) >= norm and scale > 1 / 32:
+            # Too far: half of the last step.
+            scale /= 2
+            model.steps[-1] = (scale * direction).tolist()
+            continue
+        held, norm, scale = error, np.linalg.norm(error), 1.0
+        if model.steps:  # the metric of the rates that are not clipped
+            for (a, b), value in zip(pairs, sums[len(wanted):]):
+                metric[a, b] = metric[b, a] = (value or 0.0) / total
+            inverse = np.linalg.pinv(metric, rcond=1e-9)
+        direction = inverse @ held
+        model.steps.append(direction.tolist())
 
 
 def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
@@ -240,12 +261,12 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
                    sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_tokens, domain (likeliest), posterior (of that), rate, copies of every row."""
+    """doc_id, n_tokens, domain (likeliest), posterior (of that), rate, copies, misfit (of all rates) of every row."""
     model, members = fitted(docs, labels, targets, sample)
     best = F.array_max("p")
     return members.withColumn("rate", rate_of(F.col("p"), model)).select(
         "doc_id", "n_tokens", F.get(F.array(*map(F.lit, model.domains)), F.array_position("p", best).cast("int") - 1).alias("domain"),
-        best.alias("posterior"), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+        best.alias("posterior"), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(model.misfit).alias("misfit"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, sample: int = SAMPLE) -> DataFrame:
