@@ -221,6 +221,41 @@ def test_rates_meet_targets(spark):
     assert np.mean([likeliest[i] == d for i, d in truth.items()]) > 0.85
 
 
+def plain_rates(p, n, wanted, steps=20_000):
+    """Nonnegative rates nearest to 1 in no particular metric: plain projected gradient descent, many small steps."""
+    rate, total = np.ones(len(p)), n.sum()
+    size = 0.5 / np.linalg.norm((p * (n / total)[:, None]).T @ p, 2)
+    for _ in range(steps):
+        rate = np.maximum(0, rate - size * p @ ((rate * n) @ p / total - wanted))
+    return rate
+
+
+@pytest.mark.parametrize("wanted", [[0.6, 0.3, 0.1], [0.05, 0.05, 0.9], [1.0, 0.0, 0.0]])
+def test_rates_against_an_independent_solver(spark, wanted):
+    """Posteriors that overlap, so that rates are clipped and some targets cannot be met."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.4, 0.4, 0.2], 80)
+    n = rng.integers(1, 50, 80)
+    members = spark.createDataFrame([(i, int(k), [float(x) for x in row]) for i, (k, row) in enumerate(zip(n, p))],
+                                    "doc_id long, n_tokens long, p array<double>")
+    model = mixing.Mixture(["a", "b", "c"], np.zeros((1, 3)))
+    error = mixing.fit_rates(members, model, dict(zip("abc", wanted)), most_steps=400)
+    rates = members.withColumn("rate", mixing.rate_of(F.col("p"), model)).orderBy("doc_id").toPandas()["rate"].to_numpy()
+    best = plain_rates(p, n, np.array(wanted))
+    miss = lambda r: np.linalg.norm((r * n) @ p / n.sum() - wanted)
+    met = miss(best) < 1e-3  # the last targets cannot be met: the steps then only come near the least error
+    assert rates.min() >= 0 and miss(rates) <= miss(best) + (2e-3 if met else 2e-2) and (model.misfit > 1e-3) == (not met)
+    assert model.misfit == pytest.approx(max(map(abs, error))) and np.allclose((rates * n) @ p / n.sum() - wanted, error, atol=1e-9)
+    assert rates.min() == 0 or wanted == [0.6, 0.3, 0.1]
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.when(F.col("id") % 2 == 0, "bad text").otherwise("fine text")).alias("text"))
+    often = once.union(once.where("doc_id = 3").crossJoin(spark.range(500).select(F.lit(1).alias("one"))).drop("one"))
+    assert (mixing.classifier(once, labels).weights == mixing.classifier(often, labels).weights).all()
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == [

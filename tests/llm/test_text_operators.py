@@ -196,6 +196,15 @@ def test_plans_are_valid_and_least():
     assert packing.cut_points(25, 10) == [0, 5, 15] and packing.cut_points(20, 10) == [0, 10] and packing.cut_points(3, 10) == [0]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_bin_completion_beats_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    sizes = np.clip(rng.lognormal(5.6, 0.8, 3000), 1, 1024) if seed < 4 else rng.integers(100, 700, 1500)
+    counts = dict(collections.Counter(int(n) for n in sizes))
+    number = lambda plan: sum(times for _, times in plan)
+    assert packing.lower_bound(counts, 1024) <= number(packing.plan_sequences(counts, 1024)) < number(packing.best_fit(counts, 1024))
+
+
 def test_fingerprints_of_edits(documents, texts):
     rows = {r.doc_id: r for r in fingerprints.with_edits(documents.repartition(3)).collect()}
     order = sorted(texts, reverse=True)
@@ -214,6 +223,19 @@ def test_fingerprints_of_edits(documents, texts):
     assert np.mean([r.near_edited for r in long]) > 0.15 > 0.02 > np.mean([r.near_next for r in long])
 
 
+def test_fingerprints_of_repeated_ids(spark):
+    """One id, or none, for a third of the rows: every row has its next, and no range holds them all."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i // 6 % 7} with some words") for i in range(300)]
+    got = fingerprints.with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == collections.Counter((i, len(t)) for i, t in rows)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    changed = collections.Counter()
+    for (_, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        third = len(text) // 3
+        changed[hashlib.sha256((text[:len(text) - third] + after[:third]).encode()).hexdigest()] += 1
+    assert collections.Counter(r.edited_sha256 for r in got) == changed
+
+
 def naive_signature(text, function, order, randoms):
     """Order MinHash of one text by its definition, over the same random numbers."""
     words = text.encode().split()

@@ -10,7 +10,8 @@ conversations the one with the least id. Retained turns are rendered, one row ea
 Defined cases: turns are ordered by ``turn`` (null first), then role, then text; a null
 role or text differs from an empty one in the hash and renders as empty; a conversation
 whose id is null is one conversation; rows repeated within a conversation are turns of
-it like others; an empty table gives no rows.
+it like others; a very long text or conversation is hashed turn by turn like any other; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

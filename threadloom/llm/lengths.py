@@ -6,7 +6,8 @@ longer lengths (suffix sums) then answer, for every limit, how many documents fi
 many are cut and how many tokens remain.
 
 Defined cases: null and empty texts have length ``end_tokens``; an empty table gives
-an empty histogram; repeated rows count each.
+an empty histogram; repeated rows count each; a very long text is one row like any other;
+other columns are ignored.
 """
 
 from __future__ import annotations

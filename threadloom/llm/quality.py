@@ -14,7 +14,8 @@ Line rules, in the order in which they are tried:
                  mostly repeat the word before
 
 Defined cases: a null text counts as empty; a text without words has no lines to
-judge and fails for its length; repeated rows are judged each on its own; every
+judge and fails for its length; repeated rows are judged each on its own; a very long text
+is one row like any other; an empty table gives an empty result; every
 input column is carried along, new columns replace ones of the same name.
 """
 

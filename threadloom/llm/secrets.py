@@ -11,7 +11,8 @@ full of parts costs no more than its length.
 Defined cases: a null text counts as empty; equal texts have equal spans, so parts are
 keyed by a digest of the text and repeated rows or equal ids do no harm; a weak
 candidate inside a strong span is not reported again; spans are in code points, end
-exclusive.
+exclusive; an empty table gives an empty result; the columns that an operator adds replace
+input columns of the same name, others are carried along.
 """
 
 from __future__ import annotations
