@@ -1,11 +1,18 @@
-"""The corpus pipeline: stages from raw documents to packed training sequences."""
+"""The corpus pipeline: stages from raw documents to packed training sequences.
+
+Defined cases, for every stage: a null text counts as empty (and is too short for the quality
+rules); very long texts are rows like others; of rows equal in id and text near dedup keeps one,
+the other stages treat repeated rows and equal or null ids each on their own; ties follow the
+operators' docstrings; an empty table gives an empty one; other columns are carried along to the
+last stage under their names, whatever an operator calls its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import mixing, near_dup, packing, quality, secrets
-from threadloom.session import scratch_path
+from threadloom.session import dropped_scratch, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with dropped_scratch(spark):  # what a stage wrote on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
