@@ -97,7 +97,21 @@ def test_index_holds_every_vector_and_finds_most(spark, tmp_path):
     again = cells.open_index(spark, str(tmp_path / "index"), ["vec_id"])
     whole = cells.search_index(again, asked, 10, probes=len(again.centres))
     key = lambda rows: {(r.query_id, r.rank, r.vec_id, r.score) for r in rows.collect()}
-    assert np.allclose(again.centres, index.centres) and key(whole) == key(exact)
+    assert np.allclose(again.centres, index.centres) and again.probes == index.probes and key(whole) == key(exact)
+
+
+def test_probes_follow_the_wanted_recall(spark, tmp_path):
+    """Vectors without clusters: most of the cells have to be probed, and are."""
+    vectors = table(spark, np.random.default_rng(5).normal(size=(1200, 16)))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = vx.vector_search(vectors, asked, 10, ["vec_id"])
+    probes = []
+    for recall in (0.5, 0.95):
+        index = cells.build_index(vectors, str(tmp_path / str(recall)), ids=["vec_id"], cells=20, recall=recall)
+        rows = cells.search_quality(index, asked, exact, 10).collect()
+        assert sum(r.found for r in rows) >= (recall - 0.05) * 600
+        probes.append(index.probes)
+    assert probes[0] < probes[1] <= 20
 
 
 def test_index_grows(spark, tmp_path):
