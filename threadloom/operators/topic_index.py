@@ -23,6 +23,7 @@ from threadloom.session import join_texts, write_scratch
 
 SAMPLES = 8
 LEVELS = 16
+STEP = 4
 SLOT = 3600
 # The row that counts all messages of a block: no topic has an empty label.
 ALL = ""
@@ -53,12 +54,16 @@ def _merged() -> list[Column]:
 
 def write_topics(messages: DataFrame, path: str, load_id: str) -> None:
     """Add the words of ``messages`` to all levels of the index, in place of an earlier attempt of the load."""
-    level = _counted(messages, _slot(F.col("ts"))).withColumnRenamed("b0", "block")
-    for number in range(LEVELS):
-        if number:
-            level = level.groupBy(F.shiftright("block", 1).alias("block"), "label").agg(*_merged())
-        level.repartitionByRange("block", "label").write.mode("overwrite").parquet(f"{path}/level={number:02d}/load_id={load_id}")
-        level = messages.sparkSession.read.schema(level.schema).parquet(f"{path}/level={number:02d}/load_id={load_id}")
+    place, spark = f"{path}/load_id={load_id}", messages.sparkSession
+    base = _counted(messages, _slot(F.col("ts"))).withColumnRenamed("b0", "block")
+    for first in range(0, LEVELS, STEP):
+        # Some levels at a time, from the last one of those before.
+        steps = F.sequence(F.lit(0 if not first else 1), F.lit(STEP - 1 if not first else STEP))
+        rows = base.select("*", F.explode(steps).alias("up")).groupBy(
+            (F.col("up") + max(first - 1, 0)).alias("level"), F.expr("shiftright(block, up)").alias("block"), "label").agg(*_merged())
+        rows = rows.where(F.col("level") < LEVELS)
+        rows.repartitionByRange("level", "block", "label").write.mode("append" if first else "overwrite").partitionBy("level").parquet(place)
+        base = spark.read.schema(rows.schema).parquet(place).where(F.col("level") == first + STEP - 1).drop("level")
 
 
 def cover(first: int, last: int) -> list[tuple[int, int]]:
