@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from threadloom.operators.ordered import running_sum, write_slabs
 from threadloom.operators.threads import BODY, anchor_messages
@@ -56,8 +56,9 @@ def label_forest(messages: DataFrame) -> DataFrame:
         ahead = tour.select(F.col("step").alias("next"), F.col("next").alias("far"), F.col("entered").alias("more"), F.col("opened").alias("depths"))
         going = tour.where("next IS NOT NULL").join(ahead, "next").select(
             "step", F.col("far").alias("next"), (F.col("entered") + F.col("more")).alias("entered"), (F.col("opened") + F.col("depths")).alias("opened"))
-        tour = write_scratch(going.unionByName(tour.where("next IS NULL")), "tour")
-        if tour.where("next IS NOT NULL").isEmpty():
+        seen = Observation()
+        tour = write_scratch(going.unionByName(tour.where("next IS NULL")).observe(seen, F.count("next").alias("going")), "tour")
+        if not seen.get["going"]:
             break
     done = tour.where("next IS NULL")
     entered = done.where("step % 2 = 0").select((F.col("step") / 2).cast("long").alias("id"), F.col("entered").alias("high"), (-F.col("opened")).alias("depth"))
