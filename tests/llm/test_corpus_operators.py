@@ -103,6 +103,24 @@ def test_scores_by_definition(documents, texts, share):
         assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_the_score_of_the_query_is_the_trees(spark, tmp_path):
+    """Every byte is scored by the tree, so gibberish ranks below text and the order of the words counts."""
+    rng = random.Random(3)
+    lines = ["the old river runs past a quiet mill", "we walk down to the river at dawn", "a mill turns while the river runs"]
+    rows = [(i, " ".join(rng.choice(lines) for _ in range(8))) for i in range(60)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    clean = " ".join(lines)
+    backwards = " ".join(reversed(clean.split()))
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(4)) for _ in clean.split())
+    rows += list(zip(held, [clean, backwards, junk, None]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op3_lm_scores(spark, str(tmp_path)).collect()}
+    tree = PlainTree([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], suffix_tree.LEAST_SHARE)
+    for i, text in rows[:5] + rows[60:]:
+        assert got[i].score == pytest.approx(sum(tree.words(text or "")), rel=1e-5)
+    assert got[held[0]].held_out and got[held[2]].score < got[held[1]].score < got[held[0]].score
+
+
 def test_tree_rows_are_distributions(documents):
     counts = suffix_tree.count_symbols(documents)
     tree = suffix_tree.fit_tree(counts)
@@ -112,6 +130,26 @@ def test_tree_rows_are_distributions(documents):
     assert 1 < tree.n_retained <= len(tree.score) <= suffix_tree.DEPTH / suffix_tree.LEAST_SHARE
 
 
+def test_the_fit_holds_few_cells_at_a_time():
+    """The driver fits the classifier: its memory stays below an array of cells times domains, the weights as they were."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 900, 2000)
+    rows, domains = np.repeat(np.arange(len(sizes)), sizes), 4
+    cells, target = rng.integers(0, 5000, len(rows)), rng.integers(0, domains, len(sizes))
+    tracemalloc.start()
+    got = mixing.fit_softmax(rows, cells, target, domains, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(rows) * domains
+    # After one round every weight has moved by the rate against the sign of its gradient.
+    error = (np.full((len(sizes), domains), 1 / domains) - np.eye(domains)[target]) / len(sizes)
+    for k in range(domains):
+        grad = np.bincount(cells, error[rows, k], 5000)
+        clear = np.abs(grad) > 1e-6
+        assert np.allclose(got[:5000, k][clear], -0.05 * np.sign(grad[clear]), rtol=1e-2)
+
+
 def plain_distance(a, b):
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

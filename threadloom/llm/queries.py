@@ -27,7 +27,8 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents")).select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score")
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("tree_score").alias("score"),
+        F.col("score").alias("event_score"), "spelled_score")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,14 @@ every position of every training text, the byte that follows its context:
 * a position is scored by the longest retained suffix of what stands before it. With all
   prefixes of contexts added as states this is an automaton, run over many stretches of
   text at once;
+* ``tree_score`` is the tree's log10 probability of the whole stream, the sum over all its
+  bytes: every word, known or not, is spelled where it stands. It is the score of the query;
 * with e, the share of training tokens seen once, as the estimate of unseen ones,
   ``spelled_score`` gives a token (1 - e) times its share of the training tokens plus e
   times its spelling by the tree: a distribution over all words, unseen ones spelled;
 * ``score`` has the events of the base score, the training words and one unknown token:
-  the unknown token has e, a known one (1 - e) times the probability above. It is the one
-  to compare with the base; ``spelled_score`` also tells unseen words from gibberish.
+  the unknown token has e, a known one (1 - e) times the probability above. The tree hardly
+  enters it, so the query returns it as ``event_score`` beside the tree's own.
 
 The base score is a unigram model of whole words. Its counts stay in Spark: words with at
 least ``COMMON_SHARE`` of the tokens (at most 1 / COMMON_SHARE words) are broadcast, the
@@ -276,7 +278,7 @@ def token_scores(tree: Tree, group: list[tuple[bytes, int]]) -> np.ndarray:
 
 
 def score(docs: DataFrame, counts: DataFrame, tree: Tree, common_share: float = COMMON_SHARE) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, spelled_score of every row of ``docs``."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, tree_score, score, spelled_score of every row of ``docs``."""
     spark = docs.sparkSession
     words = counts.where(F.col("kind") == WORD).select("key", "n")
     size = words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first()
@@ -289,7 +291,7 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, common_share: float =
     shared = spark.sparkContext.broadcast((tree.classes, tree.step, tree.score, keys[order],
                                            common.column("n").to_numpy()[order]))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    doc = f"struct<doc_id:{kind},n_tokens:bigint,n_known:bigint,base:double,spelled:double>"
+    doc = f"struct<doc_id:{kind},n_tokens:bigint,n_known:bigint,base:double,spelled:double,tree:double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         randoms = sketches.Randoms()
@@ -315,8 +317,8 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, common_share: float =
                 mixed = np.log10((1 - escape) * seen / max(tokens, 1) + escape * 10 ** spelled[hit])
                 details = pa.StructArray.from_arrays(
                     [ids, pa.array(counts + 1), pa.array(known), pa.array(base),
-                     pa.array(np.bincount(owner[hit], mixed, len(group)))],
-                    names=["doc_id", "n_tokens", "n_known", "base", "spelled"])
+                     pa.array(np.bincount(owner[hit], mixed, len(group))), pa.array(np.bincount(owner, spelled, len(group)))],
+                    names=["doc_id", "n_tokens", "n_known", "base", "spelled", "tree"])
                 rows = row + np.arange(len(group))
                 row += len(group)
                 names = ["row", "key", "is_word", "spelled", "doc"]
@@ -343,13 +345,14 @@ def score(docs: DataFrame, counts: DataFrame, tree: Tree, common_share: float =
     summed = met.groupBy("row").agg(
         F.max("doc.doc_id").alias("doc_id"), F.max("doc.n_tokens").alias("n_tokens"),
         (F.max("doc.n_known") + F.count("n")).alias("n_known"),
+        F.max("doc.tree").alias("tree_score"),
         (F.max("doc.base") + F.coalesce(F.sum(base), nothing)).alias("base"),
         (F.max("doc.spelled") + F.coalesce(F.sum(mixed), nothing)).alias("known"), F.coalesce(unseen, nothing).alias("unseen"))
     n_unknown = F.col("n_tokens") - F.col("n_known")
     log = lambda p: F.lit(float(np.log10(p)))
     return summed.select(
         "doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + log(0.5 / scale) * n_unknown).alias("base_score"),
+        (F.col("base") + log(0.5 / scale) * n_unknown).alias("base_score"), "tree_score",
         (F.col("known") + log(1 - escape) * F.col("n_known") + log(escape) * n_unknown).alias("score"),
         (F.col("known") + F.col("unseen")).alias("spelled_score"))
 
