@@ -46,6 +46,7 @@ BUCKETS = 1 << 18
 #: Share of the tokens that each domain, named by its labels, should have.
 TARGETS = {"quality=1,toxic=0": 0.985, "quality=0,toxic=0": 0.005, "quality=1,toxic=1": 0.005, "quality=0,toxic=1": 0.005}
 GROUP_BYTES = 2 << 20
+FIT_CELLS = 1 << 18
 
 
 @dataclass
@@ -116,22 +117,33 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fit_softmax(rows: np.ndarray, buckets: np.ndarray, target: np.ndarray, domains: int, rounds: int = 120,
                 rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
-    """Weights by full-batch Adam. ``rows``/``buckets`` are the set cells of a 0/1 matrix, by row."""
-    used, cell = np.unique(buckets, return_inverse=True)
+    """Weights by full-batch Adam. ``rows``/``buckets`` are the set cells of a 0/1 matrix, by row.
+
+    Runs in the driver, so the rows are taken some at a time: no array of cells times domains.
+    """
+    found = np.zeros(BUCKETS, dtype=bool)
+    found[buckets] = True
+    used = np.flatnonzero(found)
+    cell = (np.cumsum(found, dtype=np.int32) - 1)[buckets]
     n = len(target)
     truth = np.eye(domains)[target]
     w = np.zeros((len(used) + 1, domains))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    starts = np.searchsorted(rows, np.arange(n))
-    filled = np.diff(np.append(starts, len(rows))) > 0
+    starts = np.searchsorted(rows, np.arange(n + 1))
+    filled = np.diff(starts) > 0
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(rows), FIT_CELLS)), n)).tolist()
+    error = np.empty((n, domains))
     for t in range(1, rounds + 1):
-        logits = np.zeros((n, domains)) + w[-1]
-        if len(rows):
-            logits[filled] += np.add.reduceat(w[cell], starts[filled], axis=0)
-        error = (_softmax(logits) - truth) / n
-        grad = np.empty_like(w)
-        for k in range(domains):
-            grad[:-1, k] = np.bincount(cell, error[rows, k], len(used))
+        grad = np.zeros_like(w)
+        for first, last in zip([0, *cuts], cuts):
+            mine, here = filled[first:last], cell[starts[first]:starts[last]]
+            logits = np.zeros((last - first, domains)) + w[-1]
+            if len(here):
+                logits[mine] += np.add.reduceat(w[here], starts[first:last][mine] - starts[first], axis=0)
+            error[first:last] = (_softmax(logits) - truth[first:last]) / n
+            each = np.repeat(np.arange(first, last), np.diff(starts[first:last + 1]))
+            for k in range(domains):
+                np.add.at(grad[:, k], here, error[each, k])
         grad[-1] = error.sum(axis=0)
         grad[:-1] += decay * w[:-1] / n * len(used) ** 0.5
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -170,11 +182,12 @@ def classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mixt
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False) if len(names) else np.empty(0, dtype=int)
     cells = lists.flatten().to_numpy() if len(names) else np.empty(0, dtype=int)
     # Buckets of a single document say nothing about another one.
-    times = np.bincount(cells, minlength=BUCKETS) if len(cells) else np.zeros(BUCKETS)
-    of = np.repeat(np.arange(len(names)), sizes)
-    often = times[cells] >= 3 if len(cells) else np.empty(0, dtype=bool)
+    often = (np.bincount(cells, minlength=BUCKETS) >= 3)[cells] if len(cells) else np.empty(0, dtype=bool)
+    of = np.repeat(np.arange(len(names), dtype=np.int32), sizes)[often]
+    cells = cells[often]
+    del rows, lists, often
     target = np.array([domains.index(d) for d in names], dtype=int)
-    return Mixture(domains, fit_softmax(of[often], cells[often].astype(np.int64), target, len(domains)))
+    return Mixture(domains, fit_softmax(of, cells, target, len(domains)))
 
 
 def memberships(docs: DataFrame, model: Mixture) -> DataFrame:
