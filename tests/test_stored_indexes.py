@@ -97,6 +97,26 @@ def test_topic_maps_from_stored_counts(topic_rows, low, high):
     assert got or low == "2025-01-01" or low == "2024-03-03T05:10:00" or low == "2024-03-02T10:00:00"
 
 
+def test_the_index_has_few_levels(spark, topic_rows):
+    """Every level holds a row for nearly every word of an hour, so there are few of them."""
+    rows, path = topic_rows
+    index = spark.read.parquet(path)
+    assert sorted(r.level for r in index.select("level").distinct().collect()) == [0, 4, 8, 12]
+    hours = index.where("level = 0").count()
+    assert index.count() <= 4 * hours
+    whole = index.where("level = 12").groupBy("label").agg(F.sum("n").alias("n"))
+    assert whole.exceptAll(index.where("level = 0").groupBy("label").agg(F.sum("n").alias("n"))).count() == 0
+
+
+def test_stored_blocks_cover_the_same_hours():
+    for first, last in ((0, 0), (5, 40_000), (4096, 8191), (-70_000, 90_001)):
+        at = first
+        for level, block in topic_index.stored_blocks(topic_index.cover(first, last)):
+            assert level % topic_index.STEP == 0 and block << level == at
+            at += 1 << level
+        assert at == last + 1
+
+
 def test_blocks_cover_every_hour_once():
     rng = random.Random(1)
     for _ in range(300):

@@ -3,7 +3,9 @@
 Per hour and word the index keeps the number of messages with the word and the first
 ``SAMPLES`` of them. Two hours make a block of the next level, two of those one of the level
 after it, and so on. Numbers add up and lists of first messages merge, so a window of n hours
-is answered from about 2 log2(n) blocks per word. Only the hours that a bound cuts are read as
+is made of about 2 log2(n) blocks per word. Most words stand in few hours, so every level is
+nearly as large as the hours: one level in ``STEP`` is stored, and a block of the others is read
+as the (at most 8) blocks of the stored level below. Only the hours that a bound cuts are read as
 messages, and texts are fetched for the sample messages alone.
 
 Every import adds rows of its own, a load, to all levels; a load written again replaces itself.
@@ -55,15 +57,14 @@ def _merged() -> list[Column]:
 def write_topics(messages: DataFrame, path: str, load_id: str) -> None:
     """Add the words of ``messages`` to all levels of the index, in place of an earlier attempt of the load."""
     place, spark = f"{path}/load_id={load_id}", messages.sparkSession
-    base = _counted(messages, _slot(F.col("ts"))).withColumnRenamed("b0", "block")
-    for first in range(0, LEVELS, STEP):
-        # Some levels at a time, from the last one of those before.
-        steps = F.sequence(F.lit(0 if not first else 1), F.lit(STEP - 1 if not first else STEP))
-        rows = base.select("*", F.explode(steps).alias("up")).groupBy(
-            (F.col("up") + max(first - 1, 0)).alias("level"), F.expr("shiftright(block, up)").alias("block"), "label").agg(*_merged())
-        rows = rows.where(F.col("level") < LEVELS)
-        rows.repartitionByRange("level", "block", "label").write.mode("append" if first else "overwrite").partitionBy("level").parquet(place)
-        base = spark.read.schema(rows.schema).parquet(place).where(F.col("level") == first + STEP - 1).drop("level")
+    # Written before it is ranged, which looks at the rows twice.
+    rows = write_scratch(_counted(messages, _slot(F.col("ts"))).withColumnRenamed("b0", "block"), "hours")
+    for level in range(0, LEVELS, STEP):
+        if level:  # from the stored level before
+            base = spark.read.schema(rows.schema).parquet(f"{place}/level={level - STEP}")
+            rows = base.groupBy(F.shiftright("block", STEP).alias("block"), "label").agg(*_merged())
+        rows.repartitionByRange("block", "label").withColumn("level", F.lit(level)).write \
+            .mode("append" if level else "overwrite").partitionBy("level").parquet(place)
 
 
 def cover(first: int, last: int) -> list[tuple[int, int]]:
@@ -78,6 +79,11 @@ def cover(first: int, last: int) -> list[tuple[int, int]]:
     return out
 
 
+def stored_blocks(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same hours as blocks of the stored levels."""
+    return [(level - level % STEP, (block << level % STEP) + i) for level, block in blocks for i in range(1 << level % STEP)]
+
+
 def _bound(spark: SparkSession, value) -> datetime | None:
     if value is None:
         return None
@@ -97,15 +103,16 @@ def indexed_topic_map(messages: DataFrame, path: str, date_from=None, date_to=No
     ts = messages.schema["ts"].dataType
     key = "array<struct<ts:{},msg_id:string,conv_id:string>>".format(ts.simpleString())
     index = spark.read.schema(f"block long, label string, n long, first {key}, level int, load_id string").parquet(path)
-    span = index.where((F.col("level") == LEVELS - 1) & (F.col("label") == ALL)).agg(
-        F.min(F.shiftleft("block", LEVELS - 1)).alias("low"), F.max(F.shiftleft(F.col("block") + 1, LEVELS - 1)).alias("high")).first()
+    top = (LEVELS - 1) // STEP * STEP
+    span = index.where((F.col("level") == top) & (F.col("label") == ALL)).agg(
+        F.min(F.shiftleft("block", top)).alias("low"), F.max(F.shiftleft(F.col("block") + 1, top)).alias("high")).first()
     low, high = _bound(spark, date_from), _bound(spark, date_to)
     first = span.low or 0 if low is None else max(span.low or 0, -int(-(low.timestamp()) // SLOT))
     # A bound to the microsecond: the hour that ends with it is whole.
     last = (span.high or 0) - 1 if high is None else min((span.high or 0) - 1, int((high + timedelta(microseconds=1)).timestamp() // SLOT) - 1)
     edge = window(messages, date_from, date_to)
     if first <= last:
-        stored = index.where(_any_block(cover(first, last)))
+        stored = index.where(_any_block(stored_blocks(cover(first, last))))
         edge = edge.where((_slot(F.col("ts")) < first) | (_slot(F.col("ts")) > last))
         parts = stored.select("label", "n", "first").unionByName(_counted(edge))
     else:
