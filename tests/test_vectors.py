@@ -32,6 +32,24 @@ def test_exact_top_k(spark, monkeypatch, broadcast_bytes, block_bytes):
     assert found == brute(stored, asked, 4)
 
 
+def test_two_blocks_hold_few_scores_at_a_time():
+    import tracemalloc
+
+    import pandas as pd
+    pick = np.random.default_rng(7)
+    stored, asked = pick.normal(size=(3000, 4)), pick.normal(size=(3000, 4))
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    best = vx._Best(len(asked), ["vec_id"], 3)
+    tracemalloc.start()
+    best.add(pd.DataFrame({"vec_id": np.arange(3000)}), unit(stored), unit(asked))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 3000 * 3000  # all scores at once
+    found = best.rows.groupby("query")["vec_id"].apply(list).to_dict()
+    scores = np.round(unit(asked) @ unit(stored).T, 9)
+    assert found == {q: np.lexsort((np.arange(3000), -scores[q]))[:3].tolist() for q in range(3000)}
+
+
 def test_no_queries(spark):
     stored = table(spark, [[1.0, 0.0]])
     assert vx.vector_search(stored, table(spark, [[1.0, 0.0]], "query_id").limit(0), ids=["vec_id"]).collect() == []

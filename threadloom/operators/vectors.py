@@ -24,6 +24,8 @@ Embedder = Callable[[Sequence[str]], np.ndarray]
 # Fixed value: the published constant of reciprocal-rank fusion.
 RANK_OFFSET = 60
 OPEN_BLOCKS = 64
+# Scores of two blocks that are held at once.
+OPEN_SCORES = 1 << 21
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:
@@ -86,54 +88,67 @@ def cosines(stored: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best ``k`` rows so far of each query of one block."""
+    """The best ``k`` rows so far of each query of one block, as one table in order of query, score and ids."""
 
-    def __init__(self, asked: pa.Table, ids: list[str], k: int) -> None:
-        self.names, self.matrix, self.ids, self.k = asked["query_id"], unit_rows(asked["embedding"]), ids, k
-        self.least = np.full(len(self.matrix), -np.inf)
+    def __init__(self, queries: int, ids: list[str], k: int) -> None:
+        self.ids, self.k = ids, k
+        self.least = np.full(queries, -np.inf)
         self.rows: pd.DataFrame | None = None
 
-    def add(self, keys: pd.DataFrame, vectors: np.ndarray) -> None:
-        scores = cosines(vectors, self.matrix)
-        if len(vectors) > self.k:
-            least = np.maximum(self.least, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        else:
-            least = self.least
-        query, row = np.nonzero(scores >= least[:, None])
-        if not len(row):
+    def add(self, keys: pd.DataFrame, vectors: np.ndarray, asked: np.ndarray) -> None:
+        """Some queries at a time, so that a task holds ``OPEN_SCORES`` scores whatever the blocks' sizes."""
+        step = max(1, OPEN_SCORES // max(1, len(vectors)))
+        found = []
+        for first in range(0, len(asked), step):
+            scores = cosines(vectors, asked[first:first + step])
+            least = self.least[first:first + step]
+            if len(vectors) > self.k:
+                least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            query, row = np.nonzero(scores >= least[:, None])
+            if len(row):
+                found.append(keys.iloc[row].assign(query=query + first, score=scores[query, row]))
+        if not found:
             return
-        fresh = keys.iloc[row].assign(query=query, score=scores[query, row])
-        rows = fresh if self.rows is None else pd.concat([self.rows, fresh], ignore_index=True)
+        rows = pd.concat(found if self.rows is None else [self.rows, *found], ignore_index=True)
         rows = rows.sort_values(["query", "score", *self.ids], ascending=[True, False] + [True] * len(self.ids))
         self.rows = rows.groupby("query", sort=False).head(self.k)
         full = self.rows.groupby("query")["score"].agg(["size", "min"])
         full = full[full["size"] >= self.k]
         self.least[full.index] = full["min"]
 
-    def result(self, schema: pa.Schema) -> pa.RecordBatch:
+    def result(self, names: pa.ChunkedArray, schema: pa.Schema) -> pa.RecordBatch:
         if self.rows is None:
             return pa.RecordBatch.from_pylist([], schema)
-        names = self.names.take(pa.array(self.rows["query"].to_numpy())).combine_chunks()
+        names = names.take(pa.array(self.rows["query"].to_numpy())).combine_chunks()
         columns = [pa.array(self.rows[c], schema.field(c).type, from_pandas=True) for c in schema.names[1:]]
         return pa.RecordBatch.from_arrays([names.cast(schema.field("query_id").type), *columns], schema=schema)
 
 
 def best_of_pairs(pairs: DataFrame, ids: list[str], k: int, schema: StructType) -> DataFrame:
-    """query_id, ids, score: the best ``k`` stored rows of each query in every task, from pairs of blocks."""
+    """query_id, ids, score: the best ``k`` stored rows of each query in every task, from pairs of blocks.
+
+    A pair is opened when its turn comes and no copy of a batch is made; of the queries of a
+    block that was met, a task keeps the block as it came and their best rows.
+    """
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[bytes, _Best] = {}
+
+        def closed(block: bytes) -> pa.RecordBatch:
+            return states.pop(block).result(opened(block)["query_id"], arrow)
+
         for batch in batches:
-            for stored, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if asked not in states:
+            for i in range(batch.num_rows):
+                block = batch.column(1)[i].as_py()
+                asked, table = opened(block), opened(batch.column(0)[i].as_buffer())
+                if block not in states:
                     if len(states) >= OPEN_BLOCKS:
-                        yield states.pop(next(iter(states))).result(arrow)
-                    states[asked] = _Best(opened(asked), ids, k)
-                table = opened(stored)
-                states[asked].add(table.select(ids).to_pandas(), unit_rows(table["embedding"]))
-        for state in states.values():
-            yield state.result(arrow)
+                        yield closed(next(iter(states)))
+                    states[block] = _Best(len(asked), ids, k)
+                states[block].add(table.select(ids).to_pandas(), unit_rows(table["embedding"]), unit_rows(asked["embedding"]))
+        for block in list(states):
+            yield closed(block)
 
     return pairs.mapInArrow(run, schema)
 
