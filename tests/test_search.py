@@ -123,3 +123,15 @@ def test_plans(spark, talk, capsys):
     se.search_many(talk, asked).explain()
     plan = capsys.readouterr().out
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_postings_of_a_message_are_counted_where_it_stands(spark, messages):
+    import collections
+    rows = [("c", "1", "user", "2024-01-01", "b a b c\u00e9 a b"), ("c", "2", "user", "2024-01-01", None), ("c", "3", "user", "2024-01-01", "a"),
+            ("c", "3", "user", "2024-01-01", "a b"), (None, "3", "user", "2024-01-01", "a"), (None, "3", "user", "2024-01-01", "a a")]
+    built = se.build_postings(messages(rows), stemmer=None)
+    want = collections.Counter((w, r[0], r[1]) for r in rows for w in (r[4] or "").split())
+    assert sorted(((r.lexeme, r.conv_id, r.msg_id), r.tf) for r in built.collect() if r.conv_id) == sorted((k, n) for k, n in want.items() if k[1])
+    assert [(r.lexeme, r.tf) for r in built.collect() if r.conv_id is None] == [("a", 3)]
+    alone = se.build_postings(messages(rows[:3]), stemmer=None)._jdf.queryExecution().optimizedPlan().toString()
+    assert alone.count("Aggregate") == 1 and "LeftAnti" in alone  # of repeated messages only

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.functions.highlights import highlights
-from threadloom.functions.stem import Stemmer, chosen_stemmer, count_matches, query_lexemes, stem_words
-from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, whole_words, word_list
+from threadloom.functions.stem import Stemmer, chosen_stemmer, count_matches, english_words, query_lexemes, stem_words
+from threadloom.functions.text import WORD, query_terms, safe_text, search_terms, whole_words, word_counts, word_list
 from threadloom.operators.filters import all_of, search_filters
 from threadloom.operators.vocabulary import vocabulary, with_lexemes, word_places, words_of
 from threadloom.schemas import SEARCH_STOP_WORDS
-from threadloom.session import hint, join_texts, write_measured
+from threadloom.session import hint, join_texts, split_repeated, write_measured
 
 SNIPPET = 400
 HIT = ["conv_id", "msg_id", "role", "ts", "text", "score", "highlights"]
@@ -69,8 +69,17 @@ def search(messages: DataFrame, q: str, k: int = 50, filters: dict | None = None
 
 def word_positions(messages: DataFrame) -> DataFrame:
     """One row per place of a whole word: the postings before they are counted."""
-    words = F.regexp_extract_all(F.lower(safe_text(F.col("text"))), F.lit(f"{WORD}+"), F.lit(0))
-    return messages.select("conv_id", "msg_id", "role", "ts", F.lit(1).cast("bigint").alias("tf"), F.explode(words).alias("lexeme"))
+    return messages.select("conv_id", "msg_id", "role", "ts", F.lit(1).cast("bigint").alias("tf"), F.explode(_plain_words()).alias("lexeme"))
+
+
+def _plain_words() -> Column:
+    return F.regexp_extract_all(F.lower(safe_text(F.col("text"))), F.lit(f"{WORD}+"), F.lit(0))
+
+
+def _counted_words(messages: DataFrame, words: Column, name: str, *columns: str) -> DataFrame:
+    """name, columns, tf: the distinct words of every row with their places; a map over the scan."""
+    counted = messages.select(*columns, F.explode(word_counts(words)).alias("_word"))
+    return counted.select(F.col("_word.word").alias(name), *columns, F.col("_word.n").alias("tf"))
 
 
 def build_postings(messages: DataFrame, stemmer: str | Stemmer | None = "english", words: DataFrame | None = None) -> DataFrame:
@@ -80,8 +89,10 @@ def build_postings(messages: DataFrame, stemmer: str | Stemmer | None = "english
     """
     message = ["conv_id", "msg_id", "role", "ts"]
     if chosen_stemmer(stemmer) is None:
-        return word_positions(messages).groupBy("lexeme", *message).agg(F.sum("tf").alias("tf"))
-    places = word_places(messages, *message).groupBy("word", *message).agg(F.count("*").alias("tf"))
+        # A message has its postings to itself; only those of messages that stand more than once are added up.
+        single, again = (_counted_words(rows, _plain_words(), "lexeme", *message) for rows in split_repeated(messages, message))
+        return single.unionByName(again.groupBy("lexeme", *message).agg(F.sum("tf").alias("tf")))
+    places = _counted_words(messages, english_words(F.col("text")), "word", *message)
     known = vocabulary(messages, stemmer) if words is None else words
     return with_lexemes(places, known).groupBy("lexeme", *message).agg(F.sum("tf").alias("tf"))
 

@@ -123,6 +123,42 @@ def hint(table: DataFrame, size: int) -> DataFrame:
     return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
+def _same(rows: DataFrame, keys: DataFrame, key: list[str]) -> Column:
+    """Equal keys, a null being equal to a null; ``keys`` has them as ``_k0``, ``_k1`` and so on."""
+    condition = F.lit(True)
+    for i, name in enumerate(key):
+        condition = condition & rows[name].eqNullSafe(keys[f"_k{i}"])
+    return condition
+
+
+def _keyed(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)])
+
+
+def rows_of_keys(rows: DataFrame, kept: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """The wide ``rows`` whose key is in ``kept``; ``keys`` holds the keys of all rows.
+
+    Keys are chosen before texts move: if those kept, or those that are not, measure small,
+    they go out to the rows, which stay where they are. Otherwise the rows are joined once.
+    """
+    wanted, _, size = write_measured(_keyed(kept, key), "kept_keys")
+    if size > BROADCAST_BYTES:
+        every = _keyed(keys, key)
+        lost = every.join(wanted, [every[c].eqNullSafe(wanted[c]) for c in every.columns], "left_anti")
+        others, _, lost_size = write_measured(lost, "other_keys")
+        if lost_size <= BROADCAST_BYTES:
+            return rows.join(F.broadcast(others), _same(rows, others, key), "left_anti")
+    return rows.join(hint(wanted, size), _same(rows, wanted, key), "left_semi")
+
+
+def split_repeated(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key stands once, and rows whose key stands more often; only keys are grouped."""
+    often = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    table, _, size = write_measured(_keyed(often, key), "repeated_keys")
+    return rows.join(hint(table, size), _same(rows, table, key), "left_anti"), \
+        rows.join(hint(table, size), _same(rows, table, key), "left_semi")
+
+
 def join_texts(texts: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """Texts joined to result rows by ``key``, whose first column is the conversation.
 
