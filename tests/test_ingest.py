@@ -277,6 +277,41 @@ def test_a_repeated_load_replaces_what_a_failed_one_left(spark, drop, tmp_path,
     assert contents(spark, broken)["messages"] == []
 
 
+def test_an_import_writes_texts_once_before_they_are_stored(spark, drop, tmp_path, monkeypatch):
+    from threadloom import session
+    from threadloom.operators import loads
+    root, written = str(tmp_path / "tables"), []
+    tables.ensure_schema(spark, root)
+
+    def noted(df, name):
+        written.append((name, set(df.columns)))
+        return write_scratch(df, name)
+
+    for module in (streams, loads, session):
+        monkeypatch.setattr(module, "write_scratch", noted)
+    raw = raw_exports(spark, drop)
+    for load in ("a", "b"):
+        written.clear()
+        load_exports(raw, root, load_id=load)
+        assert [name for name, columns in written if columns & {"text", "conversation"}] == ["normalised"]
+    assert len(tables.read_table(spark, root, "messages").collect()) == 5
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 150, 0])
+def test_rows_of_keys(spark, monkeypatch, broadcast_bytes):
+    """The keys kept go out, or those that are not, or the rows are joined; a null is a key."""
+    from threadloom import session
+    monkeypatch.setattr(session, "BROADCAST_BYTES", broadcast_bytes)
+    rows = spark.createDataFrame([(i if i else None, "x") for i in range(20)] + [(3, "y")], "k long, text string")
+    keys = rows.select("k")
+    for kept in (lambda r: r.k is None or r.k > 2, lambda r: r.k == 3, lambda r: False):
+        chosen = [(r.k,) for r in keys.collect() if kept(r)]
+        got = session.rows_of_keys(rows, spark.createDataFrame(chosen, "k long"), keys, ["k"]).collect()
+        assert sorted(map(str, got)) == sorted(str(r) for r in rows.collect() if kept(r))
+    once, again = session.split_repeated(rows, ["k"])
+    assert sorted(r.text for r in again.collect()) == ["x", "y"] and once.count() == 19
+
+
 def test_small_imports_open_few_key_files(spark, tmp_path):
     root = str(tmp_path / "tables")
     tables.ensure_schema(spark, root)

@@ -79,6 +79,17 @@ def test_embed_skips_done_and_checks_width(spark, messages, tmp_path):
     assert len(vx.embed_messages(rows.coalesce(1), done, flaky, 16, "m", retries=1, delay=0).collect()) == 4
 
 
+def test_embedding_shuffles_no_text_of_done_messages(spark, messages):
+    """Repeated messages are embedded as often as they stand, and so are messages with null keys."""
+    rows = messages([("c", "1", "user", "2024-01-01", "a"), ("c", "1", "user", "2024-01-01", "b"), ("c", None, "user", "2024-01-01", "n"),
+                     (None, "2", "user", "2024-01-01", "o"), ("c", "3", "user", "2024-01-01", "d")])
+    done = rows.where("msg_id = '3' or msg_id is null").select("conv_id", "msg_id")
+    todo = vx.embed_messages(rows, done, vx.hashing_embedder(4), 4, "m")
+    assert sorted((str(r.conv_id), str(r.msg_id)) for r in todo.collect()) == [("None", "2"), ("c", "1"), ("c", "1"), ("c", "None")]
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("rows", [1, 3, 4096])
 def test_blocks_hold_every_row_once(spark, monkeypatch, rows):
     table_ = spark.range(50).select((F.col("id") % 4).alias("key"), F.col("id")).repartition(3)

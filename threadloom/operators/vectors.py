@@ -18,7 +18,7 @@ from threadloom.operators.blocks import met, opened, packed
 from threadloom.operators.loads import keys_of
 from threadloom.operators.search import ranked_matches, scored_matches
 from threadloom.schemas import MESSAGE_KEY
-from threadloom.session import broadcast_if_small, write_scratch
+from threadloom.session import broadcast_if_small, rows_of_keys, write_scratch
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
 # Fixed value: the published constant of reciprocal-rank fusion.
@@ -68,8 +68,13 @@ def _embed_column(rows: DataFrame, keys: list[str], text: str, embedder: Embedde
 
 def embed_messages(messages: DataFrame, existing: DataFrame, embedder: Embedder, dim: int, model: str,
                    retries: int = 3, delay: float = 60.0) -> DataFrame:
-    """Embeddings of the messages that have none yet; a failing provider call is retried."""
-    todo = messages.select(*MESSAGE_KEY, "text").join(keys_of(existing, messages), MESSAGE_KEY, "left_anti")
+    """Embeddings of the messages that have none yet; a failing provider call is retried.
+
+    Which they are is decided by the keys alone.
+    """
+    keys = write_scratch(messages.select(*MESSAGE_KEY), "message_keys")
+    todo = rows_of_keys(messages.select(*MESSAGE_KEY, "text"), keys.join(keys_of(existing, keys), MESSAGE_KEY, "left_anti"),
+                        keys, MESSAGE_KEY)
     return _embed_column(todo, MESSAGE_KEY, "text", embedder, dim, retries, delay) \
         .withColumn("model", F.lit(model))
 

@@ -12,12 +12,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from threadloom.operators.ingest import explode_messages, normalise_messages, parse_exports, project_conversations
+from threadloom.operators.ingest import conversations_of, messages_of, refused_of, unfold_exports
 from threadloom.operators.filters import split_valid
 from threadloom.operators.loads import insert_ignore
 from threadloom.operators.vectors import embed_messages
 from threadloom.operators.vocabulary import new_words
-from threadloom.session import dropped_scratch, write_scratch
+from threadloom.schemas import MESSAGE_KEY
+from threadloom.session import dropped_scratch, rows_of_keys, split_repeated, write_scratch
 from threadloom.sources.archives import FILES, read_listed
 from threadloom.sources.tables import (LOAD, append_conversations, append_table, ensure_schema, key_partitions, location,
                                        read_loads, read_table)
@@ -27,23 +28,25 @@ def load_exports(raw: DataFrame, root: str, owner_id: str = "default", enable_pi
                  load_id: str | None = None, words: bool = False) -> None:
     """Write raw conversations into the tables under ``root``; repeating it adds no message.
 
-    Archives are read once and messages normalised once: both results are written
-    to shared storage before they are split. What cannot be stored is kept, with
+    Archives are read, parsed and normalised once, and all that is kept of them is written to
+    shared storage in one table. Which messages are new is decided by their keys; texts move
+    once more, to their place in the stored table. What cannot be stored is kept, with
     its reason, in ``load_rejects``. A load with an id that has been here before is taken
     for a repetition and replaces the earlier attempt. With ``words`` the stored vocabulary
     is extended by the words of the new messages.
     """
     spark, load_id = raw.sparkSession, load_id or uuid.uuid4().hex
     with dropped_scratch(spark):
-        parsed, rejects = parse_exports(write_scratch(raw, "raw_exports"))
-        messages = write_scratch(normalise_messages(explode_messages(parsed), enable_pii=enable_pii), "normalised")
-        valid, quarantine = split_valid(messages)
-        stored = key_partitions(spark, root, "messages", valid, load_id)
-        new = insert_ignore(stored, valid, order=["archive", "ordinal", "position"])
-        append_conversations(project_conversations(parsed, owner_id), root, load_id)
+        unfolded = write_scratch(unfold_exports(raw, enable_pii), "normalised")
+        valid, quarantine = split_valid(messages_of(unfolded))
+        order = ["archive", "ordinal", "position", "spot"]
+        keys = valid.select(*MESSAGE_KEY, *order)
+        stored = key_partitions(spark, root, "messages", keys, load_id)
+        new = rows_of_keys(valid, insert_ignore(stored, keys, order=order), keys, ["spot"])
+        append_conversations(conversations_of(unfolded, owner_id), root, load_id)
         append_table(new, root, "messages", load_id)
-        refused = rejects.select("*", *[F.lit(None).cast("string").alias(c) for c in ("conv_id", "msg_id")]).unionByName(
-            quarantine.select("archive", "ordinal", F.array_join("reason", ", ").alias("reason"), "conv_id", "msg_id"))
+        refused = refused_of(unfolded).select("*", *[F.lit(None).cast("string").alias(c) for c in MESSAGE_KEY]).unionByName(
+            quarantine.select("archive", "ordinal", F.array_join("reason", ", ").alias("reason"), *MESSAGE_KEY))
         append_new_rejects(refused, root, load_id)
         if words:
             added = read_loads(spark, root, "messages").where(F.col(LOAD) == load_id)
@@ -88,8 +91,9 @@ def stream_embed(spark: SparkSession, root: str, checkpoint: str, embedder, dim:
     def embed(batch: DataFrame, number: int) -> None:
         load_id = _load_of(checkpoint, number)
         with dropped_scratch(spark):
-            arrived = write_scratch(batch.dropDuplicates(["conv_id", "msg_id"]), "arrived")
-            done = key_partitions(spark, root, "message_embeddings", arrived, load_id)
+            once, again = split_repeated(batch, MESSAGE_KEY)  # texts that came once stay where they are
+            arrived = once.unionByName(again.dropDuplicates(MESSAGE_KEY))
+            done = key_partitions(spark, root, "message_embeddings", batch, load_id)
             fresh = embed_messages(arrived, done, embedder, dim, model, retries, delay)
             append_table(fresh.withColumn("created_at", F.current_timestamp()), root, "message_embeddings", load_id)
 
