@@ -50,15 +50,15 @@ def query_terms(query: str | None) -> list[str]:
 
 
 def word_counts(words: Column) -> Column:
-    """(word, n) of the distinct words of an array: sorted once, then cut where the word changes."""
+    """(word, n) of the distinct words of an array, null if it has none: sorted once, then cut where the word changes."""
     def runs(s: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         ends = lambda b, j: F.coalesce(F.get(b, j + 1), F.size(s))
         return F.transform(F.array(starts), lambda b: F.transform(
             b, lambda at, j: F.struct(F.get(s, at).alias("word"), (ends(b, j) - at).cast("bigint").alias("n"))))[0]
 
-    # The one-element arrays bind the sorted words and the starts, so each is computed once.
-    return F.transform(F.filter(F.array(F.array_sort(words)), lambda s: F.size(s) > 0), runs)[0]
+    # The one-element arrays bind the sorted words and the starts, so each is computed once. Without a word: null.
+    return F.get(F.transform(F.filter(F.array(F.array_sort(words)), lambda s: F.size(s) > 0), runs), F.lit(0))
 
 
 def search_terms(col: Column) -> Column:
