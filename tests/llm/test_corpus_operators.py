@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import uuid
 import zlib
 
 import compare
@@ -224,6 +225,29 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
+def jobs_of(spark, work):
+    """What ``work`` gives, and the number of jobs that the driver ran for it."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+
+
+def test_components_take_few_jobs(spark):
+    """Links that are stars need no round; others a plan without repeated scans: the driver pays for every job."""
+    apart = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(50)] + [(200, 200 + i) for i in range(1, 30)], "u long, v long")
+    got, jobs = jobs_of(spark, lambda: near_dup.components(apart).collect())
+    assert {r.node: r.root for r in got} == {2 * i + 1: 2 * i for i in range(50)} | {200 + i: 200 for i in range(1, 30)}
+    assert jobs <= 8
+    path = spark.createDataFrame([(i, i + 1) for i in range(8)], "u long, v long")
+    got, jobs = jobs_of(spark, lambda: near_dup.components(path).collect())
+    assert {r.node: r.root for r in got} == {i: 0 for i in range(1, 9)}
+    assert jobs <= 34
+
+
 def test_chats_against_sql(spark, tmp_path):
     rng = random.Random(11)
     rows = []

@@ -230,24 +230,29 @@ def settled_links(classes: DataFrame, texts: DataFrame, bodies: DataFrame, round
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root of the connected components of links (u, v): root is the least node. By star contraction."""
+    """node, root of the connected components of links (u, v): root is the least node. By star contraction.
+
+    Every link is kept as u > v, so a node's lower neighbours are the v of its rows. A round is one
+    plan without a union, and is run only while the links are not yet stars: each job, shuffle and
+    broadcast of these narrow tables costs the driver buffers and threads, whatever its rows.
+    """
     edges = write_scratch(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                           .where(F.col("u") != F.col("v")).distinct(), "edges")
-    seen = None
-    while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where(F.col("u") != F.col("v")).distinct()
+    while not stars(edges):
+        lower = edges.groupBy(F.col("u").alias("lower")).agg(F.min("v").alias("m"))
+        large = edges.join(lower, F.col("v") == F.col("lower"), "left").select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))) \
-            .where(F.col("u") != F.col("v")).distinct()
-        edges = write_scratch(edges, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        small = large.join(least, "u").select(F.inline(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("u", "v"))
+        edges = write_scratch(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every u of distinct links (u > v) has one link and is nowhere a v."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")),
+                                         F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))))
+    node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return node.where("up > 0 and n > 1").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, functions: int = 20, order: int = 2,
@@ -289,16 +294,19 @@ def _grouped(docs: DataFrame, least: float, functions: int, order: int, bins: in
         pairs = chosen.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
         return write_scratch(verified(pairs, bodies, least), "links")
 
-    links = met("heaviest", None)
+    groups = _groups(met("heaviest", None))
     for leader in ("heaviest", *drawn):
-        links = links.union(met(leader, _groups(links)))
+        groups = _groups(met(leader, groups), groups)
     # Buckets with the same heaviest member make one class: two nodes of a bucket are in one class at least.
     classes = write_scratch(led.select(F.col("heaviest.id").alias("key"), "id").distinct(), "bucket_classes")
-    links = links.union(write_scratch(settled_links(classes, texts, bodies, _groups(links), least), "links"))
-    return _classes(signed, texts, nodes, _groups(links))
+    links = write_scratch(settled_links(classes, texts, bodies, groups, least), "links")
+    return _classes(signed, texts, nodes, _groups(links, groups))
 
 
-def _groups(links: DataFrame) -> DataFrame:
+def _groups(links: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """id, root of the nodes that links join with others, and of those in the ``groups`` found before."""
+    if groups is not None:
+        links = links.union(groups.select("id", "root"))
     return components(links).withColumnRenamed("node", "id")
 
 
